@@ -67,18 +67,29 @@ def run_hashes(points: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def run_sets(texts: list[str], n: int, least: int) -> list[np.ndarray | None]:
-    """The sorted set of run hashes of each text; None where it has fewer than `least` letters and digits."""
-    points, edges = kept_points(texts)
-    hashes = run_hashes(points, n)
-    out: list[np.ndarray | None] = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a < max(least, n):
-            out.append(None)
-            continue
-        s = np.sort(hashes[a : b - n + 1])
-        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-    return out
+#: Bits of a run's hash that are kept; the others number the texts of a batch while it is sorted.
+_HASH_BITS = 52
+_BATCH = 1 << (64 - _HASH_BITS)
+_HASH_MASK = np.uint64((1 << _HASH_BITS) - 1)
+
+
+class RunSets:
+    """The sorted sets of run hashes of up to 4,096 texts, one after the other in `flat`; empty where a text has fewer than `least` letters and digits."""
+
+    def __init__(self, texts: list[str], n: int, least: int):
+        points, edges = kept_points(texts)
+        hashes = run_hashes(points, n) >> np.uint64(64 - _HASH_BITS)
+        sizes = np.diff(edges)
+        count = np.where(sizes >= max(least, n), sizes - n + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), count)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        keys = hashes[edges[:-1][owner] + within] | owner.astype(np.uint64) << np.uint64(_HASH_BITS)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        self.owner = (keys >> np.uint64(_HASH_BITS)).astype(np.int64)
+        self.flat = keys & _HASH_MASK
+        self.count = np.bincount(self.owner, minlength=len(texts))
+        self.start = np.cumsum(self.count) - self.count
 
 
 class PrefixOrders:
@@ -107,20 +118,24 @@ class PrefixOrders:
                 used[g] += 1
         self.picks = picks
 
-    def first_runs(self, s: np.ndarray) -> np.ndarray:
-        """The least value under each order of each group; all ones where the group is empty."""
-        edges = np.searchsorted(s, np.arange(1, _GROUPS, dtype=np.uint64) << np.uint64(61))
-        x = (s >> np.uint64(8)).astype(np.uint32)
-        out = np.full((_GROUPS, self.orders), 0xFFFFFFFF, np.uint32)
-        for g, part in enumerate(np.split(x, edges)):
-            if len(part):
-                y = part[:, None] * self.factor
-                y ^= y >> np.uint32(15)
-                y += self.shift
-                y *= np.uint32(0x2C1B3C6D)
-                y ^= y >> np.uint32(13)
-                out[g] = y.min(0)
-        return out.ravel()
+    def first_runs(self, flat: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """For each text a row of the least values under each order of each group; all ones where a group is empty."""
+        out = np.full((texts * _GROUPS, self.orders), 0xFFFFFFFF, np.uint32)
+        segment = owner * _GROUPS + (flat >> np.uint64(_HASH_BITS - 3)).astype(np.int64)
+        x = (flat >> np.uint64(8)).astype(np.uint32)
+        begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(x) else np.zeros(0, np.int64)
+        edge = np.append(begin, len(x))
+        at = 0
+        while at < len(begin):  # as many whole segments as stay within the cache
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + 6000, "right")) - 1)
+            y = x[edge[at] : edge[to], None] * self.factor
+            y ^= y >> np.uint32(15)
+            y += self.shift
+            y *= np.uint32(0x2C1B3C6D)
+            y ^= y >> np.uint32(13)
+            out[segment[begin[at:to]]] = np.minimum.reduceat(y, edge[at:to] - edge[at], axis=0)
+            at = to
+        return out.reshape(texts, -1)
 
     def prefixes(self, firsts: np.ndarray) -> np.ndarray:
         """A 64-bit key of each prefix of each row of first runs."""
@@ -135,10 +150,11 @@ _SKETCH_BITS = 128
 
 
 def sketch(firsts: np.ndarray) -> np.ndarray:
-    """Rows of 128 bits, one of each of 128 first runs spread over the groups."""
+    """Rows of two 64-bit numbers: one bit of each of 128 first runs spread over the groups."""
     step = max(1, firsts.shape[1] // _SKETCH_BITS)
     bits = (firsts[:, ::step][:, :_SKETCH_BITS] & np.uint32(1)).astype(bool)
-    return np.packbits(bits, axis=1)
+    bits = np.pad(bits, ((0, 0), (0, _SKETCH_BITS - bits.shape[1])))
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,64 +196,66 @@ def similar_texts(
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = run_sets(part.column(1).to_pylist(), run, least)
-                there = [i for i, s in enumerate(sets) if s is not None]
-                if not there:
+                sets = RunSets(part.column(1).to_pylist(), run, least)
+                there = np.flatnonzero(sets.count)
+                if not len(there):
                     continue
-                found = [sets[i] for i in there]
-                same = np.array([int((s * _MULTIPLIER).sum(dtype=np.uint64) ^ np.uint64(len(s))) for s in found], np.uint64)
-                firsts = np.stack([orders.first_runs(s) for s in found])
+                with np.errstate(over="ignore"):
+                    same = np.add.reduceat(sets.flat * _MULTIPLIER, sets.start[there]) ^ sets.count[there].astype(np.uint64) * _MULTIPLIER
+                firsts = orders.first_runs(sets.flat, sets.owner, part.num_rows)[there]
                 marks, keys = sketch(firsts), orders.prefixes(firsts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(there)),
                         pa.array(same.view(np.int64)),
-                        pa.array([len(s) for s in found], pa.int32()),
-                        pa.array([m.tobytes() for m in marks], pa.binary()),
+                        pa.array(sets.count[there], pa.int32()),
+                        pa.array(marks[:, 0]),
+                        pa.array(marks[:, 1]),
                         pa.array([k.tobytes() for k in keys], pa.binary()),
                     ],
-                    names=["id", "same", "size", "mark", "keys"],
+                    names=["id", "same", "size", "mark0", "mark1", "keys"],
                 )
 
-    signed = materialize(source.mapInArrow(signatures, "id string, same long, size int, mark binary, keys binary"), "signatures")
+    signed = materialize(source.mapInArrow(signatures, "id string, same long, size int, mark0 long, mark1 long, keys binary"), "signatures")
     # identical sets are one representative, whatever the number of copies
-    groups = signed.groupBy("same").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
-    members = signed.select("id", "same").join(groups.select("same", "representative"), "same").select("id", "representative").distinct()
-    chosen = signed.join(groups.select("same", F.col("representative").alias("id")), ["same", "id"], "left_semi").dropDuplicates(["same"])
+    marks = materialize(
+        signed.groupBy("same").agg(
+            F.min("id").alias("representative"), F.max("size").alias("size"), F.max("mark0").alias("mark0"), F.max("mark1").alias("mark1")
+        ),
+        "marks",
+    )
+    members = signed.select("id", "same").join(marks.select("same", "representative"), "same").select("id", "representative").distinct()
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches):
-        """Packs (prefix key, set) pairs into one array for each bucket."""
-        held, count = [], 0
+        """Packs (prefix key, set) pairs into one array for each bucket, equal sets once."""
+        held: dict[int, bytes] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            names = np.repeat(batch.column(0).to_numpy(), bands)
-            held.append((keys, names))
-            count += len(keys)
-            if count > 1_000_000:
-                yield from flush(held)
-                held, count = [], 0
+            held.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            if len(held) * bands > 1_000_000:
+                yield flush(held)
+                held = {}
         if held:
-            yield from flush(held)
+            yield flush(held)
 
     def flush(held):
-        keys, names = (np.concatenate(x) for x in zip(*held))
+        keys = np.frombuffer(b"".join(held.values()), np.uint64)
+        names = np.repeat(np.fromiter(held, np.int64, len(held)), bands)
         bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        keys, names = keys[order], names[order]
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array(full, pa.int64()),
-                pa.array([keys[order[edges[b] : edges[b + 1]]].tobytes() for b in full], pa.binary()),
-                pa.array([names[order[edges[b] : edges[b + 1]]].tobytes() for b in full], pa.binary()),
+                pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
+                pa.array([names[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
             ],
             names=["bucket", "keys", "names"],
         )
 
-    dealt = chosen.select("same", "keys").mapInArrow(deal, "bucket long, keys binary, names binary")
+    dealt = signed.select("same", "keys").mapInArrow(deal, "bucket long, keys binary, names binary")
 
     def pair_up(batches):
         """Pairs within the groups of equal prefixes; members of large groups are handed on."""
@@ -250,6 +268,8 @@ def similar_texts(
         key, name = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(names), np.int64)
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        key, name = key[once], name[once]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
         pairs = []
@@ -276,17 +296,17 @@ def similar_texts(
     if not large.isEmpty():
         pairs = pairs.unionByName(_block_pairs(large, block))
     # size and sketch filter
-    marks = chosen.select("same", "size", "mark")
+    side = lambda x: marks.select(F.col("same").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("representative", "size", "mark0", "mark1")))
+    differ = F.bit_count(F.col("mark0_a").bitwiseXOR(F.col("mark0_b"))) + F.bit_count(F.col("mark1_a").bitwiseXOR(F.col("mark1_b")))
     checked = (
         pairs.distinct()
-        .join(marks.select(F.col("same").alias("a"), F.col("size").alias("size_a"), F.col("mark").alias("mark_a")), "a")
-        .filter("size_a is not null")
-        .join(marks.select(F.col("same").alias("b"), F.col("size").alias("size_b"), F.col("mark").alias("mark_b")), "b")
+        .join(side("a"), "a")
+        .join(side("b"), "b")
         .filter(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold))
-        .filter(_agreement("mark_a", "mark_b") >= F.lit(_least_agreement(threshold)))
-        .select("a", "b")
+        .filter(differ <= F.lit(_SKETCH_BITS - _least_agreement(threshold)))
+        .select("a", "b", "representative_a", "representative_b")
     )
-    links = _verify(materialize(checked, "candidates"), source, chosen, run, least, threshold)
+    links = _verify(materialize(checked, "candidates"), source, run, least, threshold)
     return materialize(links, "links"), members
 
 
@@ -296,16 +316,6 @@ def _least_agreement(threshold: float) -> int:
     return int(_SKETCH_BITS * p - 4.3 * (_SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
-def _agreement(a: str, b: str):
-    """Number of equal bits of two 16-byte sketches."""
-
-    def part(c, i):
-        return F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
-
-    differ = sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in (5, 9, 13)), F.bit_count(part(a, 1).bitwiseXOR(part(b, 1))))
-    return F.lit(_SKETCH_BITS) - differ
-
-
 def _block_pairs(large: DataFrame, block: int) -> DataFrame:
     """All pairs of the members of large groups: members dealt into blocks, and every two blocks compared in a task."""
     counts = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
@@ -327,44 +337,49 @@ def _block_pairs(large: DataFrame, block: int) -> DataFrame:
     return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _verify(candidates: DataFrame, source: DataFrame, chosen: DataFrame, run: int, least: int, threshold: float) -> DataFrame:
-    """The candidates whose whole sets reach the threshold; texts travel only for documents that have a candidate."""
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    texts = materialize(
-        source.join(chosen.select("id", "same").join(wanted, "same", "left_semi"), "id").groupBy("same").agg(F.min_by("id", "id").alias("id"), F.collect_set("text").alias("texts")),
-        "texts",
-    )
-    paired = candidates.join(texts.select(F.col("same").alias("a"), F.col("id").alias("id_a"), F.col("texts").alias("texts_a")), "a").join(
-        texts.select(F.col("same").alias("b"), F.col("id").alias("id_b"), F.col("texts").alias("texts_b")), "b"
-    )
+def _verify(candidates: DataFrame, source: DataFrame, run: int, least: int, threshold: float) -> DataFrame:
+    """The candidates whose whole sets reach the threshold; texts travel only for representatives that have a candidate.
+
+    A representative's id may have several texts; the pair counts by the most similar two.
+    """
+    wanted = candidates.select(F.explode(F.array("representative_a", "representative_b")).alias("id")).distinct()
+    texts = materialize(source.join(wanted, "id").groupBy("id").agg(F.collect_set("text").alias("texts")), "texts")
+    side = lambda x: texts.select(F.col("id").alias(f"representative_{x}"), F.col("texts").alias(f"texts_{x}"))
+    paired = candidates.join(side("a"), "representative_a").join(side("b"), "representative_b")
 
     def verify(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
-                out = []
-                cache: dict[str, np.ndarray | None] = {}
-                fresh = list({t for x in (*ta, *tb) for t in x})
-                cache.update(zip(fresh, run_sets(fresh, run, least)))
-                for x, y, us, vs in zip(a, b, ta, tb):
-                    best = 0.0
-                    for u in us:
-                        for v in vs:
-                            if (s := cache[u]) is None or (t := cache[v]) is None:
-                                continue
-                            both = np.concatenate([s, t])
-                            both.sort()
-                            common = int((both[1:] == both[:-1]).sum())
-                            best = max(best, common / (len(s) + len(t) - common))
-                    if best >= threshold:
-                        out.append((min(x, y), max(x, y), best))
-                if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "similarity"])
-
-    return paired.select("id_a", "id_b", "texts_a", "texts_b").mapInArrow(verify, "a string, b string, similarity double")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = [
+                    (i, u, v)
+                    for i, (us, vs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
+                    for u in us
+                    for v in vs
+                ]
+                for k in range(0, len(rows), 1000):
+                    yield from check(part, rows[k : k + 1000])
+
+    def check(part, rows):
+        number = {t: n for n, t in enumerate(dict.fromkeys(t for _, u, v in rows for t in (u, v)))}
+        names = list(number)
+        sets = RunSets(names, run, least)
+        best: dict[int, float] = {}
+        for i, u, v in rows:
+            s, t = (sets.flat[sets.start[n] : sets.start[n] + sets.count[n]] for n in (number[u], number[v]))
+            both = np.concatenate([s, t])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if len(both) and len(s) and len(t):
+                best[i] = max(best.get(i, 0.0), common / (len(both) - common))
+        found = [(i, j) for i, j in best.items() if j >= threshold]
+        if found:
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            out = [(min(a[i], b[i]), max(a[i], b[i]), j) for i, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "similarity"])
+
+    found = paired.select("representative_a", "representative_b", "texts_a", "texts_b").mapInArrow(verify, "a string, b string, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).filter("a <> b")
 
 
 def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:
