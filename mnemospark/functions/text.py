@@ -196,13 +196,14 @@ def month_key(at: _C) -> Column:
 
 def relevance(query: str, title: Column, tags: Column, facts: Column | None = None) -> Column:
     """Per distinct position of a query word: 3 for the title, 2 for any tag, 1 for any fact that contains it."""
-    total = F.lit(0)
-    for word in query.lower().split():
-        total = total + F.when(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(word)), 3).otherwise(0)
-        total = total + F.when(F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t, w=word: F.contains(F.lower(t), F.lit(w))), 2).otherwise(0)
-        if facts is not None:
-            total = total + F.when(F.exists(F.coalesce(facts, F.array().cast("array<string>")), lambda t, w=word: F.contains(F.lower(t), F.lit(w))), 1).otherwise(0)
-    return total.cast("long")
+    none = F.array().cast("array<string>")
+
+    def points(word: str) -> Column:
+        holds = lambda x: F.contains(F.lower(x), F.lit(word))
+        out = F.when(holds(F.coalesce(title, F.lit(""))), 3).otherwise(0) + F.when(F.exists(F.coalesce(tags, none), holds), 2).otherwise(0)
+        return out if facts is None else out + F.when(F.exists(F.coalesce(facts, none), holds), 1).otherwise(0)
+
+    return sum((points(w) for w in query.lower().split()), F.lit(0)).cast("long")
 
 
 def edit_section(document: _C, section: str, text: str | None, mode: str = "replace") -> Column:

@@ -5,20 +5,640 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import conflicts, increments, lifecycle, metrics, search, storage, turns
 from ..session import load
-from ..streaming.deliveries import repeated_deliveries
+from ..sources import context, documents
+from ..streaming import totals
+from ..streaming.deliveries import repeated_deliveries, same_id
+from . import sqltext as q
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Deliveries to drop."""
-    return repeated_deliveries(load(spark, folder, "compactions"), load(spark, folder, "sidecar_state"))
+NOW = "2026-01-01 00:00:00"
+SEARCHED = "retry window 缓存层 snapshot retry"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a message id with role and text: (id, session_id, seq, role, text, received_at)."""
+    rows = load(spark, folder, "session_messages").filter("session_id is not null and seq is not null")
+    one = storage.latest(rows.select("id", "session_id", "seq", "type", "data", "received_at"), ["id"], ["received_at"])
+    texts = F.coalesce(F.get_json_object("data", "$.text"), F.get_json_object("data", "$.content[0].text"), F.lit(""))
+    return one.select("id", "session_id", "seq", F.lower(F.trim("type")).alias("role"), texts.alias("text"), "received_at")
+
+
+# The same rows in SQL; damaged data has no text on either side.
+_MESSAGES = """
+messages AS (
+  SELECT id, session_id, seq, lower(trim(type, ' ')) AS role,
+    coalesce(CASE WHEN json_valid(data) THEN coalesce(data->>'$.text', data->>'$.content[0].text') END, '') AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC) AS n FROM session_messages WHERE session_id IS NOT NULL AND seq IS NOT NULL)
+  WHERE n = 1
+)"""
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The last row of each turn with its tokens and tags."""
+    rows = storage.latest(load(spark, folder, "sidecar_turns").filter("turn_id is not null"), ["turn_id"], ["received_at"])
+    return rows.withColumns({"tokens": turns.turn_tokens(), "tags": turns.turn_tags()})
+
+
+_LATEST_TURNS = "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY received_at DESC) AS n FROM sidecar_turns WHERE turn_id IS NOT NULL) WHERE n = 1)"
+_TURNS = f"WITH {_LATEST_TURNS}, turns AS (SELECT *, {q.turn_tokens()} AS tokens, {q.turn_tags()} AS tags FROM t)"
+
+
+# Scalars over texts
+
+
+@query(f"SELECT doc_id, {q.tokens('text')} AS tokens FROM documents")
+def scalar_token_estimate(spark, folder):
+    return load(spark, folder, "documents").select("doc_id", tx.estimate_tokens("text").alias("tokens"))
+
+
+@query(f"SELECT doc_id, {q.char_tokens('text')} AS tokens FROM documents")
+def scalar_char_tokens(spark, folder):
+    return load(spark, folder, "documents").select("doc_id", tx.char_tokens("text").alias("tokens"))
+
+
+@query(f"SELECT hook_id, scope, {q.language('summary_title')} AS language, round({q.cjk_ratio('summary_title')}, 6) AS ratio FROM hooks WHERE summary_title IS NOT NULL")
+def scalar_language(spark, folder):
+    rows = load(spark, folder, "hooks").filter("summary_title is not null")
+    return rows.select("hook_id", "scope", tx.text_language("summary_title").alias("language"), F.round(tx.cjk_ratio("summary_title"), 6).alias("ratio"))
+
+
+@query(f"SELECT hook_id, scope, array_to_string({q.search_tokens('summary_title')}, ' ') AS tokens FROM hooks WHERE summary_title IS NOT NULL")
+def scalar_search_tokens(spark, folder):
+    rows = load(spark, folder, "hooks").filter("summary_title is not null")
+    return rows.select("hook_id", "scope", F.array_join(tx.search_tokens("summary_title"), " ").alias("tokens"))
+
+
+_PAIRED_TITLES = "pairs AS (SELECT memory_id, min(summary_title) AS a, max(summary_title) AS b FROM hooks WHERE summary_title IS NOT NULL AND memory_id IS NOT NULL GROUP BY memory_id)"
+
+
+def _title_pairs(spark, folder):
+    rows = load(spark, folder, "hooks").filter("summary_title is not null and memory_id is not null")
+    return rows.groupBy("memory_id").agg(F.min("summary_title").alias("a"), F.max("summary_title").alias("b"))
+
+
+@query(
+    f"WITH {_PAIRED_TITLES} SELECT memory_id, round({q.char_similarity('a', 'b')}, 6) AS chars, round({q.word_similarity('a', 'b')}, 6) AS words, "
+    f"round({q.fact_similarity('a', 'b')}, 6) AS facts FROM pairs"
+)
+def scalar_similarities(spark, folder):
+    rounded = lambda c, n: F.round(c, 6).alias(n)
+    return _title_pairs(spark, folder).select(
+        "memory_id", rounded(tx.char_similarity("a", "b"), "chars"), rounded(tx.word_similarity("a", "b"), "words"), rounded(tx.fact_similarity("a", "b"), "facts")
+    )
+
+
+@query(f"SELECT turn_id, received_at, coalesce({q.chitchat('user_message.text', 'llm_message.text')}, false) AS chitchat FROM sidecar_turns")
+def filter_chitchat(spark, folder):
+    return load(spark, folder, "sidecar_turns").select(
+        "turn_id", "received_at", F.coalesce(tx.is_chitchat("user_message.text", "llm_message.text"), F.lit(False)).alias("chitchat")
+    )
+
+
+@query(f"SELECT turn_id, received_at, {q.question('user_message.text')} AS question FROM sidecar_turns WHERE user_message.text IS NOT NULL")
+def filter_questions(spark, folder):
+    rows = load(spark, folder, "sidecar_turns").filter("user_message.text is not null")
+    return rows.select("turn_id", "received_at", tx.is_question("user_message.text").alias("question"))
+
+
+@query("SELECT hook_id, scope, CASE WHEN length(trim(coalesce(summary_title, ''), ' ')) > 0 THEN substring(summary_title, 1, 80) || '...' ELSE 'memory ' || memory_id END AS title FROM hooks")
+def scalar_titles(spark, folder):
+    title = tx.title_of("summary_title", F.concat(F.lit("memory "), "memory_id"))
+    return load(spark, folder, "hooks").select("hook_id", "scope", title.alias("title"))
+
+
+@query("SELECT hook_id, scope, CASE WHEN length(summary_title) > 20 THEN substring(summary_title, 1, 20) || '…' ELSE summary_title END AS short FROM hooks")
+def scalar_truncate(spark, folder):
+    return load(spark, folder, "hooks").select("hook_id", "scope", tx.truncate("summary_title", 20).alias("short"))
+
+
+@query(f"SELECT hook_id, scope, {q.normalise('summary_title')} AS answer FROM hooks WHERE summary_title IS NOT NULL")
+def scalar_normalised(spark, folder):
+    rows = load(spark, folder, "hooks").filter("summary_title is not null")
+    return rows.select("hook_id", "scope", tx.normalise_answer("summary_title").alias("answer"))
+
+
+@query("SELECT memory_id, received_at, strftime(archived_at AT TIME ZONE 'UTC', '%G-W%V') AS week, strftime(archived_at AT TIME ZONE 'UTC', '%Y-%m') AS month FROM memories WHERE archived_at IS NOT NULL")
+def scalar_periods(spark, folder):
+    rows = load(spark, folder, "memories").filter("archived_at is not null")
+    return rows.select("memory_id", "received_at", tx.week_key("archived_at").alias("week"), tx.month_key("archived_at").alias("month"))
+
+
+@query("SELECT doc_id, CASE WHEN n <> '' THEN least(greatest(CAST(n AS DOUBLE), 0), 100) END AS score FROM (SELECT doc_id, regexp_extract(text, '([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents WHERE text IS NOT NULL)")
+def scalar_parsed_scores(spark, folder):
+    return load(spark, folder, "documents").filter("text is not null").select("doc_id", tx.parse_score("text").alias("score"))
+
+
+# Turns
+
+
+@query(f"{_TURNS} SELECT turn_id, array_to_string(tags, ',') AS tags FROM turns")
+def turn_tags(spark, folder):
+    return _turns(spark, folder).select("turn_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"{_TURNS} SELECT turn_id, tokens, {q.turn_tokens(False)} AS without_names FROM turns")
+def turn_token_totals(spark, folder):
+    bare = turns.message_tokens("user_message", False) + turns.message_tokens("llm_message", False)
+    return _turns(spark, folder).select("turn_id", "tokens", bare.alias("without_names"))
+
+
+@query(f"{_TURNS} SELECT turn_id, len(list_filter(tags, lambda x: x IN ({q.strings(turns.HIGH_VALUE_TAGS)}))) > 0 AS high_value FROM turns")
+def filter_high_value(spark, folder):
+    return _turns(spark, folder).select("turn_id", turns.is_high_value(F.col("tags")).alias("high_value"))
+
+
+@query(f"{_TURNS} SELECT session_id, sum(tokens)::BIGINT AS tokens, count(*) AS turns FROM turns WHERE list_contains(tags, 'CodeBlock') OR list_contains(tags, 'Url') GROUP BY session_id")
+def filter_by_tags(spark, folder):
+    rows = _turns(spark, folder).filter(F.arrays_overlap("tags", F.array(F.lit("CodeBlock"), F.lit("Url"))))
+    return rows.groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("turns"))
+
+
+@query(
+    f"{_TURNS}, tagged AS (SELECT DISTINCT session_id, unnest(tags) AS tag FROM turns), tags AS (SELECT session_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tagged GROUP BY session_id), "
+    "sums AS (SELECT session_id, sum(tokens)::BIGINT AS total_tokens, count(*) AS turns FROM turns GROUP BY session_id) "
+    "SELECT s.session_id, total_tokens, turns, tags FROM sums s JOIN tags g ON s.session_id IS NOT DISTINCT FROM g.session_id"
+)
+def aggregate_rollup(spark, folder):
+    rows = _turns(spark, folder)
+    return rows.groupBy("session_id").agg(
+        F.sum("tokens").alias("total_tokens"), F.count("*").alias("turns"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), ",").alias("tags")
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_LATEST_TURNS}, o AS (SELECT session_id, {q.turn_tokens()} AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn_id) AS i FROM t),
+f AS (SELECT session_id, i, 0::BIGINT AS batch, tokens, tokens AS total FROM o WHERE i = 1
+ UNION ALL SELECT o.session_id, o.i, f.batch + CASE WHEN f.total >= 2000 THEN 1 ELSE 0 END, o.tokens, CASE WHEN f.total >= 2000 THEN 0 ELSE f.total END + o.tokens
+ FROM f JOIN o ON o.session_id IS NOT DISTINCT FROM f.session_id AND o.i = f.i + 1)
+SELECT session_id, batch, sum(tokens)::BIGINT AS batch_tokens, count(*) AS turns, sum(tokens) >= 3000 AS truncated FROM f GROUP BY session_id, batch"""
+)
+def aggregate_batches(spark, folder):
+    return turns.batch_turns(_turns(spark, folder), 2000)
+
+
+@query(f"{_TURNS} SELECT session_id, sum(tokens)::BIGINT AS tokens, CASE WHEN floor(sum(tokens) * 100.0 / 2000 + 0.5) >= 100 THEN 'archive' WHEN floor(sum(tokens) * 100.0 / 2000 + 0.5) >= 80 THEN 'soon' ELSE 'wait' END AS advice FROM turns GROUP BY session_id")
+def scalar_threshold_advice(spark, folder):
+    sums = _turns(spark, folder).groupBy("session_id").agg(F.sum("tokens").alias("tokens"))
+    return sums.withColumn("advice", storage.threshold_advice(F.col("tokens"), 2000))
+
+
+@query(f"{_TURNS} SELECT session_id, turn_id, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn_id) AS k FROM turns WHERE tokens > 100) WHERE k <= 10")
+def filter_retained(spark, folder):
+    return lifecycle.retained(_turns(spark, folder)).select("session_id", "turn_id", "tokens")
+
+
+# Sequences of messages
+
+
+@query(
+    f"""WITH {_MESSAGES}, n AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING)::BIGINT AS turn FROM messages WHERE role IN ('user', 'assistant'))
+SELECT session_id, turn, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY seq, id), '') AS user_text, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY seq, id), '') AS llm_text, count(*) AS messages
+FROM n GROUP BY session_id, turn"""
+)
+def window_pair_turns(spark, folder):
+    return turns.pair_turns(_messages(spark, folder))
+
+
+@query(f"WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS llm_text FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY seq, id)) SELECT session_id, seq, text AS user_text, llm_text FROM n WHERE role = 'user' AND next_role = 'assistant'")
+def window_strict_pairs(spark, folder):
+    return turns.strict_pairs(_messages(spark, folder))
+
+
+@query(f"WITH {_MESSAGES} SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id) AS k FROM messages) WHERE k <= 5")
+def window_keep_recent(spark, folder):
+    return turns.keep_recent(_messages(spark, folder), 5).select("id", "session_id")
+
+
+@query(f"WITH {_MESSAGES} SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS k FROM messages) WHERE k <= 3")
+def window_first(spark, folder):
+    return turns.keep_recent(_messages(spark, folder), 3, oldest=True).select("id", "session_id")
+
+
+@query(f"WITH {_MESSAGES} SELECT id, used FROM (SELECT *, sum({q.tokens('text')}) OVER (PARTITION BY session_id ORDER BY seq DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM messages) WHERE used <= 500")
+def window_token_budget(spark, folder):
+    rows = _messages(spark, folder).withColumn("tokens", tx.estimate_tokens("text"))
+    return turns.within_budget(rows, 500).select("id", "used")
+
+
+@query(f"WITH {_MESSAGES} SELECT id, distance, ceil(distance / 1000)::BIGINT AS bucket FROM (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING)::BIGINT AS distance FROM messages)")
+def aggregate_distance_buckets(spark, folder):
+    rows = _messages(spark, folder).withColumn("length", F.length("text")).withColumn("at", F.struct("seq", "id"))
+    return metrics.distance_buckets(rows, "session_id", "at", "length").select("id", "distance", "bucket")
+
+
+@query("SELECT delivery_id, lag(seq) OVER (PARTITION BY session_id ORDER BY seq NULLS FIRST, delivery_id) AS previous FROM compactions")
+def window_previous_seq(spark, folder):
+    return increments.previous_seq(load(spark, folder, "compactions")).select("delivery_id", "previous")
+
+
+@query(
+    f"""{_TURNS}, n AS (SELECT session_id, turn_id, user_message.text AS user_text, lead(user_message.text) OVER (PARTITION BY session_id ORDER BY turn_id) AS next_user_text FROM turns)
+SELECT turn_id, next_user_text FROM n"""
+)
+def window_rounds(spark, folder):
+    rows = _turns(spark, folder).select("session_id", "turn_id", F.col("turn_id").alias("turn"), F.col("user_message.text").alias("user_text"))
+    return turns.rounds(rows).select("turn_id", "next_user_text")
+
+
+@query()
+def source_payloads(spark, folder):
+    return context.parse_payloads(load(spark, folder, "session_messages"))
+
+
+@query()
+def source_context(spark, folder):
+    return context.parse_context(load(spark, folder, "memories").select("memory_id", "content").distinct(), "memory_id", "content")
+
+
+@query("SELECT DISTINCT memory_id, period, importance, access_count, truncated FROM memories")
+def source_documents(spark, folder):
+    rows = load(spark, folder, "memories").select("memory_id", "period", "importance", "access_count", "truncated")
+    return documents.from_documents(documents.to_documents(rows), rows.schema.simpleString()).distinct()
+
+
+# Storage
+
+
+@query("SELECT DISTINCT session_id FROM memories WHERE session_id IS NOT NULL")
+def storage_sessions(spark, folder):
+    return load(spark, folder, "memories").select("session_id").filter("session_id is not null").distinct()
+
+
+@query("SELECT DISTINCT project_id, memory_id FROM memories WHERE project_id IS NOT NULL")
+def storage_project_memories(spark, folder):
+    return load(spark, folder, "memories").select("project_id", "memory_id").filter("project_id is not null").distinct()
+
+
+@query("SELECT memory_id, session_id, max(received_at) AS received_at FROM memories WHERE period = 'weekly' GROUP BY memory_id, session_id")
+def storage_list_memories(spark, folder):
+    rows = load(spark, folder, "memories").filter("period = 'weekly'")
+    return rows.groupBy("memory_id", "session_id").agg(F.max("received_at").alias("received_at"))
+
+
+@query("SELECT session_id, max(saved_at) AS saved_at, max_by(last_seq, saved_at) AS last_seq FROM (SELECT saved_at, unnest(map_entries(last_archived_seq)).key AS session_id, unnest(map_entries(last_archived_seq)).value AS last_seq FROM sidecar_state) GROUP BY session_id")
+def storage_latest_state(spark, folder):
+    rows = load(spark, folder, "sidecar_state").select("saved_at", F.explode("last_archived_seq").alias("session_id", "last_seq"))
+    return storage.latest(rows.select("session_id", "saved_at", "last_seq"), ["session_id"], ["saved_at"])
+
+
+@query("SELECT hook_id, scope, CASE WHEN memory_id IN (SELECT memory_id FROM memories WHERE truncated) THEN 'deleted' ELSE file_status END AS file_status FROM hooks")
+def storage_soft_delete(spark, folder):
+    gone = load(spark, folder, "memories").filter("truncated")
+    return storage.mark_deleted(load(spark, folder, "hooks"), gone).select("hook_id", "scope", "file_status")
+
+
+@query("SELECT memory_id, received_at FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM hooks WHERE file_status = 'corrupted' AND memory_id IS NOT NULL)")
+def storage_hard_delete(spark, folder):
+    keys = load(spark, folder, "hooks").filter("file_status = 'corrupted'")
+    return storage.without(load(spark, folder, "memories"), keys, "memory_id").select("memory_id", "received_at")
+
+
+@query("SELECT memory_id, count(*) AS rows FROM (SELECT memory_id FROM memories WHERE period <> 'daily' AND memory_id NOT IN (SELECT memory_id FROM memories WHERE period = 'daily') UNION ALL SELECT memory_id FROM memories WHERE period = 'daily') GROUP BY memory_id")
+def storage_upsert(spark, folder):
+    rows = load(spark, folder, "memories").select("memory_id", "period", "received_at")
+    return storage.upsert(rows.filter("period <> 'daily'"), rows.filter("period = 'daily'"), ["memory_id"]).groupBy("memory_id").agg(F.count("*").alias("rows"))
+
+
+@query("WITH r AS (SELECT DISTINCT memory_id FROM hooks WHERE memory_id IS NOT NULL), m AS (SELECT DISTINCT memory_id FROM memories) SELECT count(*) AS total, count(m.memory_id) AS success_count FROM r LEFT JOIN m USING (memory_id)")
+def storage_batch_read(spark, folder):
+    requested = load(spark, folder, "hooks").select("memory_id").filter("memory_id is not null").distinct()
+    return storage.batch_summary(storage.batch_lookup(requested, load(spark, folder, "memories"), "memory_id", ["period"]))
+
+
+@query("SELECT hook_id, min(archived_at) AS archived_at, min(memory_id) AS memory_id FROM hooks WHERE (file_status IS NULL OR file_status <> 'deleted') AND starts_with(hook_id, 'a') GROUP BY hook_id ORDER BY min(archived_at), hook_id LIMIT 5")
+def filter_prefix(spark, folder):
+    return storage.find_by_prefix(load(spark, folder, "hooks"), "a", least=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
+@query("SELECT DISTINCT hook_id, memory_id, period, scope, summary_title, coalesce(array_to_string(tags, ', '), '') AS tag_names, strftime(archived_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS archived, token_count FROM hooks WHERE file_status IS NULL OR file_status <> 'deleted'")
+def storage_summary_view(spark, folder):
+    return storage.summary_view(load(spark, folder, "hooks")).distinct()
 
-SQL: dict[str, str] = {
-    "p6_found": r"""
+
+@query("WITH m AS (SELECT memory_id, max(content) AS content FROM memories GROUP BY memory_id) SELECT DISTINCT hook_id, scope, md5(concat_ws(' | ', CASE WHEN trim(summary_title, ' ') <> '' THEN summary_title END, CASE WHEN trim(array_to_string(tags, ' '), ' ') <> '' THEN array_to_string(tags, ' ') END, CASE WHEN trim(content, ' ') <> '' THEN content END)) AS digest FROM hooks LEFT JOIN m USING (memory_id)")
+def join_index_text(spark, folder):
+    rows = storage.index_text(storage.with_memory_text(load(spark, folder, "hooks"), load(spark, folder, "memories")))
+    return rows.select("hook_id", "scope", F.md5("index_text").alias("digest")).distinct()
+
+
+@query("WITH h AS (SELECT DISTINCT session_id, period, archived_at, hook_id, summary_title FROM hooks WHERE file_status IS NULL OR file_status <> 'deleted') SELECT session_id, period, count(*) AS lines, string_agg('- ' || coalesce(summary_title, '?') || ' [' || hook_id || ']', chr(10) ORDER BY archived_at, hook_id, coalesce(summary_title, '?')) AS prompt FROM h GROUP BY session_id, period")
+def aggregate_prompts(spark, folder):
+    rows = load(spark, folder, "hooks").select("session_id", "period", "archived_at", "hook_id", "summary_title", "file_status")
+    return storage.prompt_lines(storage.not_deleted(rows).drop("file_status").distinct().withColumn("file_status", F.lit(None).cast("string")))
+
+
+@query("SELECT DISTINCT hook_id, archived_at FROM (SELECT hook_id, archived_at, row_number() OVER (PARTITION BY session_id ORDER BY archived_at DESC, hook_id DESC) AS k FROM (SELECT DISTINCT hook_id, session_id, archived_at FROM hooks)) WHERE k <= 3")
+def window_recent_hooks(spark, folder):
+    rows = load(spark, folder, "hooks").select("hook_id", "session_id", "archived_at").distinct()
+    return storage.recent_hooks(rows, 3, "session_id").select("hook_id", "archived_at").distinct()
+
+
+@query("SELECT h.hook_id, m.period, count(*) AS n FROM (SELECT DISTINCT hook_id, memory_id FROM hooks) h JOIN (SELECT DISTINCT memory_id, period FROM memories) m USING (memory_id) GROUP BY h.hook_id, m.period")
+def join_hooks_memories(spark, folder):
+    hooks, memories = load(spark, folder, "hooks"), load(spark, folder, "memories")
+    rows = hooks.select("hook_id", "memory_id").distinct().join(memories.select("memory_id", "period").distinct(), "memory_id")
+    return rows.groupBy("hook_id", "period").agg(F.count("*").alias("n"))
+
+
+# Search
+
+
+@query(q.bm25("documents", "doc_id", "text", SEARCHED) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+def search_bm25(spark, folder):
+    best = search.top(search.bm25(load(spark, folder, "documents"), "doc_id", "text", SEARCHED), 20, "doc_id")
+    return best.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(score, 6) AS score FROM (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 20")
+def search_cosine(spark, folder):
+    scores = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
+    return search.top(scores, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(score, 6) AS score FROM (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 5 - 2) / 2 for i in range(64)], False) + ") WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 20")
+def search_inner_product(spark, folder):
+    scores = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 5 - 2) / 2 for i in range(64)], False)
+    return search.top(scores, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+_FUSED = (
+    q.bm25("documents", "doc_id", "text", SEARCHED)
+    + ", k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ("
+    + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
+    + ") WHERE score > 0), u AS (SELECT * FROM k WHERE r <= 20 UNION ALL SELECT * FROM v WHERE r <= 20)"
+)
+
+
+@query(_FUSED + " SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score, 'hybrid' AS source FROM u GROUP BY doc_id ORDER BY sum(1.0 / (60 + r)) DESC, doc_id LIMIT 20")
+def search_hybrid(spark, folder):
+    keyword = search.bm25(load(spark, folder, "documents"), "doc_id", "text", SEARCHED)
+    vectors = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
+    fused = search.hybrid(keyword, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
+    return fused.select("doc_id", F.round("score", 6).alias("score"), "source")
+
+
+@query(q.bm25("documents", "doc_id", "text", "qqqq") + ", v AS (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") SELECT vec_id AS doc_id, round(score, 6) AS score, 'semantic' AS source FROM v WHERE score > 0 AND (SELECT count(*) FROM scored) = 0 ORDER BY v.score DESC, vec_id LIMIT 20")
+def search_hybrid_degraded(spark, folder):
+    keyword = search.bm25(load(spark, folder, "documents"), "doc_id", "text", "qqqq")
+    vectors = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
+    fused = search.hybrid(keyword, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
+    return fused.select("doc_id", F.round("score", 6).alias("score"), "source")
+
+
+@query(
+    q.bm25("(SELECT DISTINCT memory_id, project_id, content FROM memories WHERE project_id IS NOT NULL)", "memory_id", "content", SEARCHED, by="project_id")
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, memory_id) AS k FROM scored) SELECT memory_id, project_id, round(score, 6) AS score FROM r WHERE k <= 3 ORDER BY score DESC, project_id, memory_id LIMIT 10"
+)
+def search_projects(spark, folder):
+    rows = load(spark, folder, "memories").select("memory_id", "project_id", "content").filter("project_id is not null").distinct()
+    return search.search_projects(rows, "memory_id", "content", SEARCHED, "project_id", 3, 10).select("memory_id", "project_id", F.round("score", 6).alias("score"))
+
+
+@query(q.bm25("documents", "doc_id", "text", "retry window the", words="list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')", terms={"retry": 1, "window": 1}) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+def search_whitespace_bm25(spark, folder):
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    best = search.top(search.bm25(load(spark, folder, "documents"), "doc_id", "text", "retry window the", tokens=words), 20, "doc_id")
+    return best.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({q.search_tokens('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term, doc_id) GROUP BY term")
+def aggregate_term_statistics(spark, folder):
+    return search.term_statistics(load(spark, folder, "documents"), "doc_id", "text")
+
+
+@query(f"WITH h AS (SELECT DISTINCT hook_id, scope, {q.relevance('retry index 消息')} AS relevance FROM hooks) SELECT * FROM h WHERE relevance > 0")
+def search_relevance(spark, folder):
+    return search.relevant_hooks(load(spark, folder, "hooks"), "retry index 消息").select("hook_id", "scope", "relevance").distinct()
+
+
+# Lifecycle
+
+_AGE = f"(epoch(TIMESTAMPTZ '{NOW}+00') - epoch(archived_at)) / 86400"
+
+
+@query(f"SELECT DISTINCT memory_id, round(least(greatest(100.0 / 3 * pow(0.5, greatest({_AGE}, 0) / 7) + least(coalesce(access_count, 0) / 10.0, 1) * 100 / 3 + coalesce(importance, 0) / 3.0, 0), 100), 4) AS score FROM memories WHERE archived_at IS NOT NULL")
+def lifecycle_eviction_score(spark, folder):
+    score = lifecycle.eviction_score(F.col("archived_at"), F.col("access_count"), F.col("importance"), NOW)
+    return load(spark, folder, "memories").filter("archived_at is not null").select("memory_id", F.round(score, 4).alias("score")).distinct()
+
+
+@query(f"SELECT DISTINCT memory_id, round(least(greatest(15 * pow(0.5, greatest({_AGE}, 0) / 7) + least(coalesce(access_count, 0) / 10.0, 1) * 15 + 25 + coalesce(importance, 0) * 0.2, 0), 100), 4) AS score FROM memories WHERE archived_at IS NOT NULL")
+def lifecycle_scenario_score(spark, folder):
+    score = lifecycle.scenario_score("coding", F.col("archived_at"), F.col("access_count"), F.col("importance"), NOW)
+    return load(spark, folder, "memories").filter("archived_at is not null").select("memory_id", F.round(score, 4).alias("score")).distinct()
+
+
+@query(
+    f"{_TURNS}, k AS (SELECT session_id, strftime(created_at AT TIME ZONE 'UTC', '%G-W%V') AS week, tokens, tags FROM turns WHERE NOT coalesce({q.chitchat('user_message.text', 'llm_message.text')}, false)), "
+    "g AS (SELECT session_id, week, count(*) AS turns, sum(tokens)::BIGINT AS tokens FROM k GROUP BY session_id, week), "
+    "a AS (SELECT session_id, week, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT session_id, week, unnest(tags) AS tag FROM k) GROUP BY session_id, week) "
+    "SELECT g.session_id, g.week, turns, tokens, tags FROM g JOIN a ON g.session_id IS NOT DISTINCT FROM a.session_id AND g.week IS NOT DISTINCT FROM a.week"
+)
+def lifecycle_weekly_merge(spark, folder):
+    rows = _turns(spark, folder).withColumns({"user_text": F.col("user_message.text"), "llm_text": F.col("llm_message.text")})
+    return lifecycle.weekly_merge(rows)
+
+
+@query(
+    f"WITH m AS (SELECT DISTINCT memory_id, session_id, round(least(greatest(100.0 / 3 * pow(0.5, greatest({_AGE}, 0) / 7) + least(coalesce(access_count, 0) / 10.0, 1) * 100 / 3 + coalesce(importance, 0) / 3.0, 0), 100), 4) AS score FROM memories WHERE archived_at IS NOT NULL AND session_id IS NOT NULL) "
+    "SELECT memory_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, memory_id) = 1 AS is_main FROM m"
+)
+def lifecycle_monthly_evict(spark, folder):
+    score = lifecycle.eviction_score(F.col("archived_at"), F.col("access_count"), F.col("importance"), NOW)
+    files = load(spark, folder, "memories").filter("archived_at is not null and session_id is not null").select("memory_id", "session_id", F.round(score, 4).alias("score")).distinct()
+    return lifecycle.monthly_evict(files, ["session_id"]).select("memory_id", "session_id", "is_main")
+
+
+@query("SELECT DISTINCT hook_id, t AS tag, CASE t WHEN 'CodeBlock' THEN 1.0 WHEN 'ToolCall' THEN 0.833333 WHEN 'Thinking' THEN 0.666667 WHEN 'Plan' THEN 0.5 WHEN 'Url' THEN 0.333333 WHEN 'FileAttachment' THEN 0.166667 ELSE 0.0 END::DOUBLE AS priority FROM (SELECT hook_id, unnest(tags) AS t FROM hooks)")
+def lifecycle_tag_priority(spark, folder):
+    rows = load(spark, folder, "hooks").select("hook_id", F.explode("tags").alias("tag")).distinct()
+    return rows.withColumn("priority", F.round(lifecycle.tag_priority(F.col("tag"), "coding"), 6))
+
+
+@query("SELECT state_id, coalesce(cached_threshold, least(500000, floor(128000 * 0.8)))::BIGINT AS threshold FROM sidecar_state")
+def lifecycle_thresholds(spark, folder):
+    return load(spark, folder, "sidecar_state").select(
+        "state_id", lifecycle.resolve_threshold(F.col("cached_threshold"), F.lit(500_000), F.lit(None).cast("long"), F.lit(128_000)).alias("threshold")
+    )
+
+
+@query("SELECT DISTINCT hook_id, CASE WHEN token_count > 1000 THEN 'high' WHEN token_count > 500 THEN 'medium' ELSE 'low' END AS priority FROM hooks")
+def lifecycle_priority_bucket(spark, folder):
+    return load(spark, folder, "hooks").select("hook_id", lifecycle.priority_bucket(F.col("token_count")).alias("priority")).distinct()
+
+
+@query("SELECT vec_id, CASE WHEN score > 0.7 THEN 'full' WHEN score > 0.4 THEN 'summary' ELSE 'keywords' END AS inject FROM (SELECT * FROM (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 3)")
+def lifecycle_inject(spark, folder):
+    scores = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
+    return search.top(scores, 3, "vec_id").select("vec_id", lifecycle.inject_strategy(F.col("score")).alias("inject"))
+
+
+# Conflicts: the titles of a memory's hooks, in order of archiving, as the facts of its updates
+
+
+def _facts(spark, folder):
+    from pyspark.sql import Window
+
+    rows = load(spark, folder, "hooks").filter("memory_id is not null and summary_title is not null").select("memory_id", "hook_id", "archived_at", "summary_title").distinct()
+    w = Window.partitionBy("memory_id").orderBy("archived_at", "hook_id")
+    numbered = rows.withColumn("update_seq", F.row_number().over(w))
+    added = numbered.select("memory_id", "update_seq", F.lit("added").alias("kind"), F.col("summary_title").alias("fact"))
+    gone = numbered.select("memory_id", (F.col("update_seq") + 1).alias("update_seq"), F.lit("deprecated").alias("kind"), F.col("summary_title").alias("fact"))
+    return added.unionByName(gone)
+
+
+_FACTS = """h AS (SELECT DISTINCT memory_id, hook_id, archived_at, summary_title FROM hooks WHERE memory_id IS NOT NULL AND summary_title IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY archived_at, hook_id) AS s FROM h),
+f AS (SELECT memory_id, s, 'added' AS kind, summary_title AS fact FROM n UNION ALL SELECT memory_id, s + 1, 'deprecated', summary_title FROM n)"""
+
+
+@query(f"WITH {_FACTS} SELECT a.memory_id, a.s AS seq, a.fact AS new_fact, b.fact AS existing_fact FROM f a JOIN f b ON a.memory_id = b.memory_id AND a.kind = 'added' AND b.kind = 'deprecated' AND a.s = b.s WHERE {q.fact_similarity('a.fact', 'b.fact')} >= 0.8")
+def conflict_self(spark, folder):
+    return conflicts.self_contradictions(_facts(spark, folder)).select("memory_id", "seq", "new_fact", "existing_fact")
+
+
+@query(f"WITH {_FACTS} SELECT a.memory_id, a.s AS seq, a.fact AS new_fact, b.fact AS existing_fact FROM f a JOIN f b ON a.memory_id = b.memory_id AND a.kind = 'added' AND b.kind = 'added' AND b.s < a.s WHERE {q.opposes('a.fact', 'b.fact')}")
+def conflict_direct(spark, folder):
+    return conflicts.direct_contradictions(_facts(spark, folder)).select("memory_id", "seq", "new_fact", "existing_fact")
+
+
+@query(f"WITH {_FACTS} SELECT a.memory_id, a.s AS seq, a.fact AS new_fact, b.fact AS existing_fact FROM f a JOIN f b ON a.memory_id = b.memory_id AND a.kind = 'deprecated' AND b.kind = 'added' AND b.s < a.s WHERE {q.fact_similarity('a.fact', 'b.fact')} >= 0.6")
+def conflict_reversal(spark, folder):
+    return conflicts.stance_reversals(_facts(spark, folder)).select("memory_id", "seq", "new_fact", "existing_fact")
+
+
+@query()
+def conflict_summary(spark, folder):
+    return conflicts.summary(conflicts.detect(_facts(spark, folder)))
+
+
+@query()
+def conflict_merged_reports(spark, folder):
+    found = conflicts.detect(_facts(spark, folder))
+    return conflicts.merge_reports(found.filter("conflict <> 'reversal'"), found.filter("conflict <> 'direct'"))
+
+
+# Measures
+
+_EVALUATED = "e AS (SELECT user_id, list(event_id ORDER BY value DESC, event_id) AS ranked, list(event_id) FILTER (event_type = 'purchase') AS answers FROM events GROUP BY user_id)"
+
+
+def _evaluated(spark, folder):
+    rows = load(spark, folder, "events").groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))), lambda x: x["event_id"]).alias("ranked"),
+        F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("answers"),
+    )
+    return rows
+
+
+@query(
+    f"WITH {_EVALUATED}, c AS (SELECT user_id, ranked[:10] AS best, coalesce(answers, []) AS right_ids FROM e) SELECT user_id, CASE WHEN len(list_intersect(best, right_ids)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_any, "
+    "CASE WHEN len(list_intersect(best, right_ids)) = len(right_ids) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_all, "
+    "round(CASE WHEN len(right_ids) = 0 THEN 0 ELSE list_sum(list_transform(range(1, len(best) + 1), lambda i: CASE WHEN list_contains(right_ids, best[i]) THEN CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 1 / log2(i) END ELSE 0 END)) "
+    "/ list_sum(list_transform(range(1, least(len(right_ids), 10) + 1), lambda i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 1 / log2(i) END)) END, 6)::DOUBLE AS ndcg FROM c"
+)
+def metric_retrieval(spark, folder):
+    rows = metrics.retrieval_metrics(_evaluated(spark, folder), "ranked", "answers", 10)
+    return rows.select("user_id", "recall_any", "recall_all", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"WITH {_PAIRED_TITLES} SELECT memory_id, round({q.token_f1('a', 'b')}, 6) AS f1, {q.exact_match('a', 'b')} AS exact FROM pairs")
+def metric_token_f1(spark, folder):
+    rows = _title_pairs(spark, folder)
+    return rows.select("memory_id", F.round(metrics.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), metrics.exact_match(F.col("a"), F.col("b")).alias("exact"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 4) AS mean, count(o_totalprice) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))")
+def metric_grouped_means(spark, folder):
+    return metrics.accuracy(load(spark, folder, "orders"), "o_totalprice", ["o_orderpriority"], "o_orderstatus")
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat_ws(':', event_id::VARCHAR, '42')), event_id) AS k FROM events) WHERE k <= 20")
+def metric_stratified_sample(spark, folder):
+    return metrics.stratified_sample(load(spark, folder, "events"), "event_type", "event_id", 100, 5).select("event_id", "event_type")
+
+
+@query(
+    "WITH r AS (SELECT user_id AS session_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY user_id), "
+    "i AS (SELECT DISTINCT user_id AS session_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND event_type = 'purchase') "
+    "SELECT r.session_id, row_number() OVER (ORDER BY (i.session_id IS NOT NULL) DESC, rank) AS new_rank FROM r LEFT JOIN i USING (session_id)"
+)
+def metric_date_rerank(spark, folder):
+    from pyspark.sql import Window
+
+    events = load(spark, folder, "events")
+    counts = events.groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"))
+    ranked = counts.select("session_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "session_id")).alias("rank"))
+    dates = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.to_date("ts").alias("day"))
+    return metrics.date_range_rerank(ranked, dates, "2024-01-10", "2024-01-12").select("session_id", "new_rank")
+
+
+# Increments and streams
+
+_ARCHIVED = "a AS (SELECT session_id, max(seq) AS last_seq FROM (SELECT unnest(map_entries(last_archived_seq)).key AS session_id, unnest(map_entries(last_archived_seq)).value AS seq FROM sidecar_state) GROUP BY session_id)"
+
+
+@query(f"WITH {_MESSAGES}, {_ARCHIVED} SELECT session_id, sum(tokens)::BIGINT AS tokens, max(seq) AS last_seq FROM (SELECT m.session_id, m.seq, {q.tokens('text')} AS tokens FROM messages m LEFT JOIN a USING (session_id) WHERE m.seq > coalesce(a.last_seq, -1)) GROUP BY session_id HAVING sum(tokens) > 0")
+def increment_pending_tokens(spark, folder):
+    rows = _messages(spark, folder).select("session_id", "seq", tx.estimate_tokens("text").alias("tokens"))
+    return increments.pending_tokens(rows, increments.last_archived(load(spark, folder, "sidecar_state")))
+
+
+@query(f"WITH {_MESSAGES}, {_ARCHIVED} SELECT session_id, sum(tokens)::BIGINT AS tokens FROM (SELECT m.session_id, {q.tokens('text')} AS tokens FROM messages m LEFT JOIN a USING (session_id) WHERE m.seq > coalesce(a.last_seq, -1)) GROUP BY session_id HAVING sum(tokens) >= 800")
+def increment_due_sessions(spark, folder):
+    return increments.due_sessions(increment_pending_tokens(spark, folder), 1000, 80).select("session_id", "tokens")
+
+
+@query("SELECT delivery_id FROM compactions WHERE message_id IS NULL OR message_id NOT IN (SELECT id FROM (SELECT unnest(processed_message_ids) AS id FROM sidecar_state) WHERE id IS NOT NULL)")
+def increment_unprocessed(spark, folder):
+    return increments.unprocessed(load(spark, folder, "compactions"), load(spark, folder, "sidecar_state"), "message_id").select("delivery_id")
+
+
+@query(f"WITH {_ARCHIVED} SELECT m.id, m.received_at FROM session_messages m JOIN a USING (session_id) WHERE m.seq > a.last_seq AND m.seq < 1000000 AND m.type <> 'compaction'")
+def increment_between(spark, folder):
+    ranges = increments.last_archived(load(spark, folder, "sidecar_state")).select("session_id", F.col("last_seq").alias("low"), F.lit(1_000_000).cast("long").alias("high"))
+    return increments.between(load(spark, folder, "session_messages"), ranges).select("id", "received_at")
+
+
+@query("SELECT CASE WHEN starts_with(session_id, 'ses_0') THEN 'zero' WHEN starts_with(session_id, 'ses_a') THEN 'letter' ELSE 'custom' END AS family, count(*) AS sessions FROM (SELECT DISTINCT session_id FROM memories WHERE session_id IS NOT NULL) GROUP BY 1")
+def increment_families(spark, folder):
+    sessions = storage_sessions(spark, folder).select(F.regexp_replace("session_id", "^(ses_.)", "$1_").alias("session_id"))
+    families = spark.createDataFrame([("zero", "ses_0"), ("letter", "ses_a")], "family string, prefix string")
+    return increments.by_family(sessions, families)
+
+
+@query("SELECT session_id, count(*) AS messages, max(seq) AS last_seq FROM session_messages WHERE session_id IS NOT NULL GROUP BY session_id")
+def stream_session_totals(spark, folder):
+    path = f"{folder}/session_messages.parquet"
+    return totals.follow_totals(spark, path, spark.read.parquet(path).schema)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, folder):
+    return totals.windowed_counts(load(spark, folder, "events"), "ts", "1 day", ["event_type"])
+
+
+@query(
+    r"""
 WITH d AS (
   SELECT delivery_id, received_at, nullif(lower(regexp_replace(message_id, '^\s+|\s+$', '', 'g')), '') AS k FROM compactions
 ), listed AS (
@@ -29,8 +649,18 @@ WITH d AS (
 )
 SELECT delivery_id FROM ranked LEFT JOIN listed USING (k) WHERE n > 1 OR saved_at < received_at
 """
-}
+)
+def p6_found(spark, folder):
+    """Deliveries to drop."""
+    return repeated_deliveries(load(spark, folder, "compactions"), load(spark, folder, "sidecar_state"))
+
+
+@query("SELECT coalesce(nullif(lower(regexp_replace(message_id, '^\\s+|\\s+$', '', 'g')), ''), '?') AS key, count(*) AS deliveries FROM compactions GROUP BY 1")
+def p6_deliveries(spark, folder):
+    rows = load(spark, folder, "compactions").select(F.coalesce(same_id("message_id"), F.lit("?")).alias("key"))
+    return rows.groupBy("key").agg(F.count("*").alias("deliveries"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_found(spark, folder)
+    """Hybrid search over documents and vectors."""
+    return search_hybrid(spark, folder)

@@ -22,7 +22,7 @@ def follow_totals(spark: SparkSession, path: str, schema, max_files: int = 4) ->
     session holds.
     """
     out, checkpoint = new_folder(spark, "totals"), new_folder(spark, "checkpoint")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(path)
 
     def write(changed: DataFrame, number: int) -> None:
         changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/number={number}")
