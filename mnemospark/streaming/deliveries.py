@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, new_folder, settings
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def same_id(column: Column | str) -> Column:
     """Identifiers that differ by case or outer white space only are one; blank ones are none."""
@@ -70,6 +68,9 @@ def keep_one_delivery(
     received_at, which cannot be ordered. Null lists, null, blank and repeated
     list entries, entries unknown to the deliveries and empty tables have no
     effect. Extra columns are ignored. `delay` bounds the state, not the result.
+
+    The state store is the one the session names; RocksDB keeps a state larger
+    than memory, at some megabytes of disk for each partition and slice.
     """
     spark = deliveries.sparkSession
     rows = deliveries.select("delivery_id", same_id("message_id").alias("key"), "received_at")
@@ -101,11 +102,7 @@ def _run(spark: SparkSession, folders: list[str], delay: str) -> str:
     fs = jvm.org.apache.hadoop.fs.Path(inbox).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(inbox))
     schema = spark.read.parquet(folders[0]).schema
-    with settings(
-        spark,
-        spark__sql__streaming__stateStore__providerClass=ROCKSDB,
-        spark__sql__streaming__noDataMicroBatches__enabled="false",
-    ):
+    with settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false"):
         for n, folder in enumerate(folders):
             # a rename hands a whole slice to the source at once
             fs.rename(jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(f"{inbox}/{n:06d}"))
