@@ -147,6 +147,8 @@ class PrefixOrders:
 
 
 _SKETCH_BITS = 128
+#: Prefix keys that one task groups.
+_BUCKET_KEYS = 250_000
 
 
 def sketch(firsts: np.ndarray) -> np.ndarray:
@@ -225,7 +227,7 @@ def similar_texts(
         "marks",
     )
     members = signed.select("id", "same").join(marks.select("same", "representative"), "same").select("id", "representative").distinct()
-    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), signed.count() * bands // _BUCKET_KEYS)
 
     def deal(batches):
         """Packs (prefix key, set) pairs into one array for each bucket, equal sets once."""
