@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +52,21 @@ def sound_vectors(df: DataFrame, id_col: str, vector_col: str, time_col: str | N
     value = F.col(vector_col).cast("array<float>")
     at = F.struct(*([F.col(time_col)] if time_col else []), value)
     latest = rows.groupBy(F.col(id_col).alias("id")).agg(F.max_by(F.struct(value.alias("v")), at).alias("m")).select("id", F.col("m.v").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # scaled by the largest value first, so that no square overflows or vanishes
-    latest = latest.filter((F.size("v") == dim) & finite).withColumn("top", F.array_max(F.transform("v", F.abs)).cast("double")).filter("top > 0")
-    scaled = F.transform("v", lambda x: x.cast("double") / F.col("top"))
-    latest = latest.withColumn("s", scaled)
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    return latest.withColumn("norm", norm).select("id", F.transform("s", lambda x: (x / F.col("norm")).cast("float")).alias("unit"))
+
+    def normalise(batches):
+        for batch in batches:
+            size = pa.compute.equal(pa.compute.list_value_length(batch.column(1)), dim).fill_null(False)
+            part = batch.filter(size)
+            if not part.num_rows:
+                continue
+            # null entries become NaN, and no square of a float overflows a double
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            norm = np.sqrt((x * x).sum(1))
+            sound = np.isfinite(norm) & (norm > 0)
+            unit = (x[sound] / norm[sound, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(sound)), _lists(unit)], names=["id", "unit"])
+
+    return latest.mapInArrow(normalise, f"id {dict(latest.dtypes)['id']}, unit array<float>")
 
 
 class KdTree:
@@ -119,7 +128,7 @@ def nearest_vectors(
     min_cosine: float | None = None,
     directions: int = 12,
     probability: float = 0.99,
-    leaf_rows: int = 4096,
+    leaf_rows: int = 16_384,
     sample_rows: int = 20_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -143,10 +152,11 @@ def nearest_vectors(
     spark = vectors.sparkSession
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((dim, directions)).astype(np.float32)
-    base = materialize(vectors.select("id", "unit", *([] if queries is None else [])), "vectors")
+    base = materialize(vectors.select("id", "unit"), "vectors")
     total = base.count()
     if not total:
-        return spark.createDataFrame([], "query string, neighbour string, cosine double")
+        kind = dict(base.dtypes)["id"]
+        return spark.createDataFrame([], f"query {kind}, neighbour {kind}, cosine double")
     share = min(1.0, sample_rows / total)
     sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("unit").limit(sample_rows)
     points = np.array([r["unit"] for r in sample.collect()], np.float32).reshape(-1, dim) @ planes
@@ -211,8 +221,8 @@ def nearest_vectors(
 
         def compare(names, unit, radius, ids, held, far):
             near = unit @ planes
-            for a in range(0, len(names), 1024):
-                q, r = near[a : a + 1024], radius[a : a + 1024]
+            for a in range(0, len(names), 256):
+                q, r = near[a : a + 256], radius[a : a + 256]
                 gap = (q * q).sum(1)[:, None] + (far * far).sum(1)[None] - 2 * (q @ far.T)
                 i, j = np.nonzero(gap <= r[:, None].astype(np.float32) * np.float32(1.0001) + np.float32(1e-5))
                 if not len(i):
