@@ -57,8 +57,7 @@ def text_language(text: _C) -> Column:
 def search_tokens(text: _C, stop_words: bool = True) -> Column:
     """Runs of ASCII letters and digits in lower case, and single CJK characters, without stop words."""
     tokens = F.regexp_extract_all(F.lower(_col(text)), F.lit(f"[a-z0-9]+|[{CJK_SEARCH}]"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t)) if stop_words else tokens
+    return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)) if stop_words else tokens
 
 
 def ngrams(text: _C, n: int) -> Column:

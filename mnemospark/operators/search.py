@@ -38,8 +38,10 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, tokens: Column |
     if not terms:
         return df.select(id_col, *by).limit(0).withColumn("score", F.lit(0.0))
     words = search_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens
-    count = lambda t: F.size(F.filter("__words", lambda w: w == t))
-    docs = df.select(id_col, *by, words.alias("__words")).select(id_col, *by, F.size("__words").alias("dl"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    count = lambda ws, t: F.size(F.filter(ws, lambda w: w == t))
+    # within a lambda the words are made once for all counts
+    counted = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("dl"), *(count(ws, t).alias(f"tf{i}") for i, t in enumerate(terms))))
+    docs = df.select(id_col, *by, F.inline(counted))
     stats = docs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hits = docs.filter(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms)))))
     joined = hits.join(stats, by) if by else hits.crossJoin(F.broadcast(stats))  # one row of totals
