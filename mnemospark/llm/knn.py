@@ -244,7 +244,8 @@ def nearest_vectors(
                     kind = pa.string() if id_type == "string" else None
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2])], names=["query", "neighbour", "cosine"])
 
-        return rows.repartition(parts, "block").sortWithinPartitions("block", "asks").mapInArrow(search, f"query {id_type}, neighbour {id_type}, cosine double")
+        # more partitions than blocks, so that few blocks meet in one
+        return rows.repartition(4 * parts, "block").sortWithinPartitions("block", "asks").mapInArrow(search, f"query {id_type}, neighbour {id_type}, cosine double")
 
     def best(found: DataFrame) -> DataFrame:
         top = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k).alias("top"))
