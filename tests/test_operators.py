@@ -209,3 +209,16 @@ def test_deliveries_of_hot_and_empty_tables(spark):
     assert [r[0] for r in keep_one_delivery(hot, slices=2).collect()] == [0]
     empty = spark.createDataFrame([], DELIVERY)
     assert keep_one_delivery(empty).count() == 0
+
+
+def test_payloads(spark):
+    from mnemospark.sources.context import parse_payloads
+
+    rows = [
+        ("a", T0, '{"content":[{"type":"reasoning","text":"r1"},{"type":"text","text":"x"},{"type":"text","text":"y"},{"type":"tool","name":"grep"}],"finish":"stop","cost":0.5}'),
+        ("b", T0, '{"text":"plain"}'), ("c", T0, '{"text":"cut'), ("d", T0, None),
+    ]
+    got = {r["id"]: tuple(r)[2:] for r in parse_payloads(spark.createDataFrame(rows, "id string, received_at timestamp, data string")).collect()}
+    assert got["a"] == ("x\ny", "r1", 1, "stop", 0.5)
+    assert got["b"][0] == "plain" and got["b"][2] == 0
+    assert got["c"][2:] == got["d"][2:] == (0, None, None)
