@@ -135,7 +135,33 @@ def is_refusal(answer: str) -> bool:
     return refuses
 
 
-def ends_open(answer: str, stop_reason: str | None, bullet_words: set[str] | frozenset = frozenset()) -> bool:
+_ENDINGS = {"s", "es", "d", "ed", "r", "er", "ers", "or", "ors", "n", "en", "e", "ing", "ion", "ions", "ly", "y", "al", "ment", "ments", "able", "ness"}
+
+
+def cut_item(text: str, cut: bool) -> bool:
+    """The last list item, which ends in a letter or digit, is cut by what the answer itself shows.
+
+    It breaks off at a word that calls for another, inside a word that the
+    answer spells out elsewhere, or without the final mark of all other items;
+    if the stop reason names a limit, also with fewer words than any other item.
+    """
+    *before, last = [x for x in text.split("\n") if x.strip()]
+    words = last.split()
+    word = words[-1].lower()
+    if word in _OPEN_WORDS or len(words) <= 2 and cut:
+        return True
+    if not word.isalpha():
+        return False
+    others = [x.split() for x in before if _BULLET.match(x)]
+    if len(others) > 1 and all(x[-1].rstrip(_CLOSERS)[-1:] in tuple(_ENDS) for x in others):
+        return True
+    if cut and len(others) > 1 and len(words) < min(map(len, others)):
+        return True
+    said = {w for x in (*before, " ".join(words[:-1])) for w in _WORD.findall(x.lower())}
+    return len(word) > 3 and word not in said and any(w.startswith(word) and w[len(word) :] not in _ENDINGS for w in said)
+
+
+def ends_open(answer: str, stop_reason: str | None) -> bool:
     """The answer stops before it is complete."""
     text = answer.rstrip()
     if text.count("```") % 2:
@@ -169,10 +195,7 @@ def ends_open(answer: str, stop_reason: str | None, bullet_words: set[str] | fro
         return False
     words = end.split()
     if _BULLET.match(last):
-        word = words[-1].lower()
-        if word in _OPEN_WORDS or len(words) <= 2 and cut:
-            return True
-        return bool(bullet_words) and word.isalpha() and word not in bullet_words
+        return cut_item(text, cut)
     if _ITEM.match(last):
         return True
     if _HAN.search(last):
@@ -254,7 +277,7 @@ def is_other_language(prompt: str, answer: str) -> bool:
     return not any(name == said and pattern.search(prompt) for name, pattern in _ASKED)
 
 
-def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str | None, shortened: bool, at_limit: bool, bullet_words=frozenset()) -> str | None:
+def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str | None, shortened: bool, at_limit: bool) -> str | None:
     """The one defect of a pair, or None."""
     if answer is None or is_empty(answer):
         return None if tool_calls else "empty"
@@ -262,7 +285,7 @@ def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str |
         return "copy"
     if is_refusal(answer):
         return "refusal"
-    if ends_open(answer, stop_reason, bullet_words):
+    if ends_open(answer, stop_reason):
         return "truncated"
     if (shortened or at_limit) and answer.rstrip()[-1:].isalnum() and not _BULLET.match(answer.rstrip().split("\n")[-1]) and len(answer) > 40:
         return "truncated"
@@ -338,30 +361,23 @@ def defective_pairs(turns: DataFrame) -> DataFrame:
     texts = pairs.select(F.rtrim("answer").alias("text"))
     shortened = shortened_texts(texts).withColumn("shortened", F.lit(True))
     limits = limit_lengths(texts).withColumn("at_limit", F.lit(True))
-    # last words of list items, for telling a whole item from a cut one
-    items = F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(r"(?m)^\s*[-*•–+] .*?([a-z]+)[ \t]*\n"), F.lit(1)))
-    words = pairs.filter(F.col("answer").contains("\n- ")).select(items.alias("word")).groupBy("word").count().filter("count >= 3").select("word", F.lit(True).alias("item_word"))
     rows = (
         pairs.withColumn("text_hash", F.xxhash64(F.rtrim("answer")))
         .withColumn("size", F.length(F.rtrim("answer")))
-        .withColumn("word", F.lower(F.regexp_extract("answer", r"(?:^|\n)\s*[-*•–+] [^\n]*?([A-Za-z]+)\s*$", 1)))
         .join(shortened, ["text_hash", "size"], "left")
         .join(limits, "size", "left")
-        .join(words, "word", "left")
         .select(
             "turn_id", "prompt", "answer", "tool_calls", "stop_reason",
             F.coalesce("shortened", F.lit(False)).alias("shortened"),
             F.coalesce("at_limit", F.lit(False)).alias("at_limit"),
-            F.when(F.col("item_word"), F.col("word")).when(F.col("word") != "", F.lit("?")).alias("item"),
         )
     )
 
     def judge(batches):
         for batch in batches:
             ids, found = [], []
-            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 8)))):
-                *pair, item = row
-                if verdict := defect(*pair, frozenset([item]) if item else frozenset()):
+            for i, pair in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 7)))):
+                if verdict := defect(*pair):
                     ids.append(i)
                     found.append(verdict)
             if ids:

@@ -40,3 +40,25 @@ def test_defective_pairs(spark):
 def test_limit_lengths(spark):
     rows = [("x" * 100,)] * 40 + [("y" * n,) for n in range(80, 120)] + [("z" * 99 + ".",)] * 40
     assert [r["size"] for r in P.limit_lengths(spark.createDataFrame(rows, "text string")).collect()] == [100]
+
+
+ITEMS = "The lockfile was stale.\n\n- drop the old index\n- stop the idle worker\n- start"
+
+
+@pytest.mark.parametrize("answer, stop, expected", [
+    (f"{ITEMS} the cold cache", "stop", None), (f"{ITEMS} the cold cache", "length", None), (f"{ITEMS} lib/a/b.py", "length", None),
+    (f"{ITEMS} the cold", "length", "truncated"), (f"{ITEMS} the", "stop", "truncated"), (f"{ITEMS} the new lockf", "stop", "truncated"), (f"{ITEMS} the new lockfiles", "stop", None),
+    ("Do this:\n\n- Drop the old index.\n- Stop it.\n- Start the new cach", "stop", "truncated"),
+])
+def test_last_item(answer, stop, expected):
+    assert P.defect(Q, answer, 0, stop, False, False) == expected
+
+
+def test_one_verdict_in_tables_of_any_size(spark):
+    t = dt.datetime(2025, 1, 1)
+    turn = (0, (Q,), (f"{ITEMS} the cold cache", None), "stop", t)
+    cut = (1, (Q,), (f"{ITEMS} the cold", None), "length", t)
+    more = [(n, (Q,), (f"It is done.\n\n- start the cold cache\n- stop the idle cold\n- drop the index {n}.", None), "stop", t) for n in range(2, 40)]
+    for rows in ([turn, cut], [turn, cut, *more[:1]], [turn, cut, *more]):
+        df = spark.createDataFrame(rows, "turn_id long, user_message struct<text:string>, llm_message struct<text:string,tool_calls:array<string>>, stop_reason string, received_at timestamp")
+        assert {r[0]: r[1] for r in P.defective_pairs(df).collect() if r[0] < 2} == {1: "truncated"}
