@@ -7,6 +7,11 @@ prefix of the set: texts with identical prefixes fall into one group, and the
 join takes L prefixes, each under orders of its own. Texts with identical sets
 are collapsed before into one representative, the pairs of a group are filtered
 by size and by a sketch, and what is left is verified on the whole sets.
+
+Small sets leave some of the groups that the runs are dealt into without a
+common run, which blocks many prefixes at once. For them there is an exact join:
+of each set the first |s| - t|s| + 1 runs, rarest first; two sets of similarity
+t share one of these. Its pairs are filtered by bounds that no such pair breaks.
 """
 
 from __future__ import annotations
@@ -159,6 +164,162 @@ def sketch(firsts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+#: Buckets in which runs are counted for the order of the exact join.
+_COUNTED = 1 << 16
+
+
+def run_counts(source: DataFrame, run: int, least: int) -> np.ndarray:
+    """How many sets hold a run of each bucket of run hashes."""
+
+    def count(batches):
+        total = np.zeros(_COUNTED, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                flat = RunSets(batch.column(1).slice(at, 500).to_pylist(), run, least).flat
+                total += np.bincount((flat & np.uint64(_COUNTED - 1)).astype(np.int64), minlength=_COUNTED)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["bucket", "n"])
+
+    out = np.zeros(_COUNTED, np.int64)
+    for r in source.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def rare_runs(sets: RunSets, counts: np.ndarray, threshold: float) -> list[bytes]:
+    """Of each set the runs of which it shares one with every set of that similarity, rarest first."""
+    order = np.lexsort((sets.flat, counts[(sets.flat & np.uint64(_COUNTED - 1)).astype(np.int64)], sets.owner))
+    flat = sets.flat[order]
+    length = sets.count - np.ceil(sets.count * threshold - 1e-9).astype(np.int64) + 1
+    return [flat[a : a + n].tobytes() for a, n in zip(sets.start.tolist(), length.tolist())]
+
+
+def parity_marks(sets: RunSets) -> np.ndarray:
+    """Rows of two 64-bit numbers: of each of 128 bits whether an odd number of the set's runs fall on it."""
+    at = ((sets.flat * _MULTIPLIER) >> np.uint64(57)).astype(np.int64)
+    odd = np.bincount(sets.owner * _SKETCH_BITS + at, minlength=len(sets.count) * _SKETCH_BITS) & 1
+    return np.packbits(odd.reshape(-1, _SKETCH_BITS).astype(bool), axis=1).view(np.int64)
+
+
+_ENTRY = np.dtype([("key", np.uint64), ("name", np.int64), ("mark0", np.uint64), ("mark1", np.uint64), ("size", np.int32), ("place", np.int32)])
+
+
+def _could_be_similar(left: np.ndarray, right: np.ndarray, threshold: float, within: bool) -> np.ndarray:
+    """(2, n): names of the pairs of entries of one key that size, place and marks allow; no similar pair is left out.
+
+    Sets of sizes a and b reach the threshold with t (a + b) / (1 + t) common
+    runs. They have at most as many as there are before and after the two places
+    of the key, and differ in at least as many runs as their marks in bits.
+    """
+    out = []
+    step = max(1, 200_000 // len(right))
+    for at in range(0, len(left), step):
+        u, v = left[at : at + step, None], right[None, at if within else 0 :]
+        a, b = u["size"], v["size"]
+        both = a + b
+        need = np.ceil(both * (threshold / (1 + threshold)) - 1e-9).astype(np.int32)
+        differ = np.bitwise_count(u["mark0"] ^ v["mark0"]) + np.bitwise_count(u["mark1"] ^ v["mark1"])
+        keep = differ.astype(np.int32) <= both - 2 * need
+        i, j = np.nonzero(keep)
+        if not len(i):
+            continue
+        x, y, least = u[i, 0], v[0, j], need[i, j]
+        shared = np.minimum(x["place"], y["place"]) + 1 + np.minimum(x["size"] - x["place"], y["size"] - y["place"]) - 1
+        keep = (shared >= least) & (x["name"] != y["name"]) & (np.minimum(x["size"], y["size"]) >= np.maximum(x["size"], y["size"]) * threshold - 1e-9)
+        if within:
+            keep &= j > i
+        x, y = x["name"][keep], y["name"][keep]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _exact_pairs(signed: DataFrame, buckets: int, threshold: float, block: int) -> DataFrame:
+    """(a, b): all pairs of sets that share one of their rare runs and could be similar."""
+
+    def deal(batches):
+        """Packs the entries into one array for each bucket, equal sets once."""
+        held: dict[int, tuple] = {}
+        size = 0
+        for batch in batches:
+            for same, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if same not in held:
+                    held[same] = rest
+                    size += len(rest[3]) // 8
+                if size > 500_000:
+                    yield flush(held)
+                    held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    def flush(held):
+        sizes, mark0, mark1, keys = zip(*held.values())
+        n = np.array([len(k) // 8 for k in keys])
+        rows = np.zeros(n.sum(), _ENTRY)
+        rows["key"] = np.frombuffer(b"".join(keys), np.uint64)
+        for name, values in (("name", list(held)), ("mark0", np.array(mark0, np.int64).view(np.uint64)), ("mark1", np.array(mark1, np.int64).view(np.uint64)), ("size", sizes)):
+            rows[name] = np.repeat(np.array(values, _ENTRY[name]), n)
+        rows["place"] = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        bucket = ((rows["key"] * _MULTIPLIER >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, edges = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([rows[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "entries"])
+
+    def pair_up(batches):
+        """Pairs within the keys; entries of keys with more than `block` are handed on in blocks."""
+        parts = [e for batch in batches for e in batch.column(1).to_pylist()]
+        if not parts:
+            return
+        rows = np.frombuffer(b"".join(parts), _ENTRY)
+        rows = rows[np.lexsort((rows["name"], rows["key"]))]
+        key, name = rows["key"], rows["name"]
+        rows = rows[np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])]
+        key = rows["key"]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        pairs = []
+        for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+            group = rows[at : at + n]
+            if n > block:
+                cut = [group[k : k + block].tobytes() for k in range(0, n, block)]
+                for i, e in enumerate(cut):
+                    yield handed(int(key[at : at + 1].view(np.int64)[0]), i, len(cut), e)
+                continue
+            pairs.append(_could_be_similar(group, group, threshold, True))
+            if len(pairs) > 2000:
+                yield found(pairs)
+                pairs = []
+        if pairs:
+            yield found(pairs)
+
+    def found(pairs):
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=_HANDED)
+
+    def handed(key, own, blocks, entries):
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.int64()) for x in (key, own, blocks)), pa.array([entries], pa.binary())], names=_HANDED)
+
+    def compare(batches):
+        for batch in batches:
+            for left, right, same in zip(*(c.to_pylist() for c in batch.columns)):
+                u, v = np.frombuffer(left, _ENTRY), np.frombuffer(right, _ENTRY)
+                a, b = _could_be_similar(u, v, threshold, same)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = signed.select("same", "size", "mark0", "mark1", "keys").mapInArrow(deal, "bucket long, entries binary")
+    met = materialize(dealt.repartition(buckets, "bucket").mapInArrow(pair_up, "a long, b long, key long, own long, blocks long, entries binary"), "pairs")
+    pairs = met.filter("a is not null").select("a", "b")
+    large = met.filter("key is not null").select("key", "own", "entries")
+    if not large.isEmpty():
+        right = large.select("key", F.col("own").alias("other"), F.col("entries").alias("right"))
+        tasks = large.join(right, "key").filter("own <= other").select(F.col("entries").alias("left"), "right", (F.col("own") == F.col("other")).alias("same"))
+        pairs = pairs.unionByName(tasks.repartition(buckets).mapInArrow(compare, "a long, b long"))
+    return pairs
+
+
+_HANDED = ["a", "b", "key", "own", "blocks", "entries"]
+
+
 def _text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
 
@@ -174,6 +335,7 @@ def similar_texts(
     bands: int = 64,
     rows: int = 6,
     block: int = 2000,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate texts: (links, members).
 
@@ -183,9 +345,14 @@ def similar_texts(
     `least` letters and digits, with the least id among those of the same set;
     an id with several texts has several rows.
 
-    A pair of similarity s is missed with probability about (1 - s^rows)^bands:
-    at 0.6 five in a hundred, at 0.7 four in ten thousand by the defaults; what
-    is found is verified on the whole sets. Null ids, null texts and texts too
+    With `exact`, for sets of few runs such as titles, no pair is missed; the
+    work grows with the number of sets that share a rare run. Otherwise a pair
+    of similarity s is missed with probability about (1 - s^rows)^bands if its
+    sets have some 300 runs or more: at 0.6 five in a hundred by the defaults,
+    at 0.67 three in a thousand. Smaller sets are missed more often, as their
+    first runs come from 8 groups that all prefixes share: of sets of 100 runs
+    six in a hundred at 0.6, of sets of 40 runs fourteen. What is found is
+    verified on the whole sets. Null ids, null texts and texts too
     short have no rows. Every prefix key goes to one of a number of buckets that
     grows with the input, packed in arrays; groups of more than `block`
     representatives are compared block by block in tasks of their own.
@@ -193,6 +360,7 @@ def similar_texts(
     spark = df.sparkSession
     orders = PrefixOrders(bands, rows)
     source = _text_rows(df, id_col, text_col)
+    counts = run_counts(source, run, least) if exact else None
 
     def signatures(batches):
         for batch in batches:
@@ -204,8 +372,12 @@ def similar_texts(
                     continue
                 with np.errstate(over="ignore"):
                     same = np.add.reduceat(sets.flat * _MULTIPLIER, sets.start[there]) ^ sets.count[there].astype(np.uint64) * _MULTIPLIER
-                firsts = orders.first_runs(sets.flat, sets.owner, part.num_rows)[there]
-                marks, keys = sketch(firsts), orders.prefixes(firsts)
+                    if exact:
+                        marks, keys = parity_marks(sets)[there], rare_runs(sets, counts, threshold)
+                        keys = [keys[t] for t in there]
+                    else:
+                        firsts = orders.first_runs(sets.flat, sets.owner, part.num_rows)[there]
+                        marks, keys = sketch(firsts), [k.tobytes() for k in orders.prefixes(firsts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(there)),
@@ -213,7 +385,7 @@ def similar_texts(
                         pa.array(sets.count[there], pa.int32()),
                         pa.array(marks[:, 0]),
                         pa.array(marks[:, 1]),
-                        pa.array([k.tobytes() for k in keys], pa.binary()),
+                        pa.array(keys, pa.binary()),
                     ],
                     names=["id", "same", "size", "mark0", "mark1", "keys"],
                 )
@@ -292,11 +464,14 @@ def similar_texts(
     def _pairs(a, b, large):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names=["a", "b", "large"])
 
-    found = materialize(dealt.repartition(buckets, "bucket").select("bucket", "keys", "names").mapInArrow(pair_up, "a long, b long, large boolean"), "pairs")
-    pairs = found.filter("not large").select("a", "b")
-    large = found.filter("large").select(F.col("a").alias("same"), F.col("b").alias("key"))
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_block_pairs(large, block))
+    if exact:
+        pairs = _exact_pairs(signed, buckets, threshold, block)
+    else:
+        found = materialize(dealt.repartition(buckets, "bucket").select("bucket", "keys", "names").mapInArrow(pair_up, "a long, b long, large boolean"), "pairs")
+        pairs = found.filter("not large").select("a", "b")
+        large = found.filter("large").select(F.col("a").alias("same"), F.col("b").alias("key"))
+        if not large.isEmpty():
+            pairs = pairs.unionByName(_block_pairs(large, block))
     # size and sketch filter
     side = lambda x: marks.select(F.col("same").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("representative", "size", "mark0", "mark1")))
     differ = F.bit_count(F.col("mark0_a").bitwiseXOR(F.col("mark0_b"))) + F.bit_count(F.col("mark1_a").bitwiseXOR(F.col("mark1_b")))
@@ -304,8 +479,8 @@ def similar_texts(
         pairs.distinct()
         .join(side("a"), "a")
         .join(side("b"), "b")
-        .filter(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold))
-        .filter(differ <= F.lit(_SKETCH_BITS - _least_agreement(threshold)))
+        .filter(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold) - F.lit(1e-9))
+        .filter(F.lit(exact) | (differ <= F.lit(_SKETCH_BITS - _least_agreement(threshold))))
         .select("a", "b", "representative_a", "representative_b")
     )
     links = _verify(materialize(checked, "candidates"), source, run, least, threshold)

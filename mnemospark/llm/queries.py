@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def _linked(spark: SparkSession, folder: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
     return (
         neardup.similar_texts(load(spark, folder, "memories"), "memory_id", "content", run=5, least=100, threshold=0.6),
-        neardup.similar_texts(load(spark, folder, "hooks"), "hook_id", "summary_title", run=3, least=12, threshold=0.6),
+        neardup.similar_texts(load(spark, folder, "hooks"), "hook_id", "summary_title", run=3, least=12, threshold=0.6, exact=True),
     )
 
 

@@ -53,6 +53,37 @@ def test_like_brute_force(spark):
     assert not {"n", "e", "short", None} & {r["id"] for r in members.collect()}
 
 
+def titles(n=150, seed=4):
+    """Short texts in pairs of about the threshold, which 64 grouped prefixes miss often."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(n):
+        text = [rng.choice(letters) for _ in range(rng.choice([12, 14, 20, 30, 42]))]
+        edited = text[:]
+        for _ in range(1 if len(text) < 30 else 2):
+            edited[rng.randrange(len(text))] = rng.choice(letters)
+        rows += [(f"t{i:03}", "".join(text)), (f"t{i:03}_e", "".join(edited) + rng.choice(["", "x", "."]))]
+    return rows
+
+
+@pytest.mark.parametrize("block", [2000, 1])
+def test_exact_join_of_titles(spark, block):
+    rows = titles() + [(f"c{i}", f"Notes of the retry window {i}") for i in range(25)]
+    _, _, got = links_of(spark, rows, run=3, least=12, exact=True, block=block)
+    assert got == brute(rows, 3, 12, 0.6)
+
+
+def test_title_query_joins_exactly(spark, tmp_path):
+    from mnemospark.llm import queries
+
+    rows = titles()
+    spark.createDataFrame(rows, "hook_id string, summary_title string").write.parquet(f"{tmp_path}/hooks.parquet")
+    spark.createDataFrame([], "memory_id string, content string").write.parquet(f"{tmp_path}/memories.parquet")
+    got = {(r["key_a"], r["key_b"]) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 3, 12, 0.6)
+
+
 def test_copies_are_one_representative(spark):
     text = corpus(1, 7)[0][1]
     rows = [(f"c{i:04}", text if i % 2 else text.upper() + "!!") for i in range(400)]
