@@ -38,8 +38,8 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
     """One row a message id with role and text: (id, session_id, seq, role, text, received_at)."""
     rows = load(spark, folder, "session_messages").filter("session_id is not null and seq is not null")
     one = storage.latest(rows.select("id", "session_id", "seq", "type", "data", "received_at"), ["id"], ["received_at"])
-    texts = F.coalesce(F.get_json_object("data", "$.text"), F.get_json_object("data", "$.content[0].text"), F.lit(""))
-    return one.select("id", "session_id", "seq", F.lower(F.trim("type")).alias("role"), texts.alias("text"), "received_at")
+    parsed = one.withColumn("v", F.expr("try_parse_json(data)"))
+    return parsed.select("id", "session_id", "seq", F.lower(F.trim("type")).alias("role"), context.payload_text("v").alias("text"), "received_at")
 
 
 # The same rows in SQL; damaged data has no text on either side.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TURN = "array<struct<user_message:struct<text:string>,llm_message:struct<text:string>>>"
@@ -30,16 +30,32 @@ def parse_context(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return from_json.unionByName(marked.filter("user_text <> '' or llm_text <> ''"))
 
 
+_PARTS = "array<struct<type:string,text:string>>"
+
+
+def _parts(v: str) -> Column:
+    """The content parts of the variant column `v`; none if it has no such list."""
+    return F.coalesce(F.expr(f"try_variant_get({v}, '$.content', '{_PARTS}')"), F.array().cast(_PARTS))
+
+
+def _joined(parts: Column, kind: str, sep: str) -> Column:
+    return F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == kind) & p["text"].isNotNull()), lambda p: p["text"]), sep)
+
+
+def payload_text(v: str) -> Column:
+    """Text of a message in the variant column `v`: its own, else all parts of type text, one a line; reasoning does not count."""
+    return F.coalesce(F.expr(f"try_variant_get({v}, '$.text', 'string')"), _joined(_parts(v), "text", "\n"))
+
+
 def parse_payloads(messages: DataFrame) -> DataFrame:
     """(id, received_at, text, reasoning, tools, finish, cost) of JSON message payloads; damaged ones have nulls."""
     v = F.expr("try_parse_json(data)")
     rows = messages.select("id", "received_at", v.alias("v"))
-    parts = F.coalesce(F.expr("try_variant_get(v, '$.content', 'array<struct<type:string,text:string>>')"), F.array().cast("array<struct<type:string,text:string>>"))
-    of = lambda kind, sep: F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == kind) & p["text"].isNotNull()), lambda p: p["text"]), sep)
+    parts = _parts("v")
     return rows.select(
         "id", "received_at",
-        F.coalesce(F.expr("try_variant_get(v, '$.text', 'string')"), of("text", "\n")).alias("text"),
-        of("reasoning", "\n\n").alias("reasoning"),
+        payload_text("v").alias("text"),
+        _joined(parts, "reasoning", "\n\n").alias("reasoning"),
         F.size(F.filter(parts, lambda p: p["type"] == "tool")).alias("tools"),
         F.expr("try_variant_get(v, '$.finish', 'string')").alias("finish"),
         F.expr("try_variant_get(v, '$.cost', 'double')").alias("cost"),
