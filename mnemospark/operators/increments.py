@@ -33,8 +33,8 @@ def previous_seq(events: DataFrame) -> DataFrame:
 
 
 def between(messages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Messages of each range's session with low < seq < high; ranges: (session_id, low, high)."""
-    return messages.join(ranges, "session_id").filter("seq > low and seq < high and type <> 'compaction'")
+    """Messages of each range's session with low < seq < high; ranges: (session_id, low, high), a null high is no end."""
+    return messages.join(ranges, "session_id").filter("seq > low and (high is null or seq < high) and type <> 'compaction'")
 
 
 def due_sessions(pending: DataFrame, threshold: int, percent: int) -> DataFrame:

@@ -615,7 +615,7 @@ def increment_unprocessed(spark, folder):
 
 @query(f"WITH {_ARCHIVED} SELECT m.id, m.received_at FROM session_messages m JOIN a USING (session_id) WHERE m.seq > a.last_seq AND m.seq < 1000000 AND m.type <> 'compaction'")
 def increment_between(spark, folder):
-    ranges = increments.last_archived(load(spark, folder, "sidecar_state")).select("session_id", F.col("last_seq").alias("low"), F.lit(1_000_000).cast("long").alias("high"))
+    ranges = increments.last_archived(load(spark, folder, "sidecar_state")).select("session_id", F.col("last_seq").alias("low"), F.lit(None).cast("long").alias("high"))
     return increments.between(load(spark, folder, "session_messages"), ranges).select("id", "received_at")
 
 

@@ -35,3 +35,11 @@ def test_queries_over_messages(spark, folder):
     assert max(r["distance"] for r in run("aggregate_distance_buckets")) == len("".join(pair)) + 2
     assert [r["tokens"] < 50 for r in run("increment_pending_tokens")] == [True]
     assert run("increment_due_sessions") == []
+
+
+def test_between_has_no_fixed_end(spark, tmp_path):
+    t = dt.datetime(2025, 1, 1)
+    rows = [("a", "s", "user", 5, t), ("b", "s", "user", 1_700_000_000_000, t), ("c", "s", "compaction", 1_700_000_000_001, t), ("d", "s", "user", 2, t)]
+    spark.createDataFrame(rows, "id string, session_id string, type string, seq long, received_at timestamp").write.parquet(f"{tmp_path}/session_messages.parquet")
+    spark.createDataFrame([({"s": 2},)], "last_archived_seq map<string,bigint>").write.parquet(f"{tmp_path}/sidecar_state.parquet")
+    assert {r["id"] for r in plans.QUERIES["increment_between"](spark, str(tmp_path)).collect()} == {"a", "b"}
