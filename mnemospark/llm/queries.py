@@ -46,10 +46,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Each memory with its representative and the representative's number of links."""
-    links, members = _linked(spark, folder)[0]
-    ends = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
-    return members.join(ends, "representative", "left").select(F.col("id").alias("memory_id"), "representative", F.coalesce("links", F.lit(0)).alias("links"))
+    """Each memory (kind content) and hook (kind title) with its representative and the representative's number of links."""
+
+    def counted(kind, links, members):
+        ends = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+        return members.join(ends, "representative", "left").select(F.lit(kind).alias("kind"), F.col("id").alias("key"), "representative", F.coalesce("links", F.lit(0)).alias("links"))
+
+    content, title = _linked(spark, folder)
+    return counted("content", *content).unionByName(counted("title", *title))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,6 +84,16 @@ def test_title_query_joins_exactly(spark, tmp_path):
     assert got == brute(rows, 3, 12, 0.6)
 
 
+def test_links_of_memories_and_hooks(spark, tmp_path):
+    from mnemospark.llm import queries
+
+    text, title = corpus(1, 7)[0][1], "the retry window of the cache"
+    spark.createDataFrame([("m1", text), ("m2", text + " and more"), ("m3", "x" * 150)], "memory_id string, content string").write.parquet(f"{tmp_path}/memories.parquet")
+    spark.createDataFrame([("h1", title), ("h2", title + "s"), ("h3", title.upper())], "hook_id string, summary_title string").write.parquet(f"{tmp_path}/hooks.parquet")
+    got = {(r["kind"], r["key"], r["representative"], r["links"]) for r in queries.p4_links(spark, str(tmp_path)).collect()}
+    assert got == {("content", "m1", "m1", 1), ("content", "m2", "m2", 1), ("content", "m3", "m3", 0), ("title", "h1", "h1", 1), ("title", "h2", "h2", 1), ("title", "h3", "h1", 1)}
+
+
 def test_copies_are_one_representative(spark):
     text = corpus(1, 7)[0][1]
     rows = [(f"c{i:04}", text if i % 2 else text.upper() + "!!") for i in range(400)]
