@@ -161,12 +161,17 @@ def cut_item(text: str, cut: bool) -> bool:
     return len(word) > 3 and word not in said and any(w.startswith(word) and w[len(word) :] not in _ENDINGS for w in said)
 
 
+def at_limit_by(stop_reason: str | None) -> bool:
+    """The stop reason says that the answer met a limit."""
+    return (stop_reason or "").strip().lower() in ("length", "max_tokens")
+
+
 def ends_open(answer: str, stop_reason: str | None) -> bool:
     """The answer stops before it is complete."""
     text = answer.rstrip()
     if text.count("```") % 2:
         return True
-    cut = (stop_reason or "").strip().lower() in ("length", "max_tokens")
+    cut = at_limit_by(stop_reason)
     lines = text.split("\n")
     last = lines[-1].rstrip()
     if _announced_more(text):
@@ -287,6 +292,8 @@ def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str |
         return "refusal"
     if ends_open(answer, stop_reason):
         return "truncated"
+    if shortened and len(answer) > 40 and at_limit_by(stop_reason):
+        return "truncated"
     if (shortened or at_limit) and answer.rstrip()[-1:].isalnum() and not _BULLET.match(answer.rstrip().split("\n")[-1]) and len(answer) > 40:
         return "truncated"
     return "language" if is_other_language(prompt, answer) else None

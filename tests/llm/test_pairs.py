@@ -62,3 +62,9 @@ def test_one_verdict_in_tables_of_any_size(spark):
     for rows in ([turn, cut], [turn, cut, *more[:1]], [turn, cut, *more]):
         df = spark.createDataFrame(rows, "turn_id long, user_message struct<text:string>, llm_message struct<text:string,tool_calls:array<string>>, stop_reason string, received_at timestamp")
         assert {r[0]: r[1] for r in P.defective_pairs(df).collect() if r[0] < 2} == {1: "truncated"}
+
+
+@pytest.mark.parametrize("answer", ["The registry evicted the lease of the worker.", f"{ITEMS} the cold cache"])
+def test_continued_answer_at_a_limit(answer):
+    assert P.defect(Q, answer, 0, "MAX_TOKENS ", True, False) == "truncated"
+    assert P.defect(Q, answer, 0, "stop", True, False) is None and P.defect(Q, answer, 0, "length", False, False) is None
