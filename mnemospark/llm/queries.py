@@ -68,7 +68,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest of a stated query set, the hooks whose hash is divisible by 20, among all hooks."""
     vectors = materialize(_vectors(spark, folder), "unit")
-    return knn.nearest_vectors(vectors, vectors.filter("pmod(xxhash64(id), 20) = 0").select("id"), k=5, probability=0.9)
+    return knn.nearest_vectors(vectors, vectors.filter("pmod(xxhash64(id), 20) = 0").select("id"), k=5)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

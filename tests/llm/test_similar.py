@@ -182,3 +182,13 @@ def test_equal_vectors_fill_one_leaf(spark):
 
 def test_chi_square_quantile():
     assert abs(knn.chi_square_quantile(0.95, 10) - 18.307) < 0.01 and abs(knn.chi_square_quantile(0.99, 12) - 26.217) < 0.01
+
+
+def test_neighbours_query_keeps_the_default_stop(spark, tmp_path, monkeypatch):
+    from mnemospark.llm import queries
+
+    vectors(spark, 40).withColumnsRenamed({"v": "vector", "at": "embedded_at"}).write.parquet(f"{tmp_path}/hook_vectors.parquet")
+    options = []
+    monkeypatch.setattr(queries.knn, "nearest_vectors", lambda *args, **kwargs: options.append(kwargs))
+    queries.p5_neighbours(spark, str(tmp_path))
+    assert options == [{"k": 5}]
