@@ -162,4 +162,34 @@ SELECT memory_id, CASE WHEN max(length(s) / 4 + 1.25 * len(regexp_extract_all(s,
 FROM stretches GROUP BY memory_id
 """
 
-SQL: dict[str, str] = {"p1_found": _P1_SQL, "p2_found": _P2_SQL}
+# The pieces one after the other, over the prefix sums (in quarter tokens) and boundaries of each text as lists.
+_P2_PIECES_SQL = r"""
+WITH RECURSIVE large AS (
+  SELECT memory_id, content, row_number() OVER () AS k FROM (SELECT DISTINCT memory_id, content FROM memories WHERE content IS NOT NULL)
+  WHERE length(content) / 4 + 1.25 * len(regexp_extract_all(content, '{W}')) > 1000
+), chars AS (
+  SELECT k, i, substring(content, i, 1) AS c, substring(content, i + 1, 1) AS d, i = length(content) AS last
+  FROM (SELECT k, content, unnest(range(1, length(content) + 1)) AS i FROM large)
+), sums AS (
+  SELECT k, i, sum(CASE WHEN regexp_matches(c, '{W}') THEN 6 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS s,
+    last OR c IN (chr(10), '。', '！', '？') OR (c IN ('.', '!', '?') AND regexp_matches(d, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')) AS ends
+  FROM chars
+), texts AS (
+  SELECT k, list_concat([0], list(s::BIGINT ORDER BY i)) AS sums, list_concat([0], list(i ORDER BY i) FILTER (ends)) AS bounds, max(i) AS n FROM sums GROUP BY k
+), pieces AS (
+  SELECT k, -1 AS piece, 0::BIGINT AS a, 0::BIGINT AS b, false AS hard FROM texts
+  UNION ALL
+  SELECT k, piece + 1, x, CASE WHEN h THEN reach ELSE bound END, h FROM (
+    SELECT *, bound < n AND (bound <= b OR sums[bound + 1] - sums[x + 1] <= 320) AS h FROM (
+      SELECT *, list_last(list_filter(bounds, lambda e: e <= reach)) AS bound FROM (
+        SELECT *, len(list_filter(sums, lambda v: v <= sums[x + 1] + 4000)) - 1 AS reach FROM (
+          SELECT t.*, p.piece, p.b, len(list_filter(t.sums, lambda v: v < t.sums[p.b + 1] - 320)) AS x
+          FROM pieces p JOIN texts t USING (k) WHERE p.b < t.n))))
+)
+SELECT memory_id, piece::INTEGER AS piece, count(*) OVER (PARTITION BY k)::INTEGER AS pieces, a::INTEGER AS "start", b::INTEGER AS "end",
+  ((sums[b + 1] - sums[a + 1]) / 4)::DOUBLE AS tokens, hard,
+  (list_max(list_transform(range(2, len(bounds) + 1), lambda i: sums[bounds[i] + 1] - sums[bounds[i - 1] + 1])) / 4)::DOUBLE AS widest, substring(content, a + 1, b - a) AS piece_text
+FROM pieces JOIN texts USING (k) JOIN large USING (k) WHERE piece >= 0
+""".replace("{W}", r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]")
+
+SQL: dict[str, str] = {"p1_found": _P1_SQL, "p2_found": _P2_SQL, "p2_pieces": _P2_PIECES_SQL}

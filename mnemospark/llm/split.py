@@ -37,8 +37,10 @@ def cut(prefix: np.ndarray, bounds: np.ndarray, limit: int, overlap: int) -> lis
     """(start, end, hard) of each piece; limit and overlap in the unit of `prefix`.
 
     A piece ends at the last boundary it can reach within the limit, if that
-    lies beyond the piece before it, and else as far as the limit goes. The next
-    starts as far back from there as the overlap allows.
+    lies beyond the piece before it and leaves the piece longer than the
+    overlap, and else as far as the limit goes. The next starts as far back from
+    there as the overlap allows: later than this one, so that no piece is
+    repeated whole.
     """
     n = len(prefix) - 1
     pieces: list[tuple[int, int, bool]] = []
@@ -46,10 +48,10 @@ def cut(prefix: np.ndarray, bounds: np.ndarray, limit: int, overlap: int) -> lis
     while end < n:
         reach = int(np.searchsorted(prefix, prefix[start] + limit, "right")) - 1
         bound = int(bounds[np.searchsorted(bounds, reach, "right") - 1])
-        hard = bound <= end
-        end = max(reach, end + 1) if hard else bound
+        hard = bound < n and (bound <= end or prefix[bound] - prefix[start] <= overlap)
+        end = reach if hard else bound
         pieces.append((start, end, hard))
-        start = max(int(np.searchsorted(prefix, prefix[end] - overlap, "left")), start + 1)
+        start = int(np.searchsorted(prefix, prefix[end] - overlap, "left"))
     return pieces
 
 
@@ -70,8 +72,8 @@ def split_oversized(
     rows; a repeated row gives its pieces again. Texts of a quarter of the
     limit's characters or fewer never leave the JVM.
     """
-    if overlap * 2 > limit or overlap < 0:
-        raise ValueError("the overlap must not exceed half the limit")
+    if overlap * 2 > limit or overlap < 0 or limit < 3:
+        raise ValueError("the overlap must not exceed half the limit, and a piece must hold a character and its overlap")
     fields = [
         T.StructField(id_col, df.schema[id_col].dataType),
         *(T.StructField(c, T.IntegerType()) for c in ("piece", "pieces", "start", "end")),

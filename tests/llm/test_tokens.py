@@ -72,7 +72,7 @@ def brute_cut(text, limit, overlap):
         while reach < len(text) and total + cost[reach] <= limit:
             total += cost[reach]
             reach += 1
-            if reach in ends and reach > end:
+            if reach in ends and reach > end and (total > overlap or reach == len(text)):
                 best = reach
         hard = best is None
         end = reach if hard else best
@@ -90,6 +90,15 @@ def test_cut_like_a_scan(text):
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     got = split.cut(split.quarter_tokens(points), split.natural_boundaries(points), 40, 12)
     assert got == brute_cut(text, 40, 12)
+    assert got[0][0] == 0 and got[-1][1] == len(text)
+    assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(got, got[1:]))  # each begins after the one before, without a gap
+
+
+@pytest.mark.parametrize("text", ["aaa. 中中中中中中", "a. " + "b" * 80, "中。" + "中" * 30, "a.\n" * 2 + "b" * 200])
+def test_no_piece_is_repeated_whole(text):
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    got = split.cut(split.quarter_tokens(points), split.natural_boundaries(points), 40, 12)
+    assert got == brute_cut(text, 40, 12) and all(b[0] > a[0] for a, b in zip(got, got[1:]))
 
 
 def test_split_oversized(spark):
