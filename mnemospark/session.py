@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -55,11 +54,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _path(spark, path)
+    return fs.exists(target)
+
+
+def move(spark: SparkSession, source: str | None, target: str) -> None:
+    """Renames a folder; without a source makes an empty one."""
+    fs, to = _path(spark, target)
+    if source is None:
+        fs.mkdirs(to)
+    else:
+        fs.rename(_path(spark, source)[1], to)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate results, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
 
 
 @contextmanager
@@ -75,6 +92,3 @@ def settings(spark: SparkSession, **conf: str):
             name = key.replace("__", ".")
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

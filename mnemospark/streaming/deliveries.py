@@ -1,20 +1,28 @@
 """Exactly one copy of messages delivered at least once.
 
-Deliveries are replayed in order of arrival through a keyed state store of the
-identifiers seen, which forgets an identifier once the event-time watermark has
-passed its last arrival. What the store lets through is committed by the file
-sink in one step with the checkpoint, so a restarted query neither loses nor
-repeats a delivery. A repetition that comes after its identifier was forgotten
-is let through by the store and found by the late-arrival lookup among the
-identifiers committed earlier.
+Deliveries pass through a keyed state store of the identifiers seen, which
+forgets an identifier once the event-time watermark has passed its last arrival
+by the delay. What the store lets through is written in folders of its
+micro-batch, which a batch that is run again overwrites, so that output and
+checkpoint are one step: a restarted query neither loses nor repeats a delivery.
+An identifier that comes back after the store forgot it is let through by the
+store and found by the late-arrival lookup: among the identifiers written
+before, but only in the batch's own buckets and only among those the store may
+have forgotten.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, new_folder, settings
+from ..session import exists, materialize, move, new_folder, remove_folder, settings
+
+#: Folders the identifiers written are dealt into; the lookup of a small batch reads only its own.
+BUCKETS = 16
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def same_id(column: Column | str) -> Column:
@@ -28,28 +36,100 @@ def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str) ->
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def replay_slices(deliveries: DataFrame, slices: int) -> tuple[DataFrame, list[str]]:
-    """Deliveries as folders of Parquet, one for each slice of arrival time, and the folders in order.
+def _seconds(delay: str) -> float:
+    """Length of a delay such as `7 days`."""
+    n, unit = delay.split()
+    return float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")]
+
+
+def written(spark: SparkSession, out: str, schema) -> DataFrame:
+    """What follow_deliveries has written to `out` so far: one delivery an identifier."""
+    return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+class Follower:
+    """A stream from the Parquet files of `inbox` to one delivery of each identifier in `out`.
 
-    Within a slice each identifier keeps its earliest delivery only: the
+    inbox: rows (key, received_at, delivery_id). Used as a context manager; each
+    call of `catch_up` returns when all files that are there have been read.
+    `out` and `checkpoint` belong together and outlive the follower: the next
+    one on the same two goes on where this one ended, in this session or
+    another. Of the rows of one key the first that is handed in stays; files
+    handed in together should hold a key once. A row whose received_at lies
+    before what was read before is late: it counts as arriving now, so it is
+    not lost to the watermark, and is looked up like any other.
+    `rocksdb` keeps the state on the executors' disks, for a state beyond their
+    memory; else the session's provider holds it.
+    """
+
+    def __init__(self, spark: SparkSession, inbox: str, out: str, checkpoint: str, schema, *, delay: str = "7 days", rocksdb: bool = False):
+        self.spark, self.inbox, self.out, self.checkpoint, self.schema, self.delay = spark, inbox, out, checkpoint, schema, delay
+        conf = {"spark__sql__streaming__noDataMicroBatches__enabled": "false"}
+        if rocksdb:
+            conf |= {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true"}
+        self.settings = settings(spark, **conf)
+        self.query = None
+
+    def __enter__(self) -> Follower:
+        newest = None
+        if exists(self.spark, f"{self.out}/rows"):
+            newest = written(self.spark, self.out, f"{_names(self.schema)}, seen_at timestamp").agg(F.max("seen_at")).first()[0]
+        # a late row arrives now: it must not lie before the watermark, which would drop it
+        seen = F.col("received_at") if newest is None else F.greatest("received_at", F.lit(newest))
+        stream = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.inbox)
+        first = first_arrivals(stream.withColumn("seen_at", seen), "key", "seen_at", self.delay)
+        with self.settings:
+            self.query = first.writeStream.foreachBatch(self._write).option("checkpointLocation", self.checkpoint).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.query.stop()
+
+    def catch_up(self) -> None:
+        self.query.processAllAvailable()
+
+    def _write(self, batch: DataFrame, number: int) -> None:
+        """Writes what the store let through, without what was written before and forgotten."""
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+        spark, folder = batch.sparkSession, f"{self.out}/rows"
+        if exists(spark, folder):
+            known = spark.read.schema(f"{_names(self.schema)}, seen_at timestamp, number long, bucket int").parquet(folder)
+            known = known.filter(F.col("number") < number)
+            if (newest := self._newest_before(number)) is not None:  # what the store still holds it cannot have let through again
+                known = known.filter(F.col("seen_at").cast("double") <= F.lit(newest - _seconds(self.delay)))
+            rows = rows.join(known.select("bucket", "key"), ["bucket", "key"], "left_anti")
+        rows.select("key", "received_at", "delivery_id", "seen_at", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/number={number}")
+
+
+    def _newest_before(self, number: int) -> float | None:
+        """Seconds of the latest event of the batch before; None, which bounds nothing, if this is the follower's first."""
+        last = self.query.lastProgress if self.query else None
+        if last is None or last["batchId"] != number - 1 or "max" not in last["eventTime"]:
+            return None
+        return dt.datetime.fromisoformat(last["eventTime"]["max"]).timestamp() + 1  # reported in milliseconds
+
+
+def _names(schema) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+
+
+def write_slices(keyed: DataFrame, folder: str, slices: int) -> list[str]:
+    """(key, received_at, delivery_id) as folders of Parquet, one for each slice of arrival time; the folders in order.
+
+    Within a slice each identifier keeps its earliest delivery only. The
     aggregation starts before the shuffle, so an identifier that holds a third
-    of all rows reaches the state store once a slice.
+    of all rows sends a row a task and slice; the tasks that end it write the
+    slices, as many as the data fill.
     """
-    spark = deliveries.sparkSession
-    folder = new_folder(spark, "deliveries")
-    span = deliveries.agg(F.min("received_at").cast("double").alias("a"), F.max("received_at").cast("double").alias("b")).first()
+    spark = keyed.sparkSession
+    span = keyed.agg(F.min("received_at").cast("double").alias("a"), F.max("received_at").cast("double").alias("b")).first()
     if span["a"] is None:
-        return deliveries, []
+        return []
     width = max((span["b"] - span["a"]) / slices, 1e-6)
     part = F.least(F.floor((F.col("received_at").cast("double") - F.lit(span["a"])) / F.lit(width)), F.lit(slices - 1)).cast("int")
-    earliest = (
-        deliveries.groupBy("key", part.alias("slice"))
-        .agg(F.min(F.struct("received_at", "delivery_id")).alias("d"))
-        .select("key", "d.received_at", "d.delivery_id", "slice")
-    )
-    earliest.repartition("slice").write.partitionBy("slice").parquet(folder)
-    there = sorted(r["slice"] for r in spark.read.parquet(folder).select("slice").distinct().collect())  # at most `slices` rows
-    return deliveries, [f"{folder}/slice={i}" for i in there]
+    earliest = keyed.groupBy("key", part.alias("slice")).agg(F.min(F.struct("received_at", "delivery_id")).alias("d"))
+    earliest.select("key", "d.received_at", "d.delivery_id", "slice").write.partitionBy("slice").parquet(folder)
+    return [f"{folder}/slice={i}" for i in range(slices) if exists(spark, f"{folder}/slice={i}")]
 
 
 def keep_one_delivery(
@@ -58,6 +138,9 @@ def keep_one_delivery(
     *,
     delay: str = "7 days",
     slices: int = 6,
+    out: str | None = None,
+    checkpoint: str | None = None,
+    rocksdb: bool = False,
 ) -> DataFrame:
     """(delivery_id): the deliveries to keep, of columns delivery_id, message_id, received_at.
 
@@ -69,20 +152,35 @@ def keep_one_delivery(
     list entries, entries unknown to the deliveries and empty tables have no
     effect. Extra columns are ignored. `delay` bounds the state, not the result.
 
-    The state store is the one the session names; RocksDB keeps a state larger
-    than memory, at some megabytes of disk for each partition and slice.
+    The table is replayed in `slices` of arrival time, one micro-batch each.
+    With `out` and `checkpoint` of the caller, further calls go on where this
+    one ended: what an earlier call kept stays kept, its repetitions in later
+    tables are dropped, and the result holds what all calls kept. Without them
+    both are new folders and the call stands alone.
     """
+    if (out is None) != (checkpoint is None):
+        raise ValueError("output and checkpoint belong together")
     spark = deliveries.sparkSession
     rows = deliveries.select("delivery_id", same_id("message_id").alias("key"), "received_at")
     unkeyed = rows.filter("key is null or received_at is null").select("delivery_id")
     keyed = rows.filter("key is not null and received_at is not null")
-    _, folders = replay_slices(keyed, slices)
-    if not folders:
+    replayed, passing = new_folder(spark, "slices"), [] if checkpoint else [new_folder(spark, "checkpoint")]
+    out, checkpoint = out or new_folder(spark, "seen"), checkpoint or passing[0]
+    inbox = f"{out}/inbox"
+    folders = write_slices(keyed.select("key", "received_at", "delivery_id"), replayed, slices)
+    schema = keyed.select("key", "received_at", "delivery_id").schema
+    if folders:
+        move(spark, None, inbox)
+        with Follower(spark, inbox, out, checkpoint, schema, delay=delay, rocksdb=rocksdb) as follower:
+            for folder in folders:
+                # a rename hands a whole slice to the source at once
+                move(spark, folder, f"{inbox}/{new_folder(spark, 'slice').rsplit('/', 1)[1]}")
+                follower.catch_up()
+        for folder in (replayed, *passing):
+            remove_folder(spark, folder)
+    if not exists(spark, f"{out}/rows"):
         return unkeyed
-    out = _run(spark, folders, delay)
-    emitted = spark.read.parquet(out)
-    # late-arrival lookup: what the store let through again after it had forgotten the key
-    kept = emitted.groupBy("key").agg(F.min(F.struct("received_at", "delivery_id")).alias("d")).select("key", "d.*")
+    kept = written(spark, out, schema)
     if states is not None:
         listed = (
             states.select("saved_at", F.explode("processed_message_ids").alias("id"))
@@ -95,31 +193,6 @@ def keep_one_delivery(
     return kept.select("delivery_id").unionByName(unkeyed)
 
 
-def _run(spark: SparkSession, folders: list[str], delay: str) -> str:
-    """Streams the slices one after the other through one checkpointed query; the folder of its output."""
-    out, inbox, checkpoint = (new_folder(spark, x) for x in ("seen", "inbox", "checkpoint"))
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(inbox).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(inbox))
-    schema = spark.read.parquet(folders[0]).schema
-    with settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false"):
-        for n, folder in enumerate(folders):
-            # a rename hands a whole slice to the source at once
-            fs.rename(jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(f"{inbox}/{n:06d}"))
-            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(inbox)
-            query = (
-                first_arrivals(stream, "key", "received_at", delay)
-                .writeStream.format("parquet")
-                .option("path", out)
-                .option("checkpointLocation", checkpoint)
-                .outputMode("append")
-                .trigger(availableNow=True)
-                .start()
-            )
-            query.awaitTermination()
-    return out
-
-
 def repeated_deliveries(deliveries: DataFrame, states: DataFrame | None = None, **options) -> DataFrame:
     """(delivery_id): the deliveries to drop, the complement of keep_one_delivery."""
     kept = materialize(keep_one_delivery(deliveries, states, **options), "kept")

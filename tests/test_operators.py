@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as tx
 from mnemospark.operators import conflicts, increments, lifecycle, metrics, search, storage, turns
 from mnemospark.sources.context import parse_context
+from mnemospark.streaming import deliveries
 from mnemospark.streaming.deliveries import keep_one_delivery, repeated_deliveries
 
 T0 = dt.datetime(2025, 1, 1)
@@ -211,6 +212,46 @@ def test_deliveries_of_hot_and_empty_tables(spark):
     assert keep_one_delivery(empty).count() == 0
 
 
+def kept_by(spark, rows, **options):
+    return sorted(r[0] for r in keep_one_delivery(spark.createDataFrame(rows, DELIVERY), **options).collect())
+
+
+def test_the_store_decides(spark, monkeypatch):
+    rows = [(n, f"m{n % 40}", at(n / 8), None, None) for n in range(160)]  # each comes again after 5, 10 and 15 days
+    assert kept_by(spark, rows, delay="7 days", slices=4) == list(range(40))
+    monkeypatch.setattr(deliveries, "first_arrivals", lambda stream, key, time, delay: stream.withWatermark(time, delay))
+    assert len(kept_by(spark, rows, delay="7 days", slices=4)) > 40  # the lookup knows only what the store may have forgotten
+
+
+def test_forgotten_identifiers_are_looked_up(spark, monkeypatch):
+    rows = [(n, f"m{n % 40}", at(n), None, None) for n in range(160)]  # each comes again after 40 days
+    assert kept_by(spark, rows, delay="2 days", slices=4) == list(range(40))
+    monkeypatch.setattr(deliveries.Follower, "_write", lambda self, batch, number: batch.withColumn("bucket", F.lit(0)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.out}/rows/number={number}"))
+    assert len(kept_by(spark, rows, delay="2 days", slices=4)) > 40
+
+
+@pytest.mark.parametrize("rocksdb", [False, True])
+def test_calls_on_one_checkpoint_keep_one_copy(spark, tmp_path, rocksdb):
+    both = {"out": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/checkpoint", "delay": "3 days", "slices": 2, "rocksdb": rocksdb}
+    first = [(n, f"m{n}", at(n), None, None) for n in range(20)]
+    again = [(100 + n, f" M{n} ", at(21 + n / 10), None, None) for n in range(30)]
+    late = [(200 + n, f"m{n}", at(n % 3), None, None) for n in range(40)]  # before the watermark, half of them known
+    assert kept_by(spark, first, **both) == list(range(20))
+    assert kept_by(spark, again, **both) == [*range(20), *range(120, 130)]
+    assert kept_by(spark, late, **both) == [*range(20), *range(120, 130), *range(230, 240)]
+    assert kept_by(spark, first, **both) == [*range(20), *range(120, 130), *range(230, 240)]
+    with pytest.raises(ValueError):
+        keep_one_delivery(spark.createDataFrame(first, DELIVERY), out="x")
+
+
+def test_a_batch_that_is_run_again_overwrites_its_output(spark, tmp_path):
+    rows = spark.createDataFrame([("a", at(1), 1), ("b", at(2), 2)], "key string, received_at timestamp, delivery_id long")
+    follower = deliveries.Follower(spark, f"{tmp_path}/inbox", f"{tmp_path}/out", f"{tmp_path}/checkpoint", rows.schema)
+    for _ in range(2):
+        follower._write(rows.withColumn("seen_at", F.col("received_at")), 0)
+    assert deliveries.written(spark, f"{tmp_path}/out", rows.schema).count() == 2
+
+
 def test_payloads(spark):
     from mnemospark.sources.context import parse_payloads
 
