@@ -98,7 +98,8 @@ class Follower:
             if (newest := self._newest_before(number)) is not None:  # what the store still holds it cannot have let through again
                 known = known.filter(F.col("seen_at").cast("double") <= F.lit(newest - _seconds(self.delay)))
             rows = rows.join(known.select("bucket", "key"), ["bucket", "key"], "left_anti")
-        rows.select("key", "received_at", "delivery_id", "seen_at", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/number={number}")
+        # a few files a bucket, as many as its rows fill
+        rows.select("key", "received_at", "delivery_id", "seen_at", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/number={number}")
 
 
     def _newest_before(self, number: int) -> float | None:
