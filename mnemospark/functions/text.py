@@ -163,9 +163,15 @@ def normalise_answer(text: _C) -> Column:
 
 
 def parse_score(text: _C) -> Column:
-    """The first number of a reply, from 0 to 100; null without one."""
-    n = F.regexp_extract(_col(text), r"(\d+(?:\.\d+)?)", 1)
-    return F.when(n != "", F.least(F.greatest(n.cast("double"), F.lit(0.0)), F.lit(100.0)))
+    """The score of a reply, from 0 to 100: the reply itself, else what follows the last colon or blank of the first line where that is a number, else the first run of digits, points and dashes; null without one."""
+    number = lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.cast("double"))
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    text = bare(_col(text))
+    after = lambda line, mark: F.when(F.contains(line, F.lit(mark)), number(bare(F.substring_index(line, mark, -1))))
+    lines = F.transform(F.split(text, "\r?\n"), bare)
+    tails = F.filter(F.transform(lines, lambda x: F.coalesce(*(after(x, m) for m in ("：", ":", " ")))), lambda x: x.isNotNull())
+    score = F.coalesce(number(text), F.get(tails, F.lit(0)), number(F.regexp_extract(text, r"([0-9.\-]+)", 1)))
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
 
 
 def fenced_json(text: _C) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sequences
+
 
 def last_archived(states: DataFrame) -> DataFrame:
     """(session_id, last_seq): the highest seq that any saved state names for a session."""
@@ -28,8 +30,9 @@ def unprocessed(events: DataFrame, states: DataFrame, key: str) -> DataFrame:
 
 def previous_seq(events: DataFrame) -> DataFrame:
     """Adds previous: the seq of the event before, by session."""
-    w = Window.partitionBy("session_id").orderBy("seq", "delivery_id")
-    return events.withColumn("previous", F.lag("seq").over(w))
+    order = ["seq", "delivery_id"]
+    cut = sequences.stretches(events, "session_id", order)
+    return sequences.neighbour(cut, "session_id", order, ["seq"], after=False).withColumn("previous", F.col("__next.seq")).drop("__next", sequences.PART)
 
 
 def between(messages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -37,6 +40,12 @@ def between(messages: DataFrame, ranges: DataFrame) -> DataFrame:
     return messages.join(ranges, "session_id").filter("seq > low and (high is null or seq < high) and type <> 'compaction'")
 
 
+def first_of_range(messages: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
+    """The first `most` messages of each range, in order of seq, with their number; ties by id."""
+    w = Window.partitionBy("session_id").orderBy("seq", "id")
+    return between(messages, ranges).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
+
+
 def due_sessions(pending: DataFrame, threshold: int, percent: int) -> DataFrame:
     """Sessions whose pending tokens reach the share of the threshold."""
     return pending.filter(F.col("tokens") >= threshold * percent / 100)
@@ -47,6 +56,6 @@ def by_family(sessions: DataFrame, families: DataFrame) -> DataFrame:
 
     The families are a dimension of a few rows; Spark broadcasts it by its size.
     """
-    match = (F.col("session_id") == F.col("prefix")) | F.startswith(F.col("session_id"), F.concat("prefix", F.lit("_")))
+    match = (F.col("session_id") == F.col("prefix")) | F.startswith(F.col("session_id"), F.concat("prefix", F.lit("-")))
     rows = sessions.join(families, match, "left")
     return rows.groupBy(F.coalesce("family", F.lit("custom")).alias("family")).agg(F.count("*").alias("sessions"))

@@ -6,25 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_answer
+from . import sequences
 
 
-def retrieval_metrics(df: DataFrame, ranked: str, answers: str, k: int) -> DataFrame:
-    """Adds recall_any, recall_all and ndcg at k for an array of ranked ids and one of the right ids.
+def retrieval_metrics(ranked: DataFrame, answers: DataFrame, query: str, item: str, ks: list[int]) -> DataFrame:
+    """(query, k, recall_any, recall_all, ndcg) for each k, of ranked (query, item, rank from 1) and answers (query, item).
 
-    The gain of position i, from 1, is divided by log2(i), that of the first by 1.
+    The gain of position i, from 1, is divided by log2(i), that of the first by
+    1; ideal are the answers first. A query without answers has recall_all 1 and
+    ndcg 0. Nothing is gathered: only the ranks up to the largest k are joined,
+    all else is sums. Answers count once.
     """
-    best, right = F.slice(F.col(ranked), 1, k), F.col(answers)
-    gain = lambda i: F.when(i <= 1, F.lit(1.0)).otherwise(1.0 / F.log2(i.cast("double")))
-    gains = F.transform(best, lambda x, i: F.when(F.array_contains(right, x), gain(i + 1)).otherwise(F.lit(0.0)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    ideal = total(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(right), F.lit(k)), F.lit(1))), gain))
-    return (
-        df.withColumn("recall_any", F.arrays_overlap(best, right).cast("double"))
-        .withColumn("recall_all", F.forall(right, lambda x: F.array_contains(best, x)).cast("double"))
-        .withColumn("ndcg", F.when(F.size(right) > 0, total(gains) / ideal).otherwise(F.lit(0.0)))
+    ask = answers.select(query, item).distinct()
+    wanted = ask.groupBy(query).agg(F.count("*").alias("wanted"))
+    near = ranked.filter(F.col("rank") <= max(ks)).join(ask.withColumn("hit", F.lit(1)), [query, item], "left")
+    gain = F.when(F.col("rank") <= 1, F.lit(1.0)).otherwise(1.0 / F.log2(F.col("rank").cast("double")))
+    at = lambda k, x: F.sum(F.when((F.col("rank") <= k) & (F.col("hit") == 1), x).otherwise(F.lit(0.0)))
+    sums = near.groupBy(query).agg(*(F.struct(F.lit(k).alias("k"), at(k, F.lit(1.0)).alias("hits"), at(k, gain).alias("dcg")).alias(f"k{k}") for k in ks))
+    rows = sums.select(query, F.explode(F.array(*(f"k{k}" for k in ks))).alias("m")).join(wanted, query, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    most = F.least("wanted", F.col("m.k"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.when(i <= 1, F.lit(1.0)).otherwise(1.0 / F.log2(i.cast("double"))))
+    return rows.select(
+        query,
+        "m.k",
+        (F.col("m.hits") > 0).cast("double").alias("recall_any"),
+        (F.col("m.hits") == F.col("wanted")).cast("double").alias("recall_all"),
+        F.when(F.col("wanted") > 0, F.col("m.dcg") / ideal).otherwise(F.lit(0.0)).alias("ndcg"),
     )
 
 
+def first_sessions(ranked: DataFrame, query: str, session: str, k: int) -> DataFrame:
+    """(query, session, rank): the first k different sessions of a ranking of their turns, each at the place of its best turn.
+
+    However far down the k-th session stands, the ranking is followed to it.
+    """
+    best = ranked.groupBy(query, session).agg(F.min("rank").alias("__best"))
+    w = Window.partitionBy(query).orderBy("__best", session)
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__best")
+
+
 def token_f1(prediction: Column, truth: Column) -> Column:
     """F1 of the multisets of normalised words."""
     words = lambda x: F.filter(F.split(normalise_answer(x), " "), lambda w: w != "")
@@ -69,26 +89,43 @@ def accuracy(df: DataFrame, value: str, outer: list[str], inner: str) -> DataFra
     return cube.agg(F.round(F.avg(value), 4).alias("mean"), F.count(value).alias("n"))
 
 
-def distance_buckets(df: DataFrame, key: str, order: str, length: str, width: int = 1000) -> DataFrame:
+def distance_buckets(df: DataFrame, key: str, order: list[str], length: str, width: int = 1000) -> DataFrame:
     """Adds the bucket of each row's distance, the lengths of the rows of its key up to it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("distance", F.sum(length).over(w)).withColumn("bucket", F.ceil(F.col("distance") / width))
+    rows = sequences.running_sum(sequences.stretches(df, key, order), key, order, F.col(length), "distance")
+    return rows.withColumn("bucket", F.ceil(F.col("distance") / width)).drop(sequences.PART)
 
 
-def stratified_sample(df: DataFrame, stratum: str, id_col: str, n: int, strata: int, seed: int = 42) -> DataFrame:
-    """max(1, n / strata) rows of each stratum, by a hash of id and seed."""
+def accuracy_by_distance(df: DataFrame, category: str, correct: str) -> DataFrame:
+    """(category, bucket, asked, accuracy): share of right answers by category and distance bucket; `df` as from distance_buckets."""
+    return df.groupBy(category, "bucket").agg(F.count("*").alias("asked"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"))
+
+
+def stratified_sample(df: DataFrame, stratum: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, or all if there are fewer: max(1, n / strata) of each stratum, filled up from the others or cut to n.
+
+    A row's place is that of a hash of id and seed, so the sample is one and the
+    same for any partitioning. Strata are counted on the driver's side as one row.
+    """
     pick = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    rows = df.withColumn("__pick", pick)
+    strata = df.select(stratum).distinct().count()
+    each = max(1, n // max(strata, 1))
     w = Window.partitionBy(stratum).orderBy("__pick", id_col)
-    rows = df.withColumn("__pick", pick).withColumn("__n", F.row_number().over(w))
-    return rows.filter(F.col("__n") <= max(1, n // strata)).drop("__pick", "__n")
+    chosen = rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= each)  # cut within the tasks first
+    rest = rows.join(chosen.select(id_col), id_col, "left_anti").orderBy("__pick", id_col).limit(n)
+    both = chosen.drop("__n").withColumn("__late", F.lit(0)).unionByName(rest.withColumn("__late", F.lit(1)))
+    return both.orderBy("__late", "__pick", id_col).limit(n).drop("__late", "__pick")
 
 
-def date_range_rerank(ranked: DataFrame, dates: DataFrame, start: str, end: str, margin_days: int = 2) -> DataFrame:
-    """Moves sessions with a date within the margin of the range ahead, else in the order they had.
+def date_range_rerank(ranked: DataFrame, dates: DataFrame, ranges: DataFrame, margin_days: int = 2) -> DataFrame:
+    """Of each question, moves sessions with a date within the margin of its range ahead, else in the order they had.
 
-    ranked: (session_id, rank); dates: (session_id, day).
+    ranked: (question, session_id, rank); dates: (session_id, day); ranges:
+    (question, start, end). A question without range keeps its order.
     """
-    low, high = F.date_sub(F.lit(start).cast("date"), margin_days), F.date_add(F.lit(end).cast("date"), margin_days)
-    inside = dates.filter(F.col("day").between(low, high)).select("session_id").distinct().withColumn("in_range", F.lit(True))
-    rows = ranked.join(inside, "session_id", "left").withColumn("in_range", F.coalesce("in_range", F.lit(False)))
-    return rows.withColumn("new_rank", F.row_number().over(Window.orderBy(F.col("in_range").desc(), "rank")))
+    wide = ranges.select("question", F.date_sub("start", margin_days).alias("low"), F.date_add("end", margin_days).alias("high"))
+    named = ranked.join(wide, "question", "left")
+    inside = named.select("question", "session_id", "low", "high").join(dates, "session_id").filter(F.col("day").between(F.col("low"), F.col("high")))
+    inside = inside.select("question", "session_id").distinct().withColumn("in_range", F.lit(True))
+    rows = ranked.join(inside, ["question", "session_id"], "left").withColumn("in_range", F.coalesce("in_range", F.lit(False)))
+    return rows.withColumn("new_rank", F.row_number().over(Window.partitionBy("question").orderBy(F.col("in_range").desc(), "rank", "session_id")))

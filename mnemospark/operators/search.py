@@ -54,6 +54,27 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, tokens: Column |
     return joined.select(id_col, *by, score.alias("score")).filter("score > 0")
 
 
+def okapi(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(id, score) of every document, also with a score of 0: Okapi BM25 over texts and query cut at single blanks, case and empty words kept.
+
+    The weight of a term is log(N - n + 0.5) - log(n + 0.5); where that is
+    below 0, `epsilon` times the mean weight of all terms of the corpus.
+    """
+    cut = df.select(id_col, F.split(F.coalesce(F.col(text_col), F.lit("")), " ").alias("w"))
+    totals = cut.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weights = cut.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).select("term", weight.alias("idf"))
+    terms = query.split(" ")
+    number_of = lambda t: F.size(F.filter("w", lambda w: w == t))
+    asked = weights.agg(F.avg("idf").alias("mean"), *(F.max(F.when(F.col("term") == t, F.col("idf"))).alias(f"idf{i}") for i, t in enumerate(terms)))  # one row
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        tf = number_of(t)
+        idf = F.when(F.col(f"idf{i}") < 0, epsilon * F.col("mean")).otherwise(F.col(f"idf{i}"))
+        score = score + F.coalesce(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.col("avgdl"))), F.lit(0.0))
+    return cut.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(asked)).select(id_col, score.alias("score"))
+
+
 def top(df: DataFrame, k: int, id_col: str, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """The k best, ties by id (within each value of `by`), with their rank."""
     order = [F.col(score).desc(), F.col(id_col)]

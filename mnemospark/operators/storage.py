@@ -100,10 +100,17 @@ def index_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("index_text", F.concat_ws(" | ", *(F.when(F.trim(p) != "", p) for p in parts)))
 
 
-def prompt_lines(hooks: DataFrame, ranked: Column | None = None) -> DataFrame:
-    """(session_id, period, lines, prompt): what a session's prompt lists, by age, or by `ranked` first."""
-    order = F.struct(*([(-ranked).alias("r")] if ranked is not None else []), "archived_at", "hook_id", F.concat(F.lit("- "), F.coalesce("summary_title", F.lit("?")), F.concat(F.lit(" ["), "hook_id", F.lit("]"))).alias("line"))
-    return not_deleted(hooks).groupBy("session_id", "period").agg(
+def prompt_lines(hooks: DataFrame, ranked: Column | None = None, most: int = 15) -> DataFrame:
+    """(session_id, period, lines, prompt): the last `most` hooks of a session and period by age, or by `ranked` first.
+
+    Hooks beyond `most` fall away within the tasks that read them, so no prompt
+    gathers more than that. Ranked hooks with equal marks stand by age.
+    """
+    rows = not_deleted(hooks).withColumn("__line", F.concat(F.lit("- "), F.coalesce("summary_title", F.lit("?")), F.lit(" ["), "hook_id", F.lit("]")))
+    late = Window.partitionBy("session_id", "period").orderBy(F.col("archived_at").desc(), F.col("hook_id").desc(), F.col("__line").desc())
+    near = rows.withColumn("__n", F.row_number().over(late)).filter(F.col("__n") <= most)
+    order = F.struct(*([(-ranked).alias("r")] if ranked is not None else []), "archived_at", "hook_id", F.col("__line").alias("line"))
+    return near.groupBy("session_id", "period").agg(
         F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").alias("prompt")
     )
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, is_question, is_subagent_tool
 from ..vocab import HIGH_VALUE_TAGS
+from . import sequences
 
 
 def message_tags(m: str) -> Column:
@@ -54,40 +54,92 @@ def turn_tokens() -> Column:
     return message_tokens("user_message") + message_tokens("llm_message")
 
 
+def estimated_turn_tokens() -> Column:
+    """By an estimator: without the tools' names, at least 1 a turn."""
+    return F.greatest(message_tokens("user_message", False, 0) + message_tokens("llm_message", False, 0), F.lit(1).cast("long"))
+
+
 def is_high_value(tags: Column) -> Column:
     return F.arrays_overlap(tags, F.array(*(F.lit(t) for t in HIGH_VALUE_TAGS)))
 
 
+SPEAKERS = ("user", "assistant")
+#: Roles that belong to no turn; any other but assistant opens one, as user does.
+SILENT = ("system", "synthetic", "shell", "compaction")
+
+
 def number_turns(messages: DataFrame) -> DataFrame:
-    """Adds turn: the number of user messages up to each row, in order of seq; other roles are left out.
+    """Adds turn: the number of user messages up to each row, in order of seq, then id; silent roles are left out.
 
-    Columns session_id, seq, role (user or assistant). A leading assistant is turn 0.
+    Columns session_id, seq, id, role. A leading assistant is turn 0. A session
+    may fill any number of tasks.
     """
-    w = Window.partitionBy("session_id").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.filter(F.col("role").isin("user", "assistant")).withColumn("turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    rows = messages.filter(~F.coalesce(F.col("role"), F.lit("")).isin(*SILENT))
+    cut = sequences.stretches(rows, "session_id", ["seq", "id"])
+    opens = F.when(F.coalesce(F.col("role"), F.lit("")) == "assistant", 0).otherwise(1).cast("long")
+    return sequences.running_sum(cut, "session_id", ["seq", "id"], opens, "turn").drop(sequences.PART)
 
 
 def pair_turns(messages: DataFrame) -> DataFrame:
-    """(session_id, turn, user_text, llm_text, messages): answers to one user message are joined by line feeds."""
+    """(session_id, turn, user_text, llm_text, tokens, stop_reason, cost, messages) of each turn.
+
+    A user message opens a turn; the answers up to the next one are merged:
+    texts that are not empty joined by an empty line, tokens summed (null where
+    no answer has any), of stop reason and cost the last one that is not null.
+    Only whole turns are gathered into one row.
+    Columns id, session_id, seq, role, text, tokens, finish, cost.
+    """
+    answer = F.coalesce(F.col("role"), F.lit("")) == "assistant"
+    at = F.struct("seq", "id")
     rows = number_turns(messages)
-    said = lambda role: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("seq", "id", "text")))), lambda x: x["text"]), "\n"
+    said = F.collect_list(F.when(answer & (F.coalesce("text", F.lit("")) != ""), F.struct("seq", "id", "text")))
+    last = lambda c: F.max_by(c, F.when(answer & F.col(c).isNotNull(), at))
+    return rows.groupBy("session_id", "turn").agg(
+        F.max(F.when(~answer, F.col("text"))).alias("user_text"),
+        F.array_join(F.transform(F.array_sort(said), lambda x: x["text"]), "\n\n").alias("llm_text"),
+        F.sum(F.when(answer, F.col("tokens"))).alias("tokens"),
+        last("finish").alias("stop_reason"),
+        last("cost").alias("cost"),
+        F.count("*").alias("messages"),
     )
-    return rows.groupBy("session_id", "turn").agg(said("user").alias("user_text"), said("assistant").alias("llm_text"), F.count("*").alias("messages"))
+
+
+def _with_next(messages: DataFrame) -> DataFrame:
+    rows = messages.filter(F.col("role").isin(*SPEAKERS))
+    return sequences.neighbour(sequences.stretches(rows, "session_id", ["seq", "id"]), "session_id", ["seq", "id"], ["role", "text"])
 
 
 def strict_pairs(messages: DataFrame) -> DataFrame:
     """(session_id, seq, user_text, llm_text): user messages that an assistant follows at once."""
-    w = Window.partitionBy("session_id").orderBy("seq", "id")
-    rows = messages.filter(F.col("role").isin("user", "assistant"))
-    rows = rows.withColumn("next_role", F.lead("role").over(w)).withColumn("llm_text", F.lead("text").over(w))
-    return rows.filter("role = 'user' and next_role = 'assistant'").select("session_id", "seq", F.col("text").alias("user_text"), "llm_text")
+    rows = _with_next(messages).filter("role = 'user' and __next.role = 'assistant'")
+    return rows.select("session_id", "seq", F.col("text").alias("user_text"), F.col("__next.text").alias("llm_text"))
+
+
+def lenient_pairs(messages: DataFrame) -> DataFrame:
+    """(session_id, seq, user_text, llm_text): as strict_pairs, and every message without partner as a pair with an empty side.
+
+    An assistant belongs to a user message right before it. Pairs without any text are left out.
+    """
+    rows = _with_next(messages)
+    led = sequences.neighbour(rows.drop("__next"), "session_id", ["seq", "id"], ["role"], after=False)
+    users = rows.filter("role = 'user'").select("session_id", "seq", F.col("text").alias("user_text"), F.when(F.col("__next.role") == "assistant", F.col("__next.text")).alias("llm_text"))
+    alone = led.filter("role = 'assistant' and coalesce(__next.role, '') <> 'user'").select("session_id", "seq", F.lit("").alias("user_text"), F.col("text").alias("llm_text"))
+    pairs = users.unionByName(alone).select("session_id", "seq", F.coalesce("user_text", F.lit("")).alias("user_text"), F.coalesce("llm_text", F.lit("")).alias("llm_text"))
+    return pairs.filter("user_text <> '' or llm_text <> ''")
+
+
+def speaker_pairs(lines: DataFrame, first: str, key: str = "session_id", speaker: str = "speaker") -> DataFrame:
+    """(key, seq, user_text, llm_text): each line of the speaker `first` with the line of another one right after it, empty where `first` goes on."""
+    cut = sequences.stretches(lines.select(key, "seq", "id", F.col(speaker).alias("speaker"), "text"), key, ["seq", "id"])
+    rows = sequences.neighbour(cut, key, ["seq", "id"], ["speaker", "text"]).filter(F.col("speaker") == first)
+    reply = F.when(F.col("__next.speaker") != first, F.col("__next.text"))
+    return rows.select(key, "seq", F.col("text").alias("user_text"), F.coalesce(reply, F.lit("")).alias("llm_text"))
 
 
 def rounds(turns: DataFrame) -> DataFrame:
     """Each turn with the text of the next one of its session."""
-    w = Window.partitionBy("session_id").orderBy("turn")
-    return turns.withColumn("next_user_text", F.lead("user_text").over(w))
+    cut = sequences.stretches(turns, "session_id", ["turn"])
+    return sequences.neighbour(cut, "session_id", ["turn"], ["user_text"]).withColumn("next_user_text", F.col("__next.user_text")).drop("__next", sequences.PART)
 
 
 def keep_recent(rows: DataFrame, n: int, key: str = "session_id", order: str = "seq", oldest: bool = False) -> DataFrame:
@@ -97,37 +149,80 @@ def keep_recent(rows: DataFrame, n: int, key: str = "session_id", order: str = "
 
 
 def within_budget(rows: DataFrame, budget: int, key: str = "session_id", order: str = "seq", tokens: str = "tokens") -> DataFrame:
-    """The latest rows of each key whose tokens together stay within the budget."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(tokens).over(w)).filter(F.col("used") <= budget)
+    """The latest rows of each key whose tokens together stay within the budget; adds used, their sum so far."""
+    by = [F.col(order).desc(), F.col("id").asc()]
+    return sequences.running_sum(sequences.stretches(rows, key, by), key, by, F.col(tokens), "used").filter(F.col("used") <= budget).drop(sequences.PART)
+
+
+_SUMMARY = "session_id string, part long, places array<double>, cuts array<long>, carries array<double>, total double"
+
+
+def _first_reach(sums: np.ndarray, start: np.ndarray, threshold: float) -> np.ndarray:
+    """For each start (index into sums, which begin with 0) the first index whose sum lies the threshold beyond; past the end if none does."""
+    return np.maximum(np.searchsorted(sums, sums[start] + threshold, "left"), start + 1)
 
 
 def batch_turns(turns: DataFrame, threshold: int, factor: float = 1.5) -> DataFrame:
-    """(session_id, turn_id, batch, batch_tokens, truncated): turns cut into batches at the threshold.
+    """(session_id, batch, batch_tokens, turns, truncated): turns cut into batches at the threshold.
 
     A batch is closed by the turn that brings its tokens to the threshold, and
     the next begins at 0; it is marked truncated from `factor` times the
-    threshold on. The sum depends on every turn before it, so a session is one
-    sequence; it streams through its task in sorted batches with a running sum
-    only, and no session is held in memory.
-    Columns turn_id, session_id, tokens, created_at; null sessions are one.
+    threshold on. Columns turn_id, session_id, tokens (null counts as 0),
+    created_at; null sessions are one.
+
+    Where a batch begins depends on all turns before, but within a stretch only
+    on the tokens carried into it: each stretch is summed up as a step function
+    from those to the batches closed and the tokens carried on. The summaries of
+    a session, one a stretch, are passed through in order, and each stretch is
+    then numbered by what is carried into it.
     """
-    schema = "session_id string, turn_id long, batch long, tokens long"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, number, total, first = None, 0, 0, True
-        for pdf in batches:
-            numbers = []
-            for name, tokens in zip(pdf["session_id"].tolist(), pdf["tokens"].tolist()):
-                if first or name != session:
-                    session, number, total, first = name, 0, 0, False
-                numbers.append(number)
-                total += tokens
-                if total >= threshold:
-                    number, total = number + 1, 0
-            yield pdf[["session_id", "turn_id"]].assign(batch=numbers, tokens=pdf["tokens"])
-
-    ordered = turns.select("session_id", "turn_id", "tokens", "created_at").repartition("session_id").sortWithinPartitions("session_id", "created_at", "turn_id")
-    rows = ordered.mapInPandas(cut, schema)
-    totals = rows.groupBy("session_id", "batch").agg(F.sum("tokens").alias("batch_tokens"), F.count("*").alias("turns"))
+    order = ["created_at", "turn_id"]
+    rows = turns.select("session_id", "turn_id", F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens"), "created_at")
+    cut = sequences.stretches(rows, "session_id", order)
+
+    def sum_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", na_position="first")
+        sums = np.concatenate([[0.0], np.cumsum(pdf["tokens"].to_numpy())])
+        n = len(sums) - 1
+        reach = _first_reach(sums, np.arange(n + 1), threshold)
+        closed, carried = np.zeros(n + 1, np.int64), np.zeros(n + 1)
+        for i in range(n, -1, -1):  # what follows from a batch that begins after row i
+            if reach[i] > n:
+                carried[i] = sums[n] - sums[i]
+            else:
+                closed[i], carried[i] = closed[reach[i]] + 1, carried[reach[i]]
+        # with c carried in, the first batch ends at the first row where sums >= threshold - c
+        ends = [k for k in range(1, n + 1) if sums[k - 1] < threshold or k == 1]
+        return pd.DataFrame({"session_id": [key[0]], "part": [key[1]], "places": [[float(sums[k]) for k in ends]], "cuts": [[int(closed[k]) + 1 for k in ends]], "carries": [[float(carried[k]) for k in ends]], "total": [float(sums[n])]})
+
+    def pass_on(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        carry, number, out = 0.0, 0, []
+        for r in pdf.sort_values("part").itertuples():
+            out.append((key[0], r.part, carry, number))
+            at = int(np.searchsorted(np.asarray(r.places), threshold - carry, "left"))
+            if at < len(r.places):
+                number, carry = number + int(r.cuts[at]), float(r.carries[at])
+            else:
+                carry += r.total
+        return pd.DataFrame(out, columns=["session_id", "part", "carry", "number"])
+
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", na_position="first")
+        tokens, carry, number = pdf["tokens"].to_numpy(), float(pdf["carry"].iloc[0]), int(pdf["number"].iloc[0])
+        sums = np.concatenate([[0.0], np.cumsum(tokens)])
+        n, at, batch = len(tokens), 0, np.zeros(len(tokens), np.int64)
+        to = max(int(np.searchsorted(sums, threshold - carry, "left")), 1)
+        while at < n:
+            batch[at:to] = number
+            number, at = number + 1, to
+            if at < n:
+                to = int(_first_reach(sums, np.array([at]), threshold)[0])
+        return pd.DataFrame({"session_id": [key[0]] * n, "batch": batch, "tokens": tokens})
+
+    keys = ["session_id", sequences.PART]
+    summaries = cut.groupBy(*keys).applyInPandas(sum_up, _SUMMARY)
+    carried = summaries.groupBy("session_id").applyInPandas(pass_on, "session_id string, part long, carry double, number long")
+    entered = cut.join(carried.withColumnRenamed("session_id", "__key"), cut["session_id"].eqNullSafe(F.col("__key")) & (cut[sequences.PART] == F.col("part"))).drop("__key", "part")
+    numbered = entered.groupBy(*keys).applyInPandas(assign, "session_id string, batch long, tokens double")
+    totals = numbered.groupBy("session_id", "batch").agg(F.sum("tokens").cast("long").alias("batch_tokens"), F.count("*").alias("turns"))
     return totals.withColumn("truncated", F.col("batch_tokens") >= F.lit(threshold * factor))

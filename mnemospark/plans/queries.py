@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -20,6 +20,7 @@ SQL: dict[str, str] = {}
 
 NOW = "2026-01-01 00:00:00"
 SEARCHED = "retry window 缓存层 snapshot retry"
+SEARCHED_TERMS = {"retry": 2, "window": 1, "缓": 1, "存": 1, "层": 1, "snapshot": 1}
 
 
 def query(sql: str | None = None):
@@ -35,20 +36,28 @@ def query(sql: str | None = None):
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a message id with role and text: (id, session_id, seq, role, text, received_at)."""
+    """One row a message id with role and payload: (id, session_id, seq, role, text, tokens, finish, cost, received_at)."""
     rows = load(spark, folder, "session_messages").filter("session_id is not null and seq is not null")
     one = storage.latest(rows.select("id", "session_id", "seq", "type", "data", "received_at"), ["id"], ["received_at"])
     parsed = one.withColumn("v", F.expr("try_parse_json(data)"))
-    return parsed.select("id", "session_id", "seq", F.lower(F.trim("type")).alias("role"), context.payload_text("v").alias("text"), "received_at")
+    text = context.payload_text("v")
+    return parsed.select(
+        "id", "session_id", "seq", F.lower(F.trim("type")).alias("role"), text.alias("text"),
+        F.coalesce(context.payload_tokens("v"), tx.estimate_tokens(text)).alias("tokens"),
+        context.payload_finish("v").alias("finish"), context.payload_cost("v").alias("cost"), "received_at",
+    )
 
 
 # The same rows in SQL; damaged data has no text on either side.
-_MESSAGES = """
-messages AS (
-  SELECT id, session_id, seq, lower(trim(type, ' ')) AS role,
-    coalesce(CASE WHEN json_valid(data) THEN coalesce(data->>'$.text', data->>'$.content[0].text') END, '') AS text
+_MESSAGES = f"""
+parsed AS (
+  SELECT id, session_id, seq, lower(trim(type, ' ')) AS role, CASE WHEN json_valid(data) THEN data END AS j,
+    coalesce(CASE WHEN json_valid(data) THEN coalesce(data->>'$.text', CASE WHEN json_type(data->'$.content') = 'ARRAY' THEN
+      array_to_string(list_transform(list_filter(CAST(data->'$.content' AS JSON[]), lambda p: p->>'$.type' = 'text' AND p->>'$.text' IS NOT NULL), lambda p: p->>'$.text'), chr(10)) END) END, '') AS text
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC) AS n FROM session_messages WHERE session_id IS NOT NULL AND seq IS NOT NULL)
   WHERE n = 1
+), messages AS (
+  SELECT id, session_id, seq, role, text, {q.tokens('text')} AS tokens, j->>'$.finish' AS finish, CAST(j->>'$.cost' AS DOUBLE) AS cost FROM parsed
 )"""
 
 
@@ -142,9 +151,27 @@ def scalar_periods(spark, folder):
     return rows.select("memory_id", "received_at", tx.week_key("archived_at").alias("week"), tx.month_key("archived_at").alias("month"))
 
 
-@query("SELECT doc_id, CASE WHEN n <> '' THEN least(greatest(CAST(n AS DOUBLE), 0), 100) END AS score FROM (SELECT doc_id, regexp_extract(text, '([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents WHERE text IS NOT NULL)")
+_NUMBER = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+
+
+def _number(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {_NUMBER}) THEN CAST({x} AS DOUBLE) END"
+
+
+def _after(mark: str) -> str:
+    return f"CASE WHEN contains(x, '{mark}') THEN {_number(f"trim(list_last(string_split(x, '{mark}')), chr(9) || chr(13) || ' ')")} END"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS t FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, 'Score ' || doc_id % 7 || ': ' || doc_id % 150 || chr(10) || 'so 3' FROM documents) WHERE text IS NOT NULL), "
+    f"l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda y: list_transform([trim(y, chr(9) || chr(13) || ' ')], lambda x: coalesce({_after('：')}, {_after(':')}, {_after(' ')}))[1]), lambda v: v IS NOT NULL) AS tails FROM d) "
+    f"SELECT doc_id, least(greatest(coalesce({_number('t')}, tails[1], {_number("regexp_extract(t, '([-0-9.]+)', 1)")}), 0), 100) AS score FROM l"
+)
 def scalar_parsed_scores(spark, folder):
-    return load(spark, folder, "documents").filter("text is not null").select("doc_id", tx.parse_score("text").alias("score"))
+    """Scores of the documents' texts, and of a made reply for each."""
+    rows = load(spark, folder, "documents").select("doc_id", "text")
+    made = rows.select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("Score "), F.col("doc_id") % 7, F.lit(": "), F.col("doc_id") % 150, F.lit("\nso 3")).alias("text"))
+    return rows.unionByName(made).filter("text is not null").select("doc_id", tx.parse_score("text").alias("score"))
 
 
 # Turns
@@ -155,10 +182,9 @@ def turn_tags(spark, folder):
     return _turns(spark, folder).select("turn_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"{_TURNS} SELECT turn_id, tokens, {q.turn_tokens(False)} AS without_names FROM turns")
+@query(f"{_TURNS} SELECT turn_id, tokens, greatest({q.message_tokens('user_message', False, 0)} + {q.message_tokens('llm_message', False, 0)}, 1)::BIGINT AS without_names FROM turns")
 def turn_token_totals(spark, folder):
-    bare = turns.message_tokens("user_message", False) + turns.message_tokens("llm_message", False)
-    return _turns(spark, folder).select("turn_id", "tokens", bare.alias("without_names"))
+    return _turns(spark, folder).select("turn_id", "tokens", turns.estimated_turn_tokens().alias("without_names"))
 
 
 @query(f"{_TURNS} SELECT turn_id, len(list_filter(tags, lambda x: x IN ({q.strings(turns.HIGH_VALUE_TAGS)}))) > 0 AS high_value FROM turns")
@@ -208,21 +234,40 @@ def filter_retained(spark, folder):
 
 # Sequences of messages
 
+_NUMBERED = f"""WITH {_MESSAGES}, n AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING)::BIGINT AS turn
+FROM messages WHERE coalesce(role, '') NOT IN ('system', 'synthetic', 'shell', 'compaction'))"""
+
 
 @query(
-    f"""WITH {_MESSAGES}, n AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING)::BIGINT AS turn FROM messages WHERE role IN ('user', 'assistant'))
-SELECT session_id, turn, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY seq, id), '') AS user_text, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY seq, id), '') AS llm_text, count(*) AS messages
+    f"""{_NUMBERED} SELECT session_id, turn, max(CASE WHEN role <> 'assistant' THEN text END) AS user_text, coalesce(string_agg(CASE WHEN role = 'assistant' AND text <> '' THEN text END, chr(10) || chr(10) ORDER BY seq, id), '') AS llm_text,
+sum(CASE WHEN role = 'assistant' THEN tokens END)::BIGINT AS tokens, arg_max(finish, (seq, id)) FILTER (role = 'assistant' AND finish IS NOT NULL) AS stop_reason, arg_max(cost, (seq, id)) FILTER (role = 'assistant' AND cost IS NOT NULL) AS cost, count(*) AS messages
 FROM n GROUP BY session_id, turn"""
 )
 def window_pair_turns(spark, folder):
     return turns.pair_turns(_messages(spark, folder))
 
 
-@query(f"WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS llm_text FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY seq, id)) SELECT session_id, seq, text AS user_text, llm_text FROM n WHERE role = 'user' AND next_role = 'assistant'")
+_NEIGHBOURS = f"WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lag(role) OVER w AS last_role FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY seq, id))"
+
+
+@query(f"{_NEIGHBOURS} SELECT session_id, seq, text AS user_text, next_text AS llm_text FROM n WHERE role = 'user' AND next_role = 'assistant'")
 def window_strict_pairs(spark, folder):
     return turns.strict_pairs(_messages(spark, folder))
 
 
+@query(
+    f"""{_NEIGHBOURS} SELECT * FROM (SELECT session_id, seq, CASE WHEN role = 'user' THEN text ELSE '' END AS user_text, CASE WHEN role = 'assistant' THEN text WHEN next_role = 'assistant' THEN next_text ELSE '' END AS llm_text
+FROM n WHERE role = 'user' OR coalesce(last_role, '') <> 'user') WHERE user_text <> '' OR llm_text <> ''"""
+)
+def window_lenient_pairs(spark, folder):
+    return turns.lenient_pairs(_messages(spark, folder))
+
+
+@query(f"WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY seq, id)) SELECT session_id, seq, text AS user_text, CASE WHEN next_role <> 'user' THEN next_text ELSE '' END AS llm_text FROM n WHERE role = 'user'")
+def window_speaker_pairs(spark, folder):
+    return turns.speaker_pairs(_messages(spark, folder), "user", speaker="role")
+
+
 @query(f"WITH {_MESSAGES} SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id) AS k FROM messages) WHERE k <= 5")
 def window_keep_recent(spark, folder):
     return turns.keep_recent(_messages(spark, folder), 5).select("id", "session_id")
@@ -235,14 +280,24 @@ def window_first(spark, folder):
 
 @query(f"WITH {_MESSAGES} SELECT id, used FROM (SELECT *, sum({q.tokens('text')}) OVER (PARTITION BY session_id ORDER BY seq DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM messages) WHERE used <= 500")
 def window_token_budget(spark, folder):
-    rows = _messages(spark, folder).withColumn("tokens", tx.estimate_tokens("text"))
-    return turns.within_budget(rows, 500).select("id", "used")
+    return turns.within_budget(_messages(spark, folder), 500).select("id", "used")
 
 
 @query(f"WITH {_MESSAGES} SELECT id, distance, ceil(distance / 1000)::BIGINT AS bucket FROM (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING)::BIGINT AS distance FROM messages)")
 def aggregate_distance_buckets(spark, folder):
-    rows = _messages(spark, folder).withColumn("length", F.length("text")).withColumn("at", F.struct("seq", "id"))
-    return metrics.distance_buckets(rows, "session_id", "at", "length").select("id", "distance", "bucket")
+    rows = _messages(spark, folder).withColumn("length", F.length("text"))
+    return metrics.distance_buckets(rows, "session_id", ["seq", "id"], "length").select("id", "distance", "bucket")
+
+
+@query(
+    f"WITH {_MESSAGES}, d AS (SELECT role, text, ceil(sum(length(text)) OVER (PARTITION BY session_id ORDER BY seq, id ROWS UNBOUNDED PRECEDING) / 1000)::BIGINT AS bucket FROM messages) "
+    "SELECT role, bucket, count(*) AS asked, round(avg((length(text) > 100)::INTEGER), 6) AS accuracy FROM d GROUP BY role, bucket"
+)
+def metric_accuracy_by_distance(spark, folder):
+    """By role as the category; a text of more than 100 characters stands for a right answer."""
+    rows = _messages(spark, folder).withColumn("length", F.length("text"))
+    placed = metrics.distance_buckets(rows, "session_id", ["seq", "id"], "length")
+    return metrics.accuracy_by_distance(placed.withColumn("correct", F.col("length") > 100), "role", "correct")
 
 
 @query("SELECT delivery_id, lag(seq) OVER (PARTITION BY session_id ORDER BY seq NULLS FIRST, delivery_id) AS previous FROM compactions")
@@ -259,7 +314,12 @@ def window_rounds(spark, folder):
     return turns.rounds(rows).select("turn_id", "next_user_text")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT id, received_at, CASE WHEN json_valid(data) THEN data END AS j, CASE WHEN json_valid(data) AND json_type(data->'$.content') = 'ARRAY' THEN CAST(data->'$.content' AS JSON[]) ELSE [] END AS parts FROM session_messages),
+t AS (SELECT *, list_filter(parts, lambda p: p->>'$.type' = 'text' AND p->>'$.text' IS NOT NULL) AS texts, list_filter(parts, lambda p: p->>'$.type' = 'reasoning' AND p->>'$.text' IS NOT NULL) AS thoughts FROM d)
+SELECT id, received_at, coalesce(j->>'$.text', array_to_string(list_transform(texts, lambda p: p->>'$.text'), chr(10))) AS text, array_to_string(list_transform(thoughts, lambda p: p->>'$.text'), chr(10) || chr(10)) AS reasoning,
+len(list_filter(parts, lambda p: p->>'$.type' = 'tool')) AS tools, NULL::BIGINT AS tokens, j->>'$.finish' AS finish, CAST(j->>'$.cost' AS DOUBLE) AS cost FROM t"""
+)
 def source_payloads(spark, folder):
     return context.parse_payloads(load(spark, folder, "session_messages"))
 
@@ -340,7 +400,9 @@ def join_index_text(spark, folder):
     return rows.select("hook_id", "scope", F.md5("index_text").alias("digest")).distinct()
 
 
-@query("WITH h AS (SELECT DISTINCT session_id, period, archived_at, hook_id, summary_title FROM hooks WHERE file_status IS NULL OR file_status <> 'deleted') SELECT session_id, period, count(*) AS lines, string_agg('- ' || coalesce(summary_title, '?') || ' [' || hook_id || ']', chr(10) ORDER BY archived_at, hook_id, coalesce(summary_title, '?')) AS prompt FROM h GROUP BY session_id, period")
+@query("""WITH h AS (SELECT DISTINCT session_id, period, archived_at, hook_id, summary_title, '- ' || coalesce(summary_title, '?') || ' [' || hook_id || ']' AS line FROM hooks WHERE file_status IS NULL OR file_status <> 'deleted'),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, period ORDER BY archived_at DESC NULLS LAST, hook_id DESC, line DESC) AS k FROM h)
+SELECT session_id, period, count(*) AS lines, string_agg(line, chr(10) ORDER BY archived_at, hook_id, line) AS prompt FROM r WHERE k <= 15 GROUP BY session_id, period""")
 def aggregate_prompts(spark, folder):
     rows = load(spark, folder, "hooks").select("session_id", "period", "archived_at", "hook_id", "summary_title", "file_status")
     return storage.prompt_lines(storage.not_deleted(rows).drop("file_status").distinct().withColumn("file_status", F.lit(None).cast("string")))
@@ -362,7 +424,7 @@ def join_hooks_memories(spark, folder):
 # Search
 
 
-@query(q.bm25("documents", "doc_id", "text", SEARCHED) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+@query(q.bm25("documents", "doc_id", "text", SEARCHED_TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def search_bm25(spark, folder):
     best = search.top(search.bm25(load(spark, folder, "documents"), "doc_id", "text", SEARCHED), 20, "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"))
@@ -381,7 +443,7 @@ def search_inner_product(spark, folder):
 
 
 _FUSED = (
-    q.bm25("documents", "doc_id", "text", SEARCHED)
+    q.bm25("documents", "doc_id", "text", SEARCHED_TERMS)
     + ", k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ("
     + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
     + ") WHERE score > 0), u AS (SELECT * FROM k WHERE r <= 20 UNION ALL SELECT * FROM v WHERE r <= 20)"
@@ -396,7 +458,7 @@ def search_hybrid(spark, folder):
     return fused.select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
-@query(q.bm25("documents", "doc_id", "text", "qqqq") + ", v AS (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") SELECT vec_id AS doc_id, round(score, 6) AS score, 'semantic' AS source FROM v WHERE score > 0 AND (SELECT count(*) FROM scored) = 0 ORDER BY v.score DESC, vec_id LIMIT 20")
+@query(q.bm25("documents", "doc_id", "text", {"qqqq": 1}) + ", v AS (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") SELECT vec_id AS doc_id, round(score, 6) AS score, 'semantic' AS source FROM v WHERE score > 0 AND (SELECT count(*) FROM scored) = 0 ORDER BY v.score DESC, vec_id LIMIT 20")
 def search_hybrid_degraded(spark, folder):
     keyword = search.bm25(load(spark, folder, "documents"), "doc_id", "text", "qqqq")
     vectors = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
@@ -405,7 +467,7 @@ def search_hybrid_degraded(spark, folder):
 
 
 @query(
-    q.bm25("(SELECT DISTINCT memory_id, project_id, content FROM memories WHERE project_id IS NOT NULL)", "memory_id", "content", SEARCHED, by="project_id")
+    q.bm25("(SELECT DISTINCT memory_id, project_id, content FROM memories WHERE project_id IS NOT NULL)", "memory_id", "content", SEARCHED_TERMS, by="project_id")
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, memory_id) AS k FROM scored) SELECT memory_id, project_id, round(score, 6) AS score FROM r WHERE k <= 3 ORDER BY score DESC, project_id, memory_id LIMIT 10"
 )
 def search_projects(spark, folder):
@@ -413,10 +475,16 @@ def search_projects(spark, folder):
     return search.search_projects(rows, "memory_id", "content", SEARCHED, "project_id", 3, 10).select("memory_id", "project_id", F.round("score", 6).alias("score"))
 
 
-@query(q.bm25("documents", "doc_id", "text", "retry window the", words="list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')", terms={"retry": 1, "window": 1}) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+@query(
+    """WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), d AS (SELECT doc_id, len(w) AS dl, w FROM w),
+s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(w)) AS term FROM w) GROUP BY term),
+i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM f CROSS JOIN s), m AS (SELECT avg(idf) AS mean FROM i),
+t AS (SELECT unnest(['retry', 'window', 'the']) AS term), k AS (SELECT t.term, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM t JOIN i USING (term) CROSS JOIN m),
+p AS (SELECT doc_id, dl, k.idf, len(list_filter(w, lambda x: x = k.term)) AS tf FROM d CROSS JOIN k)
+SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p CROSS JOIN s GROUP BY doc_id ORDER BY sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) DESC, doc_id LIMIT 20"""
+)
 def search_whitespace_bm25(spark, folder):
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
-    best = search.top(search.bm25(load(spark, folder, "documents"), "doc_id", "text", "retry window the", tokens=words), 20, "doc_id")
+    best = search.top(search.okapi(load(spark, folder, "documents"), "doc_id", "text", "retry window the"), 20, "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -492,23 +560,22 @@ def lifecycle_inject(spark, folder):
     return search.top(scores, 3, "vec_id").select("vec_id", lifecycle.inject_strategy(F.col("score")).alias("inject"))
 
 
-# Conflicts: the titles of a memory's hooks, in order of archiving, as the facts of its updates
+# Conflicts: the titles of a memory's hooks, in order of archiving, as the facts of its updates. Each title is withdrawn by
+# the next update, which also allows what the title names; the one after forbids it, and withdraws that at once.
 
 
 def _facts(spark, folder):
-    from pyspark.sql import Window
-
     rows = load(spark, folder, "hooks").filter("memory_id is not null and summary_title is not null").select("memory_id", "hook_id", "archived_at", "summary_title").distinct()
-    w = Window.partitionBy("memory_id").orderBy("archived_at", "hook_id")
-    numbered = rows.withColumn("update_seq", F.row_number().over(w))
-    added = numbered.select("memory_id", "update_seq", F.lit("added").alias("kind"), F.col("summary_title").alias("fact"))
-    gone = numbered.select("memory_id", (F.col("update_seq") + 1).alias("update_seq"), F.lit("deprecated").alias("kind"), F.col("summary_title").alias("fact"))
-    return added.unionByName(gone)
+    numbered = rows.withColumn("s", F.row_number().over(Window.partitionBy("memory_id").orderBy("archived_at", "hook_id", "summary_title")))
+    stated = ((0, "added", ""), (1, "deprecated", ""), (1, "added", "allow "), (2, "added", "forbid "), (2, "deprecated", "forbid  "))
+    facts = F.explode(F.array(*(F.struct((F.col("s") + n).alias("update_seq"), F.lit(kind).alias("kind"), F.concat(F.lit(before), "summary_title").alias("fact")) for n, kind, before in stated)))
+    return numbered.select("memory_id", facts.alias("f")).select("memory_id", "f.*")
 
 
 _FACTS = """h AS (SELECT DISTINCT memory_id, hook_id, archived_at, summary_title FROM hooks WHERE memory_id IS NOT NULL AND summary_title IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY archived_at, hook_id) AS s FROM h),
-f AS (SELECT memory_id, s, 'added' AS kind, summary_title AS fact FROM n UNION ALL SELECT memory_id, s + 1, 'deprecated', summary_title FROM n)"""
+n AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY archived_at, hook_id, summary_title) AS s FROM h),
+f AS (SELECT memory_id, s, 'added' AS kind, summary_title AS fact FROM n UNION ALL SELECT memory_id, s + 1, 'deprecated', summary_title FROM n
+ UNION ALL SELECT memory_id, s + 1, 'added', 'allow ' || summary_title FROM n UNION ALL SELECT memory_id, s + 2, 'added', 'forbid ' || summary_title FROM n UNION ALL SELECT memory_id, s + 2, 'deprecated', 'forbid  ' || summary_title FROM n)"""
 
 
 @query(f"WITH {_FACTS} SELECT a.memory_id, a.s AS seq, a.fact AS new_fact, b.fact AS existing_fact FROM f a JOIN f b ON a.memory_id = b.memory_id AND a.kind = 'added' AND b.kind = 'deprecated' AND a.s = b.s WHERE {q.fact_similarity('a.fact', 'b.fact')} >= 0.8")
@@ -526,39 +593,84 @@ def conflict_reversal(spark, folder):
     return conflicts.stance_reversals(_facts(spark, folder)).select("memory_id", "seq", "new_fact", "existing_fact")
 
 
-@query()
+_DETECTED = f"""{_FACTS}, pairs AS (SELECT a.memory_id, a.s AS seq, a.kind AS kind_a, b.kind AS kind_b, a.fact AS new_fact, b.fact AS existing_fact, b.s AS s FROM f a JOIN f b USING (memory_id)),
+found AS (
+  SELECT memory_id, seq, 'self' AS conflict, new_fact, existing_fact FROM pairs WHERE kind_a = 'added' AND kind_b = 'deprecated' AND seq = s AND {q.fact_similarity('new_fact', 'existing_fact')} >= 0.8
+  UNION ALL SELECT memory_id, seq, 'direct', new_fact, existing_fact FROM pairs WHERE kind_a = 'added' AND kind_b = 'added' AND s < seq AND {q.opposes('new_fact', 'existing_fact')}
+  UNION ALL SELECT memory_id, seq, 'reversal', new_fact, existing_fact FROM pairs WHERE kind_a = 'deprecated' AND kind_b = 'added' AND s < seq AND {q.fact_similarity('new_fact', 'existing_fact')} >= 0.6
+), detected AS (SELECT *, CASE WHEN conflict = 'direct' THEN 'critical' ELSE 'warning' END AS severity, conflict || ' of ' || new_fact || ' and ' || existing_fact AS description FROM found)"""
+
+
+@query(f"WITH {_DETECTED} SELECT memory_id, count(*) AS conflicts, count(*) FILTER (severity = 'critical') AS critical, bool_or(severity = 'critical') AS has_critical FROM detected GROUP BY memory_id")
 def conflict_summary(spark, folder):
     return conflicts.summary(conflicts.detect(_facts(spark, folder)))
 
 
-@query()
+@query(
+    f"""WITH {_DETECTED}, h AS (SELECT DISTINCT * FROM detected WHERE conflict <> 'reversal' AND seq % 2 = 0),
+o AS (SELECT DISTINCT memory_id, seq, conflict, new_fact, CASE WHEN seq % 3 > 0 THEN upper(existing_fact) END AS existing_fact, 'critical' AS severity, description || ' again' AS description FROM detected WHERE conflict <> 'direct'),
+k AS (SELECT o.*, row_number() OVER () AS id FROM o),
+m AS (SELECT k.id, k.seq AS o_seq, k.existing_fact AS o_existing, k.description AS o_description, min((h.seq, h.new_fact, h.existing_fact)) AS place, k.memory_id, k.conflict FROM k JOIN h USING (memory_id, conflict)
+  WHERE k.new_fact = h.new_fact OR {q.fact_similarity('k.new_fact', 'h.new_fact')} >= 0.7 GROUP BY ALL),
+g AS (SELECT memory_id, conflict, place, arg_max(o_description, (length(o_description), o_description)) AS o_description, arg_max(o_existing, (o_seq, o_existing)) FILTER (o_existing IS NOT NULL) AS o_existing FROM m GROUP BY memory_id, conflict, place)
+SELECT h.memory_id, h.seq, h.conflict, h.new_fact, coalesce(o_existing, h.existing_fact) AS existing_fact, CASE WHEN g.memory_id IS NULL THEN h.severity ELSE 'critical' END AS severity,
+  CASE WHEN length(o_description) > length(h.description) THEN o_description ELSE h.description END AS description
+FROM h LEFT JOIN g ON h.memory_id = g.memory_id AND h.conflict = g.conflict AND g.place = (h.seq, h.new_fact, h.existing_fact)
+UNION ALL SELECT memory_id, seq, conflict, new_fact, existing_fact, severity, description FROM k WHERE id NOT IN (SELECT id FROM m)"""
+)
 def conflict_merged_reports(spark, folder):
+    """The detector's report on the even updates with a second one that names existing facts in capitals, or none."""
     found = conflicts.detect(_facts(spark, folder))
-    return conflicts.merge_reports(found.filter("conflict <> 'reversal'"), found.filter("conflict <> 'direct'"))
+    second = found.filter("conflict <> 'direct'").withColumns(
+        {"existing_fact": F.when(F.col("seq") % 3 > 0, F.upper("existing_fact")), "severity": F.lit("critical"), "description": F.concat("description", F.lit(" again"))}
+    )
+    return conflicts.merge_reports(found.filter("conflict <> 'reversal' and seq % 2 = 0"), second)
+
+
+@query(
+    f"WITH {_PAIRED_TITLES}, v AS (SELECT DISTINCT 'hook ' || vec_id AS fact, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), p AS (SELECT 'hook ' || a.vec_id AS a, 'hook ' || (a.vec_id * 3 % 997) AS b FROM embeddings a UNION ALL SELECT a, b FROM pairs) "
+    f"SELECT p.a, p.b, round(CASE WHEN u.fact IS NOT NULL AND w.fact IS NOT NULL THEN list_cosine_similarity(u.vector, w.vector) ELSE {q.word_similarity('p.a', 'p.b')} END, 6) AS similarity FROM p LEFT JOIN v u ON u.fact = p.a LEFT JOIN v w ON w.fact = p.b"
+)
+def conflict_embedding_similarity(spark, folder):
+    vectors = load(spark, folder, "embeddings")
+    named = lambda c: F.concat(F.lit("hook "), c)
+    pairs = vectors.select(named(F.col("vec_id")).alias("a"), named(F.col("vec_id") * 3 % 997).alias("b")).unionByName(_title_pairs(spark, folder).select("a", "b"))
+    rows = conflicts.embedding_similarity(pairs, vectors.select(named(F.col("vec_id")).alias("fact"), F.col("embedding").alias("vector")), "a", "b")
+    return rows.withColumn("similarity", F.round("similarity", 6))
 
 
 # Measures
 
-_EVALUATED = "e AS (SELECT user_id, list(event_id ORDER BY value DESC, event_id) AS ranked, list(event_id) FILTER (event_type = 'purchase') AS answers FROM events GROUP BY user_id)"
+_EVALUATED = "r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'purchase' AS hit FROM events)"
+_GAIN = "CASE WHEN {0} <= 1 THEN 1.0 ELSE 1.0 / log2({0}) END"
 
 
 def _evaluated(spark, folder):
-    rows = load(spark, folder, "events").groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))), lambda x: x["event_id"]).alias("ranked"),
-        F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("answers"),
-    )
-    return rows
+    """Events of a user by value as a ranking, purchases as the right answers."""
+    w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
+    events = load(spark, folder, "events")
+    return events.select("user_id", "event_id", F.row_number().over(w).alias("rank")).filter("rank <= 50"), events.filter("event_type = 'purchase'").select("user_id", "event_id")
 
 
 @query(
-    f"WITH {_EVALUATED}, c AS (SELECT user_id, ranked[:10] AS best, coalesce(answers, []) AS right_ids FROM e) SELECT user_id, CASE WHEN len(list_intersect(best, right_ids)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_any, "
-    "CASE WHEN len(list_intersect(best, right_ids)) = len(right_ids) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_all, "
-    "round(CASE WHEN len(right_ids) = 0 THEN 0 ELSE list_sum(list_transform(range(1, len(best) + 1), lambda i: CASE WHEN list_contains(right_ids, best[i]) THEN CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 1 / log2(i) END ELSE 0 END)) "
-    "/ list_sum(list_transform(range(1, least(len(right_ids), 10) + 1), lambda i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 1 / log2(i) END)) END, 6)::DOUBLE AS ndcg FROM c"
+    f"WITH {_EVALUATED}, k AS (SELECT unnest([1, 3, 5, 10, 30, 50]) AS k), "
+    f"m AS (SELECT user_id, k, count(*) FILTER (hit AND rank <= k) AS hits, count(*) FILTER (hit) AS wanted, sum(CASE WHEN hit AND rank <= k THEN {_GAIN.format('rank')} ELSE 0 END) AS dcg FROM r CROSS JOIN k GROUP BY user_id, k) "
+    "SELECT user_id, k, (hits > 0)::INTEGER::DOUBLE AS recall_any, (hits = wanted)::INTEGER::DOUBLE AS recall_all, "
+    f"round(CASE WHEN wanted = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(wanted, k) + 1), lambda i: {_GAIN.format('i')})) END, 6)::DOUBLE AS ndcg FROM m"
 )
 def metric_retrieval(spark, folder):
-    rows = metrics.retrieval_metrics(_evaluated(spark, folder), "ranked", "answers", 10)
-    return rows.select("user_id", "recall_any", "recall_all", F.round("ndcg", 6).alias("ndcg"))
+    rows = metrics.retrieval_metrics(*_evaluated(spark, folder), "user_id", "event_id", [1, 3, 5, 10, 30, 50])
+    return rows.withColumn("ndcg", F.round("ndcg", 6))
+
+
+@query(
+    "WITH r AS (SELECT user_id AS session, event_type AS question, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events), b AS (SELECT question, session, min(rank) AS best FROM r GROUP BY question, session) "
+    "SELECT question, session, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY best, session) AS rank FROM b) WHERE rank <= 10"
+)
+def metric_first_sessions(spark, folder):
+    w = Window.partitionBy("question").orderBy(F.col("value").desc(), "event_id")
+    ranked = load(spark, folder, "events").select(F.col("event_type").alias("question"), F.col("user_id").alias("session"), "value", "event_id").withColumn("rank", F.row_number().over(w))
+    return metrics.first_sessions(ranked, "question", "session", 10)
 
 
 @query(f"WITH {_PAIRED_TITLES} SELECT memory_id, round({q.token_f1('a', 'b')}, 6) AS f1, {q.exact_match('a', 'b')} AS exact FROM pairs")
@@ -572,24 +684,27 @@ def metric_grouped_means(spark, folder):
     return metrics.accuracy(load(spark, folder, "orders"), "o_totalprice", ["o_orderpriority"], "o_orderstatus")
 
 
-@query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat_ws(':', event_id::VARCHAR, '42')), event_id) AS k FROM events) WHERE k <= 20")
+@query(
+    "WITH p AS (SELECT event_id, event_type, md5(concat_ws(':', event_id::VARCHAR, '42')) AS pick FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY pick, event_id) AS k FROM p) "
+    "SELECT event_id, event_type FROM k ORDER BY (k > greatest(1, 103 // (SELECT count(DISTINCT event_type) FROM events)))::INTEGER, pick, event_id LIMIT 103"
+)
 def metric_stratified_sample(spark, folder):
-    return metrics.stratified_sample(load(spark, folder, "events"), "event_type", "event_id", 100, 5).select("event_id", "event_type")
+    return metrics.stratified_sample(load(spark, folder, "events"), "event_type", "event_id", 103).select("event_id", "event_type")
 
 
 @query(
-    "WITH r AS (SELECT user_id AS session_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY user_id), "
-    "i AS (SELECT DISTINCT user_id AS session_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND event_type = 'purchase') "
-    "SELECT r.session_id, row_number() OVER (ORDER BY (i.session_id IS NOT NULL) DESC, rank) AS new_rank FROM r LEFT JOIN i USING (session_id)"
+    "WITH r AS (SELECT event_type AS question, user_id AS session_id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY event_type, user_id), "
+    "i AS (SELECT DISTINCT user_id AS session_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND value > 50) "
+    "SELECT question, r.session_id, row_number() OVER (PARTITION BY question ORDER BY (i.session_id IS NOT NULL AND question <> 'view') DESC, rank) AS new_rank FROM r LEFT JOIN i USING (session_id)"
 )
 def metric_date_rerank(spark, folder):
-    from pyspark.sql import Window
-
+    """Each event type asks for the users' sessions by number of events; all but `view` ask for a range of days."""
     events = load(spark, folder, "events")
-    counts = events.groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"))
-    ranked = counts.select("session_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "session_id")).alias("rank"))
-    dates = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.to_date("ts").alias("day"))
-    return metrics.date_range_rerank(ranked, dates, "2024-01-10", "2024-01-12").select("session_id", "new_rank")
+    counts = events.groupBy(F.col("event_type").alias("question"), F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.col("n").desc(), "session_id")))
+    dates = events.filter("value > 50").select(F.col("user_id").alias("session_id"), F.to_date("ts").alias("day"))
+    ranges = events.filter("event_type <> 'view'").select(F.col("event_type").alias("question"), F.lit("2024-01-10").cast("date").alias("start"), F.lit("2024-01-12").cast("date").alias("end")).distinct()
+    return metrics.date_range_rerank(ranked, dates, ranges).select("question", "session_id", "new_rank")
 
 
 # Increments and streams
@@ -599,7 +714,7 @@ _ARCHIVED = "a AS (SELECT session_id, max(seq) AS last_seq FROM (SELECT unnest(m
 
 @query(f"WITH {_MESSAGES}, {_ARCHIVED} SELECT session_id, sum(tokens)::BIGINT AS tokens, max(seq) AS last_seq FROM (SELECT m.session_id, m.seq, {q.tokens('text')} AS tokens FROM messages m LEFT JOIN a USING (session_id) WHERE m.seq > coalesce(a.last_seq, -1)) GROUP BY session_id HAVING sum(tokens) > 0")
 def increment_pending_tokens(spark, folder):
-    rows = _messages(spark, folder).select("session_id", "seq", tx.estimate_tokens("text").alias("tokens"))
+    rows = _messages(spark, folder).select("session_id", "seq", "tokens")
     return increments.pending_tokens(rows, increments.last_archived(load(spark, folder, "sidecar_state")))
 
 
@@ -613,7 +728,7 @@ def increment_unprocessed(spark, folder):
     return increments.unprocessed(load(spark, folder, "compactions"), load(spark, folder, "sidecar_state"), "message_id").select("delivery_id")
 
 
-@query(f"WITH {_ARCHIVED} SELECT m.id, m.received_at FROM session_messages m JOIN a USING (session_id) WHERE m.seq > a.last_seq AND m.seq < 1000000 AND m.type <> 'compaction'")
+@query(f"WITH {_ARCHIVED} SELECT m.id, m.received_at FROM session_messages m JOIN a USING (session_id) WHERE m.seq > a.last_seq AND m.type <> 'compaction'")
 def increment_between(spark, folder):
     ranges = increments.last_archived(load(spark, folder, "sidecar_state")).select("session_id", F.col("last_seq").alias("low"), F.lit(None).cast("long").alias("high"))
     return increments.between(load(spark, folder, "session_messages"), ranges).select("id", "received_at")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.search import _query_terms
 from ..vocab import CHITCHAT, OPPOSITES, QUESTION_MARKS, STOP_WORDS, SUBAGENT_MARKS
 
 _WIDE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}"
@@ -147,19 +146,19 @@ def turn_tags() -> str:
     return f"CASE WHEN len({rest}) > 0 THEN {rest} ELSE {first} END"
 
 
-def message_tokens(m: str, names: bool) -> str:
+def message_tokens(m: str, names: bool, least: int = 1) -> str:
     parts = [*(["t.name"] if names else []), "t.arguments", "t.result"]
     tools = f"coalesce(list_sum(list_transform({m}.tool_calls, lambda t: {' + '.join(tokens(p) for p in parts)})), 0)"
-    return f"greatest({tokens(m + '.text')} + {tokens(m + '.thinking')} + {tools}, 1)"
+    return f"greatest({tokens(m + '.text')} + {tokens(m + '.thinking')} + {tools}, {least})"
 
 
 def turn_tokens(names: bool = True) -> str:
     return f"({message_tokens('user_message', names)} + {message_tokens('llm_message', names)})::BIGINT"
 
 
-def bm25(table: str, key: str, text: str, query: str, by: str | None = None, words: str | None = None, terms: dict[str, int] | None = None) -> str:
-    terms = terms or _query_terms(query)
-    words = words or search_tokens(f"coalesce({text}, '')")
+def bm25(table: str, key: str, text: str, terms: dict[str, int], by: str | None = None) -> str:
+    """`terms`: those of the query with their number, written out beside the query so that a wrong cut of it shows."""
+    words = search_tokens(f"coalesce({text}, '')")
     keys = f"{key}, {by}" if by else key
     counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     stats = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))

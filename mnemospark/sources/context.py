@@ -30,12 +30,12 @@ def parse_context(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return from_json.unionByName(marked.filter("user_text <> '' or llm_text <> ''"))
 
 
-_PARTS = "array<struct<type:string,text:string>>"
+_PARTS = "array<struct<type:string,text:string,tokens:struct<input:bigint,output:bigint,reasoning:bigint>,reason:string,cost:double>>"
 
 
 def _parts(v: str) -> Column:
     """The content parts of the variant column `v`; none if it has no such list."""
-    return F.coalesce(F.expr(f"try_variant_get({v}, '$.content', '{_PARTS}')"), F.array().cast(_PARTS))
+    return F.coalesce(F.expr(f"try_variant_get({v}, '$.content', '{_PARTS}')"), F.expr(f"transform(try_variant_get({v}, '$.content', 'array<struct<type:string,text:string>>'), p -> named_struct('type', p.type, 'text', p.text, 'tokens', null, 'reason', null, 'cost', null))").cast(_PARTS), F.array().cast(_PARTS))
 
 
 def _joined(parts: Column, kind: str, sep: str) -> Column:
@@ -47,8 +47,29 @@ def payload_text(v: str) -> Column:
     return F.coalesce(F.expr(f"try_variant_get({v}, '$.text', 'string')"), _joined(_parts(v), "text", "\n"))
 
 
+def payload_tokens(v: str) -> Column:
+    """Input, output and reasoning tokens of the last finished step, or null."""
+    steps = F.filter(_parts(v), lambda p: (p["type"] == "step-finish") & p["tokens"].isNotNull())
+    last = F.element_at(steps, -1)["tokens"]
+    return F.when(F.size(steps) > 0, sum((F.coalesce(last[x], F.lit(0)) for x in ("input", "output", "reasoning")), F.lit(0).cast("long")))
+
+
+def _last_of_steps(v: str, name: str) -> Column:
+    steps = F.filter(_parts(v), lambda p: (p["type"] == "step-finish") & p[name].isNotNull())
+    return F.when(F.size(steps) > 0, F.element_at(steps, -1)[name])
+
+
+def payload_finish(v: str) -> Column:
+    """The reason of the last finished step, else that of the message."""
+    return F.coalesce(_last_of_steps(v, "reason"), F.expr(f"try_variant_get({v}, '$.finish', 'string')"))
+
+
+def payload_cost(v: str) -> Column:
+    return F.coalesce(_last_of_steps(v, "cost"), F.expr(f"try_variant_get({v}, '$.cost', 'double')"))
+
+
 def parse_payloads(messages: DataFrame) -> DataFrame:
-    """(id, received_at, text, reasoning, tools, finish, cost) of JSON message payloads; damaged ones have nulls."""
+    """(id, received_at, text, reasoning, tools, tokens, finish, cost) of JSON message payloads; damaged ones have nulls."""
     v = F.expr("try_parse_json(data)")
     rows = messages.select("id", "received_at", v.alias("v"))
     parts = _parts("v")
@@ -57,6 +78,7 @@ def parse_payloads(messages: DataFrame) -> DataFrame:
         payload_text("v").alias("text"),
         _joined(parts, "reasoning", "\n\n").alias("reasoning"),
         F.size(F.filter(parts, lambda p: p["type"] == "tool")).alias("tools"),
-        F.expr("try_variant_get(v, '$.finish', 'string')").alias("finish"),
-        F.expr("try_variant_get(v, '$.cost', 'double')").alias("cost"),
+        payload_tokens("v").alias("tokens"),
+        payload_finish("v").alias("finish"),
+        payload_cost("v").alias("cost"),
     )
