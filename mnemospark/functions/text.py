@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,6 +61,15 @@ def search_tokens(text: _C, stop_words: bool = True) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)) if stop_words else tokens
 
 
+def query_terms(query: str) -> dict[str, int]:
+    """Terms of a query, cut as search_tokens cuts texts, with their number."""
+    out: dict[str, int] = {}
+    for t in re.findall(f"[a-z0-9]+|[{CJK_SEARCH}]", query.lower()):
+        if t not in STOP_WORDS:
+            out[t] = out.get(t, 0) + 1
+    return out
+
+
 def ngrams(text: _C, n: int) -> Column:
     """The set of runs of n characters; a shorter text is its own run, an empty one has none."""
     text = _col(text)

@@ -7,51 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import relevance, search_tokens
+from ..functions.text import relevance
 from ..functions.vectors import cosine, dot, literal
+from .keyword import KeywordIndex
 
-K1, B = 1.2, 0.75
-
-
-def _query_terms(query: str) -> dict[str, int]:
-    """Terms of the query by the tokeniser of the documents, with their number."""
-    import re
-
-    from ..vocab import STOP_WORDS
-
-    out: dict[str, int] = {}
-    for t in re.findall("[a-z0-9]+|[一-鿿㐀-䶿豈-﫿]", query.lower()):
-        if t not in STOP_WORDS:
-            out[t] = out.get(t, 0) + 1
-    return out
-
-
-def bm25(df: DataFrame, id_col: str, text_col: str, query: str, tokens: Column | None = None, k1: float = K1, b: float = B, by: list[str] | None = None) -> DataFrame:
-    """(id, score) of every document with a score above 0; duplicate query terms count twice.
-
-    The query's terms are known beforehand, so each document is reduced to its
-    length and the terms' counts where it is read: nothing is exploded, and the
-    corpus statistics are one row (for each value of `by`, if given).
-    """
-    by = by or []
-    terms = _query_terms(query)
-    if not terms:
-        return df.select(id_col, *by).limit(0).withColumn("score", F.lit(0.0))
-    words = search_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens
-    count = lambda ws, t: F.size(F.filter(ws, lambda w: w == t))
-    # within a lambda the words are made once for all counts
-    counted = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("dl"), *(count(ws, t).alias(f"tf{i}") for i, t in enumerate(terms))))
-    docs = df.select(id_col, *by, F.inline(counted))
-    stats = docs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hits = docs.filter(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms)))))
-    joined = hits.join(stats, by) if by else hits.crossJoin(F.broadcast(stats))  # one row of totals
-    score = F.lit(0.0)
-    for i, (_, times) in enumerate(terms.items()):
-        tf, dfr = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - dfr + 0.5) / (dfr + 0.5) + 1)
-        part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-        score = score + times * part
-    return joined.select(id_col, *by, score.alias("score")).filter("score > 0")
+def bm25(index: KeywordIndex, query: str) -> DataFrame:
+    """(id, *by, score) of every document of the index with a score above 0."""
+    return index.search(query)
 
 
 def okapi(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -111,21 +73,14 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, id_col: str, k: int) -> Data
     return top(fused, k, id_col)
 
 
-def search_projects(df: DataFrame, id_col: str, text_col: str, query: str, project_col: str, per_project: int, k: int) -> DataFrame:
-    """Each project's best by its own statistics, then the best of all by raw score."""
-    scored = bm25(df, id_col, text_col, query, by=[project_col])
-    best = top(scored, per_project, id_col, by=[project_col]).drop("rank")
-    return best.orderBy(F.col("score").desc(), project_col, id_col).limit(k)
+def search_projects(index: KeywordIndex, query: str, per_project: int, k: int) -> DataFrame:
+    """Each project's best by its own statistics, then the best of all by raw score; `index` is kept by the project's column."""
+    (project,) = index.by
+    best = top(index.search(query), per_project, "id", by=[project]).drop("rank")
+    return best.orderBy(F.col("score").desc(), project, "id").limit(k)
 
 
 def relevant_hooks(hooks: DataFrame, query: str) -> DataFrame:
     """Hooks with a relevance above 0, the best first, then the oldest; a blank query passes all."""
     scored = hooks.withColumn("relevance", relevance(query, F.col("summary_title"), F.col("tags")))
     return scored if not query.strip() else scored.filter("relevance > 0").orderBy(F.col("relevance").desc(), "archived_at", "hook_id")
-
-
-def term_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, documents, occurrences): counted per document where it is read, so that the shuffle holds terms, not words."""
-    words = search_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    per_doc = df.select(F.explode(words).alias("term"), id_col).groupBy("term", id_col).agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))

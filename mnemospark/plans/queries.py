@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import conflicts, increments, lifecycle, metrics, search, storage, turns
-from ..session import load
+from ..operators import conflicts, increments, keyword, lifecycle, metrics, search, storage, turns
+from ..session import exists, load, move, new_folder, shared_folder, version
 from ..sources import context, documents
 from ..streaming import totals
 from ..streaming.deliveries import repeated_deliveries, same_id
@@ -424,10 +425,32 @@ def join_hooks_memories(spark, folder):
 # Search
 
 
+def _index(spark: SparkSession, folder: str, table: str, id_col: str, text_col: str, by: dict[str, str] | None = None) -> keyword.KeywordIndex:
+    """The keyword index of a table, made by the session's first query that needs it and read by the later ones."""
+    path = f"{folder}/{table}.parquet"
+    state = hashlib.md5(f"{path} {version(spark, path)} {by}".encode()).hexdigest()
+    rows = load(spark, folder, table).select(id_col, text_col, *(by or {}))
+    index = keyword.KeywordIndex(spark, f"{shared_folder(spark)}/mnemospark/{spark.sparkContext.applicationId}-index/{table}-{state}", dict(rows.dtypes)[id_col], by)
+    if not exists(spark, f"{index.folder}/totals"):
+        index.index(rows.filter(" and ".join(f"{c} is not null" for c in by)).distinct() if by else rows, id_col, text_col)
+    return index
+
+
 @query(q.bm25("documents", "doc_id", "text", SEARCHED_TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def search_bm25(spark, folder):
-    best = search.top(search.bm25(load(spark, folder, "documents"), "doc_id", "text", SEARCHED), 20, "doc_id")
-    return best.select("doc_id", F.round("score", 6).alias("score"))
+    best = search.top(search.bm25(_index(spark, folder, "documents", "doc_id", "text"), SEARCHED), 20, "id")
+    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(q.bm25("(SELECT * FROM documents WHERE coalesce(doc_kind, '') <> 'review')", "doc_id", "text", {"retry": 1, "index": 1}) + " SELECT doc_id, round(score, 6) AS score FROM scored")
+def search_index_maintenance(spark, folder):
+    """Older documents first, under texts that the later increment replaces; then all, by source; reviews are removed; the rest is compacted."""
+    docs = load(spark, folder, "documents")
+    index = keyword.KeywordIndex(spark, new_folder(spark, "index"), dict(docs.dtypes)["doc_id"])
+    index.index(docs.filter("created_at < timestamp '2025-06-01'").withColumn("text", F.concat(F.lit("retry index retry "), "text")), "doc_id", "text")
+    index.index(docs, "doc_id", "text")
+    index.unindex(docs.filter("doc_kind = 'review'").select(F.col("doc_id").alias("id")))
+    return index.compact().search("retry index").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(score, 6) AS score FROM (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 20")
@@ -452,17 +475,17 @@ _FUSED = (
 
 @query(_FUSED + " SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score, 'hybrid' AS source FROM u GROUP BY doc_id ORDER BY sum(1.0 / (60 + r)) DESC, doc_id LIMIT 20")
 def search_hybrid(spark, folder):
-    keyword = search.bm25(load(spark, folder, "documents"), "doc_id", "text", SEARCHED)
+    found = search.bm25(_index(spark, folder, "documents", "doc_id", "text"), SEARCHED).withColumnRenamed("id", "doc_id")
     vectors = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
-    fused = search.hybrid(keyword, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
+    fused = search.hybrid(found, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
     return fused.select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
 @query(q.bm25("documents", "doc_id", "text", {"qqqq": 1}) + ", v AS (" + q.cosine("embeddings", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") SELECT vec_id AS doc_id, round(score, 6) AS score, 'semantic' AS source FROM v WHERE score > 0 AND (SELECT count(*) FROM scored) = 0 ORDER BY v.score DESC, vec_id LIMIT 20")
 def search_hybrid_degraded(spark, folder):
-    keyword = search.bm25(load(spark, folder, "documents"), "doc_id", "text", "qqqq")
+    found = search.bm25(_index(spark, folder, "documents", "doc_id", "text"), "qqqq").withColumnRenamed("id", "doc_id")
     vectors = search.vector_scores(load(spark, folder, "embeddings"), "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)])
-    fused = search.hybrid(keyword, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
+    fused = search.hybrid(found, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", 20)
     return fused.select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
@@ -471,8 +494,9 @@ def search_hybrid_degraded(spark, folder):
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, memory_id) AS k FROM scored) SELECT memory_id, project_id, round(score, 6) AS score FROM r WHERE k <= 3 ORDER BY score DESC, project_id, memory_id LIMIT 10"
 )
 def search_projects(spark, folder):
-    rows = load(spark, folder, "memories").select("memory_id", "project_id", "content").filter("project_id is not null").distinct()
-    return search.search_projects(rows, "memory_id", "content", SEARCHED, "project_id", 3, 10).select("memory_id", "project_id", F.round("score", 6).alias("score"))
+    index = _index(spark, folder, "memories", "memory_id", "content", {"project_id": "string"})
+    best = search.search_projects(index, SEARCHED, 3, 10)
+    return best.select(F.col("id").alias("memory_id"), "project_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -490,7 +514,7 @@ def search_whitespace_bm25(spark, folder):
 
 @query(f"SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({q.search_tokens('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term, doc_id) GROUP BY term")
 def aggregate_term_statistics(spark, folder):
-    return search.term_statistics(load(spark, folder, "documents"), "doc_id", "text")
+    return _index(spark, folder, "documents", "doc_id", "text").terms()
 
 
 @query(f"WITH h AS (SELECT DISTINCT hook_id, scope, {q.relevance('retry index 消息')} AS relevance FROM hooks) SELECT * FROM h WHERE relevance > 0")

@@ -64,6 +64,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """Size and newest change of a file or of the files of a folder."""
+    fs, target = _path(spark, path)
+    status = fs.getFileStatus(target)
+    files = fs.listStatus(target) if status.isDirectory() else [status]
+    return f"{sum(f.getLen() for f in files)} {max((f.getModificationTime() for f in files), default=0)}"
+
+
 def move(spark: SparkSession, source: str | None, target: str) -> None:
     """Renames a folder; without a source makes an empty one."""
     fs, to = _path(spark, target)

@@ -1,12 +1,14 @@
 """Cases worked out by hand."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
-from mnemospark.operators import conflicts, increments, lifecycle, metrics, search, storage, turns
+from mnemospark.operators import conflicts, increments, keyword, lifecycle, metrics, search, sequences, storage, turns
 from mnemospark.sources.context import parse_context
 from mnemospark.streaming import deliveries
 from mnemospark.streaming.deliveries import keep_one_delivery, repeated_deliveries
@@ -98,10 +100,97 @@ def test_hybrid_degrades(spark):
     assert search.hybrid(none, none, "id", 5).count() == 0
 
 
-def test_bm25_blank_query(spark):
-    df = spark.createDataFrame([(1, "a retry"), (2, None)], "id int, text string")
-    assert search.bm25(df, "id", "text", " the ").count() == 0
-    assert [r["id"] for r in search.bm25(df, "id", "text", "retry").collect()] == [1]
+def test_keyword_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "the retry window"), (2, "window"), (3, None), (4, ""), (None, "retry")], "id int, text string")
+    index = keyword.KeywordIndex(spark, f"{tmp_path}/index", "int")
+    assert index.search("retry").count() == 0
+    index.index(df, "id", "text")
+    ids = lambda query: {r["id"] for r in index.search(query).collect()}
+    assert ids(" the ") == set() and ids("retry") == {1} and ids("window") == {1, 2}
+    assert index.totals().first()["n"] == 4
+    index.index(spark.createDataFrame([(2, "retry retry"), (5, "缓存 retry")], "id int, text string"), "id", "text")
+    assert ids("retry") == {1, 2, 5} and ids("window") == {1} and ids("缓") == {5} and index.totals().first()["n"] == 5
+    index.unindex(spark.createDataFrame([(1,), (77,), (None,)], "id int"))
+    before = {r["id"]: r["score"] for r in index.search("retry window retry").collect()}
+    assert set(before) == {2, 5} and index.totals().first()["n"] == 4
+    assert {r["id"]: r["score"] for r in index.compact().search("retry window retry").collect()} == before
+    fresh = keyword.KeywordIndex(spark, f"{tmp_path}/fresh", "int").index(spark.createDataFrame([(2, "retry retry"), (3, None), (4, ""), (5, "缓存 retry")], "id int, text string"), "id", "text")
+    assert {r["id"]: round(r["score"], 9) for r in fresh.search("retry window retry").collect()} == {k: round(v, 9) for k, v in before.items()}
+    assert {r["term"]: (r["documents"], r["occurrences"]) for r in index.terms().collect()} == {"retry": (2, 3), "缓": (1, 1), "存": (1, 1)}
+
+
+def test_a_search_reads_no_text(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "the retry window")], "id int, text string")
+    texts.write.parquet(f"{tmp_path}/texts")
+    index = keyword.KeywordIndex(spark, f"{tmp_path}/index", "int").index(spark.read.parquet(f"{tmp_path}/texts"), "id", "text")
+    plan = index.search("retry")._jdf.queryExecution().toString()
+    assert f"{tmp_path}/texts" not in plan and "PartitionFilters: [" in plan and "bucket" in plan
+
+
+def test_okapi_weights(spark):
+    docs = ["a a b", "b c", "c", "c d", "c"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    cut = [d.split(" ") for d in docs]
+    n, mean = len(cut), sum(map(len, cut)) / len(cut)
+    weight = {t: math.log(n - sum(t in d for d in cut) + 0.5) - math.log(sum(t in d for d in cut) + 0.5) for t in "abcd"}
+    floor = 0.25 * sum(weight.values()) / 4
+    want = [sum((floor if weight[t] < 0 else weight[t]) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in "ac") for d in cut]
+    got = {r["id"]: r["score"] for r in search.okapi(df, "id", "text", "a c x").collect()}
+    assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want)) and weight["c"] < 0
+
+
+def test_families(spark):
+    sessions = spark.createDataFrame([("one-x",), ("one",), ("onex-y",), ("two-a",), ("z",)], "session_id string")
+    families = spark.createDataFrame([("A", "one"), ("B", "two")], "family string, prefix string")
+    assert {r["family"]: r["sessions"] for r in increments.by_family(sessions, families).collect()} == {"A": 2, "B": 1, "custom": 2}
+
+
+def brute_batches(tokens, threshold):
+    out, total = [0], 0
+    for t in tokens:
+        out[-1] += t
+        total += t
+        if total >= threshold:
+            out, total = [*out, 0], 0
+    return out if out[-1] or not tokens or total else out[:-1]
+
+
+def test_one_session_over_many_stretches(spark):
+    rng = random.Random(5)
+    tokens = [rng.choice([0, 1, 5, 30, 120]) for _ in range(900)]
+    rows = [(i, "hot", t, at(i)) for i, t in enumerate(tokens)] + [(2000 + i, None, 7, at(0)) for i in range(9)]
+    df = spark.createDataFrame(rows, "turn_id long, session_id string, tokens long, created_at timestamp").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = sequences.stretches(df, "session_id", ["created_at", "turn_id"])
+        assert cut.filter("session_id = 'hot'").select("__part").distinct().count() > 1
+        got = turns.batch_turns(df, 100).collect()
+        want = brute_batches(tokens, 100)
+        assert [r["batch_tokens"] for r in sorted((r for r in got if r["session_id"]), key=lambda r: r["batch"])] == want[: len([r for r in got if r["session_id"]])]
+        assert sum(want) == sum(tokens) and [(r["batch"], r["turns"]) for r in got if not r["session_id"]] == [(0, 9)]
+        sums = sequences.running_sum(cut, "session_id", ["created_at", "turn_id"], F.col("tokens"), "s").filter("session_id = 'hot'").orderBy("turn_id").collect()
+        assert [r["s"] for r in sums] == [sum(tokens[: i + 1]) for i in range(900)]
+        for after in (True, False):
+            near = sequences.neighbour(cut, "session_id", ["created_at", "turn_id"], ["turn_id"], after).filter("session_id = 'hot'").orderBy("turn_id").collect()
+            step = 1 if after else -1
+            assert [r["__next"] and r["__next"]["turn_id"] for r in near] == [i + step if 0 <= i + step < 900 else None for i in range(900)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_turns_and_pairs(spark):
+    rows = [
+        ("a0", "s", 0, "assistant", "lead", 3, None, 0.5), ("u1", "s", 1, "user", "q", 9, None, None), ("x", "s", 2, "system", "no", 9, None, None), ("a1", "s", 3, "assistant", "one", 4, "stop", 1.0),
+        ("a2", "s", 4, "assistant", "", None, None, None), ("a3", "s", 5, "assistant", "two", 5, "length", None), ("o", "s", 6, "other", "as user", 1, None, None), ("u2", "s", 7, "user", "again", 1, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id string, session_id string, seq long, role string, text string, tokens long, finish string, cost double")
+    got = [tuple(r)[1:] for r in turns.pair_turns(df).orderBy("turn").collect()]
+    assert got == [(0, None, "lead", 3, None, 0.5, 1), (1, "q", "one\n\ntwo", 9, "length", 1.0, 4), (2, "as user", "", None, None, None, 1), (3, "again", "", None, None, None, 1)]
+    assert [tuple(r)[2:] for r in turns.strict_pairs(df).collect()] == [("q", "one")]
+    assert sorted(tuple(r)[1:] for r in turns.lenient_pairs(df).collect()) == [(0, "", "lead"), (1, "q", "one"), (5, "", "two"), (7, "again", "")]
+    lines = spark.createDataFrame([("s", 1, "1", "Ann", "hi"), ("s", 2, "2", "Ann", "you?"), ("s", 3, "3", "Bob", "fine"), ("s", 4, "4", "Ann", "bye")], "session_id string, seq long, id string, speaker string, text string")
+    assert sorted(tuple(r)[1:] for r in turns.speaker_pairs(lines, "Ann").collect()) == [(1, "hi", ""), (2, "you?", "fine"), (4, "bye", "")]
 
 
 def test_prefix_lookup(spark):
@@ -127,19 +216,49 @@ def test_conflicts(spark):
     assert (top["conflicts"], top["critical"], top["has_critical"]) == (3, 1, True)
 
 
+REPORT = "memory_id string, seq int, conflict string, new_fact string, existing_fact string, severity string, description string"
+
+
 def test_merged_reports(spark):
-    schema = "memory_id string, seq int, conflict string, new_fact string, severity string"
-    h = spark.createDataFrame([("m", 1, "self", "likes dark tea", "warning")], schema)
-    o = spark.createDataFrame([("m", 1, "self", "likes dark tea", "critical"), ("m", 1, "direct", "likes dark tea", "warning"), ("m", 2, "self", "something else", "info")], schema)
-    got = sorted((r["conflict"], r["new_fact"], r["severity"]) for r in conflicts.merge_reports(h, o).collect())
-    assert got == [("direct", "likes dark tea", "warning"), ("self", "likes dark tea", "critical"), ("self", "something else", "info")]
+    h = spark.createDataFrame([("m", 1, "self", "likes dark tea", "old", "warning", "short"), ("m", 2, "self", "likes dark tea", "old", "warning", "a long description")], REPORT)
+    o = spark.createDataFrame(
+        [("m", 1, "self", "likes dark tea", "older", "critical", "a longer one"), ("m", 4, "self", "Likes dark tea", None, "info", "x"), ("m", 1, "direct", "likes dark tea", None, "warning", "d"), ("m", 2, "self", "something else", None, "info", "e")],
+        REPORT,
+    )
+    got = sorted(tuple(r[c] for c in ("conflict", "seq", "new_fact", "existing_fact", "severity", "description")) for r in conflicts.merge_reports(h, o).collect())
+    assert got == [
+        ("direct", 1, "likes dark tea", None, "warning", "d"), ("self", 1, "likes dark tea", "older", "critical", "a longer one"),
+        ("self", 2, "likes dark tea", "old", "warning", "a long description"), ("self", 2, "something else", None, "info", "e"),
+    ]
+    assert conflicts.merge_reports(h.limit(0), o.limit(0)).count() == 0
+
+
+def test_embedding_similarity(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "z"), ("a", "c"), ("a", "a b")], "x string, y string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0]), ("c", [1.0])], "fact string, vector array<float>")
+    got = {r["y"]: round(r["similarity"], 4) for r in conflicts.embedding_similarity(pairs, vectors, "x", "y").collect()}
+    assert got == {"b": 0.7071, "z": 0.0, "c": 0.0, "a b": 0.5}
 
 
 def test_retrieval_metrics(spark):
-    df = spark.createDataFrame([(["a", "b", "c"], ["b", "c"]), (["a"], ["z"]), (["a"], [])], "ranked array<string>, answers array<string>")
-    rows = metrics.retrieval_metrics(df, "ranked", "answers", 2).collect()
-    assert [(r["recall_any"], r["recall_all"]) for r in rows] == [(1.0, 0.0), (0.0, 0.0), (0.0, 1.0)]
-    assert round(rows[0]["ndcg"], 6) == 0.5
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "a", 1), (3, "a", 1)], "question int, item string, rank int")
+    answers = spark.createDataFrame([(1, "b"), (1, "c"), (1, "c"), (2, "z")], "question int, item string")
+    rows = {(r["question"], r["k"]): r for r in metrics.retrieval_metrics(ranked, answers, "question", "item", [2, 3]).collect()}
+    assert [(rows[i, 2]["recall_any"], rows[i, 2]["recall_all"]) for i in (1, 2, 3)] == [(1.0, 0.0), (0.0, 0.0), (0.0, 1.0)]
+    assert round(rows[1, 2]["ndcg"], 6) == 0.5 and rows[1, 3]["recall_all"] == 1.0 and rows[3, 3]["ndcg"] == 0.0
+
+
+def test_first_sessions(spark):
+    ranked = spark.createDataFrame([(1, "s", 1), (1, "s", 2), (1, "t", 3), (1, "u", 9), (1, "s", 4)], "question int, session string, rank int")
+    assert [(r["session"], r["rank"]) for r in metrics.first_sessions(ranked, "question", "session", 2).orderBy("rank").collect()] == [("s", 1), ("t", 2)]
+
+
+def test_stratified_sample_has_n_rows(spark):
+    df = spark.createDataFrame([(i, "a" if i < 95 else f"s{i}") for i in range(100)], "id int, kind string")
+    kinds = [r["kind"] for r in metrics.stratified_sample(df, "kind", "id", 30).collect()]
+    assert len(kinds) == 30 and len(set(kinds)) == 6  # filled up
+    assert metrics.stratified_sample(df, "kind", "id", 3).count() == 3 and metrics.stratified_sample(df, "kind", "id", 500).count() == 100
+    assert metrics.stratified_sample(df.limit(0), "kind", "id", 5).count() == 0
 
 
 def test_category_scores(spark):
@@ -166,7 +285,9 @@ def test_texts_of_evaluation(spark):
     assert value(spark, tx.dialogue_time(F.lit("1:56 pm on 8 May, 2023"))) == dt.datetime(2023, 5, 8, 13, 56)
     assert value(spark, tx.dialogue_time(F.lit("soon"))) is None
     assert value(spark, tx.fenced_json(F.lit('x ```json\n{"a":1}\n``` y'))) == '{"a":1}'
-    assert value(spark, tx.parse_score(F.lit("score: 140"))) == 100.0
+    score = lambda x: value(spark, tx.parse_score(F.lit(x)))
+    assert score("score: 140") == 100.0 and score("Score 3: 85") == 85.0 and score(" 42.5\n") == 42.5 and score("分数：85\nscore: 7") == 85.0
+    assert score("about 70% sure\nso 12") == 12.0 and score("70%") == 70.0 and score("-5") == 0.0 and score("none") is None and score("1-2%") is None
     assert value(spark, tx.normalise_answer(F.lit("The  Cat, and a Dog!"))) == "cat dog"
 
 
