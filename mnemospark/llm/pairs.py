@@ -6,7 +6,7 @@ import re
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -53,6 +53,7 @@ _NUMBER = re.compile(
 _ITEM = re.compile(r"^\s*(?:[-*•–+]\s+(?:\d{1,2}[.:)]\s*)?|\(?\d{1,2}[.:)]\s*|（?[一二三四五六七八九十]）?[、.)）]\s*)")
 _BULLET = re.compile(r"^\s*[-*•–+]\s+(?!\d{1,2}[.:)])")
 _MARK = re.compile(r"(?:^|\s)(?:[-*•–+]\s+)?[(（]?(\d{1,2})[.:)）](?=\s)")
+_BLOCK = re.compile(r"```.*?```", re.S)
 _BARE_ITEM = re.compile(r"^\s*(?:[-*•–+](?:\s+\d{1,2}[.:)]?)?|\(?\d{1,2}[.:)]?|\()\s*$")
 _ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’)）」』*_~`>"
@@ -62,7 +63,12 @@ _OPEN_WORDS = set(
     "el los las una y o con sin por para que".split()
 )
 
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S*[/_]\S*|\S+::\S+", re.S)
+_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
+# Scripts that name a language, or a family of languages.
+_SCRIPTS = [
+    ("ja", re.compile(r"[\u3040-\u30ff]")), ("ko", re.compile(r"[\u1100-\u11ff\uac00-\ud7af]")), ("cyrillic", re.compile(r"[\u0400-\u052f]")), ("greek", re.compile(r"[\u0370-\u03ff]")),
+    ("arabic", re.compile(r"[\u0600-\u06ff]")), ("hebrew", re.compile(r"[\u0590-\u05ff]")), ("devanagari", re.compile(r"[\u0900-\u097f]")), ("thai", re.compile(r"[\u0e00-\u0e7f]")),
+]
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -87,13 +93,17 @@ _ASKED = [
 ]
 
 
+_ALNUM = re.compile(r"[^\W_]")
+_NOT_ALNUM = re.compile(r"[\W_]+")
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+    return _NOT_ALNUM.sub("", text.lower())
 
 
 def is_empty(answer: str) -> bool:
     """No letter or digit, or only a stand-in for no value."""
-    if not any(c.isalnum() for c in answer):
+    if not _ALNUM.search(answer):
         return True
     return answer.strip().strip("<>()[]{}\"'`.*_- ").lower() in _STAND_INS
 
@@ -121,7 +131,7 @@ def is_copy(prompt: str, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Every sentence refuses or stands around a refusal, and one refuses."""
-    if "```" in answer or len(answer) > 600:
+    if "```" in answer:
         return False
     refuses = False
     for sentence in _SENTENCE.split(answer.strip().replace("’", "'")):
@@ -135,30 +145,25 @@ def is_refusal(answer: str) -> bool:
     return refuses
 
 
-_ENDINGS = {"s", "es", "d", "ed", "r", "er", "ers", "or", "ors", "n", "en", "e", "ing", "ion", "ions", "ly", "y", "al", "ment", "ments", "able", "ness"}
-
-
-def cut_item(text: str, cut: bool) -> bool:
-    """The last list item, which ends in a letter or digit, is cut by what the answer itself shows.
+def cut_item(text: str, cut: bool, cut_word: bool) -> bool:
+    """The last list item, which ends in a letter or digit, is cut.
 
-    It breaks off at a word that calls for another, inside a word that the
-    answer spells out elsewhere, or without the final mark of all other items;
-    if the stop reason names a limit, also with fewer words than any other item.
+    It breaks off inside a word, as the neighbours of its last word among the
+    words of all answers show, at a word that calls for another, or without the
+    final mark of all other items; if the stop reason names a limit, also with
+    fewer words than any other item.
     """
     *before, last = [x for x in text.split("\n") if x.strip()]
     words = last.split()
     word = words[-1].lower()
-    if word in _OPEN_WORDS or len(words) <= 2 and cut:
+    if cut_word or word in _OPEN_WORDS or len(words) <= 2 and cut:
         return True
     if not word.isalpha():
         return False
     others = [x.split() for x in before if _BULLET.match(x)]
     if len(others) > 1 and all(x[-1].rstrip(_CLOSERS)[-1:] in tuple(_ENDS) for x in others):
         return True
-    if cut and len(others) > 1 and len(words) < min(map(len, others)):
-        return True
-    said = {w for x in (*before, " ".join(words[:-1])) for w in _WORD.findall(x.lower())}
-    return len(word) > 3 and word not in said and any(w.startswith(word) and w[len(word) :] not in _ENDINGS for w in said)
+    return cut and len(others) > 1 and len(words) < min(map(len, others))
 
 
 def at_limit_by(stop_reason: str | None) -> bool:
@@ -166,7 +171,7 @@ def at_limit_by(stop_reason: str | None) -> bool:
     return (stop_reason or "").strip().lower() in ("length", "max_tokens")
 
 
-def ends_open(answer: str, stop_reason: str | None) -> bool:
+def ends_open(answer: str, stop_reason: str | None, cut_word: bool = False) -> bool:
     """The answer stops before it is complete."""
     text = answer.rstrip()
     if text.count("```") % 2:
@@ -200,29 +205,31 @@ def ends_open(answer: str, stop_reason: str | None) -> bool:
         return False
     words = end.split()
     if _BULLET.match(last):
-        return cut_item(text, cut)
+        return cut_item(text, cut, cut_word)
     if _ITEM.match(last):
         return True
     if _HAN.search(last):
         return True
     # a short line of its own is a closing phrase or a plain value
     if len(words) <= 4 and len(end) < 28 and words[-1].lower() not in _OPEN_WORDS:
-        return cut and len(words) > 1
+        return cut_word or cut and len(words) > 1
     return True
 
 
 def _announced_more(text: str) -> bool:
     """A list is announced with more items than follow."""
-    lines = [x for x in re.sub(r"```.*?```", "", text, flags=re.S).split("\n")]
+    lines = [x for x in _BLOCK.sub("", text).split("\n")]
+    if not any(_ITEM.match(x) for x in lines):
+        return False
     for i, line in enumerate(lines):
-        if i + 1 >= len(lines) or _ITEM.match(line) or len(line) > 400:
+        if i + 1 >= len(lines) or _ITEM.match(line):
             continue
         following = [x for x in lines[i + 1 :] if x.strip()]
         if not following or not _ITEM.match(following[0]):
             continue
         said = _SENTENCE.split(line.strip())
         found = list(_NUMBER.finditer(said[-1] or (said[-2] if len(said) > 1 else "")))
-        if not found or len(said[-1]) > 60:
+        if not found:
             continue
         word = (found[-1].group(1) or found[-1].group(2)).lower()
         n = _NUMBER_WORDS.get(word) or (int(word) if word.isdigit() else 0)
@@ -232,33 +239,56 @@ def _announced_more(text: str) -> bool:
             items = 0
             for m in marks:
                 items += m == items + 1
-        if 2 <= n <= 12 and items < n:
+        # figures beyond a dozen are measures, unless they stand before a numbered list or a colon
+        if n >= 2 and items < n and (n <= 12 or marks or line.rstrip()[-1:] in ":："):
             return True
     return False
 
 
+def _prose(text: str) -> str:
+    """The text without code, addresses, paths and names of code."""
+    if "`" in text:
+        text = _CODE.sub(" ", text)
+    if "/" in text or "_" in text or "::" in text:
+        text = "\n".join(" ".join(w for w in line.split(" ") if "/" not in w and "_" not in w and "::" not in w) for line in text.split("\n"))
+    return text
+
+
+def _votes(words: list[str]) -> dict[str, float]:
+    votes: dict[str, float] = {}
+    for w in words:
+        for part in {w, *w.split("'")}:
+            owners = _OWNERS.get(part, ())
+            for o in owners:
+                votes[o] = votes.get(o, 0) + 1 / len(owners)
+    return votes
+
+
 def language_of(text: str) -> dict[str, float]:
-    """Letters of the text by language, sentence by sentence, code and names aside."""
+    """Letters of the text by language, sentence by sentence, code and names aside.
+
+    A script of its own names the language (kana, hangul, Cyrillic and others);
+    Latin letters count for the language whose function words the sentence holds.
+    """
     weights: dict[str, float] = {}
-    for sentence in _SENTENCE.split(_CODE.sub(" ", text)):
-        han = len(_HAN.findall(sentence))
+    text = _prose(text)
+    plain = text.isascii()
+    for sentence in _SENTENCE.split(text):
         letters = len(_LETTER.findall(sentence))
         if not letters:
             continue
-        if han * 4 >= letters:
-            weights["zh"] = weights.get("zh", 0) + han * 2.5 + (letters - han)
-            continue
-        votes: dict[str, float] = {}
-        for w in _WORD.findall(sentence.lower()):
-            for part in {w, *w.split("'")}:
-                owners = _OWNERS.get(part, ())
-                for o in owners:
-                    votes[o] = votes.get(o, 0) + 1 / len(owners)
-        if votes:
-            best = max(votes, key=lambda o: votes[o])
-            weights[best] = weights.get(best, 0) + letters
-        else:
-            weights["?"] = weights.get("?", 0) + letters
+        if not plain:
+            han = len(_HAN.findall(sentence))
+            script, n = max(((name, len(p.findall(sentence))) for name, p in _SCRIPTS), key=lambda x: x[1])
+            if n * 4 >= letters or n and n * 10 >= han > 0:
+                weights[script] = weights.get(script, 0) + (n + han) * 2.5
+                continue
+            if han * 4 >= letters:
+                weights["zh"] = weights.get("zh", 0) + han * 2.5 + (letters - han)
+                continue
+        votes = _votes(_WORD.findall(sentence.lower()))
+        best = max(votes, key=lambda o: votes[o]) if votes else "?"
+        weights[best] = weights.get(best, 0) + letters
     return weights
 
 
@@ -273,8 +303,14 @@ def _main_language(text: str) -> str | None:
 
 def is_other_language(prompt: str, answer: str) -> bool:
     """Mostly in another language than the prompt, which did not ask for it."""
+    if answer.isascii() and prompt.isascii():
+        # both wholly in one language by all their function words: nothing to weigh
+        both = [_votes(_WORD.findall(_prose(x).lower())) for x in (prompt, answer)]
+        tops = [max(v, key=lambda o: v[o]) if v else None for v in both]
+        if tops[0] and tops[0] == tops[1] and all(v[t] * 10 >= 9 * sum(v.values()) for v, t in zip(both, tops)):
+            return False
     said = _main_language(answer)
-    if said is None or len(_LETTER.findall(_CODE.sub(" ", answer))) < (4 if said == "zh" else 15):
+    if said is None or len(_LETTER.findall(_prose(answer))) < (4 if said == "zh" else 15):
         return False
     asked = _main_language(prompt)
     if asked is None or asked == said:
@@ -282,19 +318,25 @@ def is_other_language(prompt: str, answer: str) -> bool:
     return not any(name == said and pattern.search(prompt) for name, pattern in _ASKED)
 
 
-def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str | None, shortened: bool, at_limit: bool) -> str | None:
-    """The one defect of a pair, or None."""
+def defect(prompt: str, answer: str | None, tool_calls: int, stop_reason: str | None, shortened: bool, at_limit: bool, cut_word: bool = False) -> str | None:
+    """The one defect of a pair, or None.
+
+    shortened: another answer continues this one; at_limit: it has a length at
+    which answers break off; cut_word: its last word is the beginning of others
+    and hardly ever stands inside a line.
+    """
     if answer is None or is_empty(answer):
         return None if tool_calls else "empty"
     if is_copy(prompt, answer):
         return "copy"
     if is_refusal(answer):
         return "refusal"
-    if ends_open(answer, stop_reason):
+    if ends_open(answer, stop_reason, cut_word):
         return "truncated"
-    if shortened and len(answer) > 40 and at_limit_by(stop_reason):
+    words = answer.split()
+    if shortened and len(words) > 4 and at_limit_by(stop_reason):
         return "truncated"
-    if (shortened or at_limit) and answer.rstrip()[-1:].isalnum() and not _BULLET.match(answer.rstrip().split("\n")[-1]) and len(answer) > 40:
+    if (shortened or at_limit) and answer.rstrip()[-1:].isalnum() and not _BULLET.match(answer.rstrip().split("\n")[-1]) and len(words) > 4:
         return "truncated"
     return "language" if is_other_language(prompt, answer) else None
 
@@ -335,12 +377,68 @@ def shortened_texts(texts: DataFrame) -> DataFrame:
     return found.filter("place = 'inner'").select("text").unionByName(border).select(F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"))
 
 
+_LINE_WORDS = r"[\p{L}]+(?:['’-][\p{L}]+)*"
+#: A word is cut if another one that continues it stands inside lines so many times as often.
+CUT_RATIO = 100
+
+
+def last_words(text) -> Column:
+    """The last word of the last line, in lower case, of texts that end in a letter; else null."""
+    return F.lower(F.nullif(F.regexp_extract(text, rf"({_LINE_WORDS})\s*$", 1), F.lit("")))
+
+
+def cut_words(texts: DataFrame) -> DataFrame:
+    """(word) of each closing word, of a column `text`, that is cut.
+
+    The words of all texts are sorted, with the number of times each stands
+    inside a line, and a closing word is compared with the neighbours that
+    follow it: those that continue it stand next to it. It is cut if one of them
+    is CUT_RATIO times as frequent inside lines as itself; the frequencies are
+    relative, so one word has one verdict in tables of any size that hold it.
+    Words with the same first two letters share a task, where a stack of the
+    words that may still be continued is all that is kept. Single letters are
+    not judged.
+    """
+    line = F.explode(F.split(F.lower("text"), "\n"))
+    words = F.regexp_extract_all("line", F.lit(f"({_LINE_WORDS})"), F.lit(1))
+    inner = texts.select(line.alias("line")).select(F.explode(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).alias("word"))
+    closing = texts.select(last_words(F.col("text")).alias("word")).filter("word is not null")
+    counted = inner.groupBy("word").agg(F.count("*").alias("n")).withColumn("closes", F.lit(0)).unionByName(closing.distinct().select("word", F.lit(0).cast("long").alias("n"), F.lit(1).alias("closes")))
+    merged = counted.groupBy("word").agg(F.sum("n").alias("n"), F.max("closes").alias("closes")).filter("length(word) > 1")
+    ordered = merged.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word")
+
+    def neighbours(batches):
+        open_: list[list] = []  # words that begin the current one: word, n, closes, most frequent continuation
+
+        def close(word: str, out: list[str]):
+            while open_ and not word.startswith(open_[-1][0]):
+                w, n, closes, best = open_.pop()
+                if closes and best > n * CUT_RATIO:
+                    out.append(w)
+
+        for batch in batches:
+            out: list[str] = []
+            for word, n, closes in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                close(word, out)
+                for entry in open_:
+                    entry[3] = max(entry[3], n)
+                open_.append([word, n, closes, 0])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
+        out = []
+        close("\uffff", out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
+
+    return ordered.select("word", "n", "closes").mapInArrow(neighbours, "word string")
+
+
 def limit_lengths(answers: DataFrame) -> DataFrame:
     """(size): lengths, of a column `text`, that far more answers without a final mark have than the lengths around."""
     open_ = answers.filter(~F.col("text").rlike(r"[.!?。！？…`\"'”’)）」』]\s*$")).groupBy(F.length("text").alias("size")).count()
     w = Window.orderBy("size").rangeBetween(-10, 10)  # as many rows as there are lengths
     around = open_.withColumn("around", (F.sum("count").over(w) - F.col("count")) / 20)
-    return around.filter("count >= 20 and count >= 8 * (around + 1) and size >= 40").select("size")
+    return around.filter("count >= 8 * (around + 1)").select("size")
 
 
 def latest_turns(turns: DataFrame) -> DataFrame:
@@ -368,22 +466,26 @@ def defective_pairs(turns: DataFrame) -> DataFrame:
     texts = pairs.select(F.rtrim("answer").alias("text"))
     shortened = shortened_texts(texts).withColumn("shortened", F.lit(True))
     limits = limit_lengths(texts).withColumn("at_limit", F.lit(True))
+    cut = cut_words(texts.filter("text is not null")).select(F.col("word").alias("last_word"), F.lit(True).alias("cut_word"))
     rows = (
         pairs.withColumn("text_hash", F.xxhash64(F.rtrim("answer")))
         .withColumn("size", F.length(F.rtrim("answer")))
         .join(shortened, ["text_hash", "size"], "left")
         .join(limits, "size", "left")
+        .withColumn("last_word", last_words(F.rtrim("answer")))
+        .join(cut, "last_word", "left")
         .select(
             "turn_id", "prompt", "answer", "tool_calls", "stop_reason",
             F.coalesce("shortened", F.lit(False)).alias("shortened"),
             F.coalesce("at_limit", F.lit(False)).alias("at_limit"),
+            F.coalesce("cut_word", F.lit(False)).alias("cut_word"),
         )
     )
 
     def judge(batches):
         for batch in batches:
             ids, found = [], []
-            for i, pair in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 7)))):
+            for i, pair in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 8)))):
                 if verdict := defect(*pair):
                     ids.append(i)
                     found.append(verdict)

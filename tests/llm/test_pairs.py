@@ -40,6 +40,7 @@ def test_defective_pairs(spark):
 def test_limit_lengths(spark):
     rows = [("x" * 100,)] * 40 + [("y" * n,) for n in range(80, 120)] + [("z" * 99 + ".",)] * 40
     assert [r["size"] for r in P.limit_lengths(spark.createDataFrame(rows, "text string")).collect()] == [100]
+    assert P.limit_lengths(spark.createDataFrame([("y" * n,) for n in range(200)] * 5, "text string")).count() == 0
 
 
 ITEMS = "The lockfile was stale.\n\n- drop the old index\n- stop the idle worker\n- start"
@@ -47,13 +48,35 @@ ITEMS = "The lockfile was stale.\n\n- drop the old index\n- stop the idle worker
 
 @pytest.mark.parametrize("answer, stop, expected", [
     (f"{ITEMS} the cold cache", "stop", None), (f"{ITEMS} the cold cache", "length", None), (f"{ITEMS} lib/a/b.py", "length", None),
-    (f"{ITEMS} the cold", "length", "truncated"), (f"{ITEMS} the", "stop", "truncated"), (f"{ITEMS} the new lockf", "stop", "truncated"), (f"{ITEMS} the new lockfiles", "stop", None),
+    (f"{ITEMS} the cold", "length", "truncated"), (f"{ITEMS} the", "stop", "truncated"), (f"{ITEMS} the new lockf", "stop", None), (f"{ITEMS} the new lockfiles", "stop", None),
     ("Do this:\n\n- Drop the old index.\n- Stop it.\n- Start the new cach", "stop", "truncated"),
 ])
 def test_last_item(answer, stop, expected):
     assert P.defect(Q, answer, 0, stop, False, False) == expected
 
 
+def test_words_cut_by_their_neighbours(spark):
+    lines = ["start the cold cache now"] * 120 + ["a cab or a cabin in it"] * 3 + ["start the cold cac"] + ["the cab", "it is in", "x"]
+    words = {r["word"] for r in P.cut_words(spark.createDataFrame([(x,) for x in lines], "text string")).collect()}
+    assert words == {"cac"}
+    assert P.cut_words(spark.createDataFrame([], "text string")).count() == 0
+    t = dt.datetime(2025, 1, 1)
+    turns = [(n, (Q,), (x, None), "stop", t) for n, x in enumerate([f"{ITEMS} the old lockf", f"{ITEMS} the old lockfile", *[f"Drop the lockfile of run {k} first." for k in range(9)]])]
+    df = spark.createDataFrame(turns, "turn_id long, user_message struct<text:string>, llm_message struct<text:string,tool_calls:array<string>>, stop_reason string, received_at timestamp")
+    assert {r[0]: r[1] for r in P.defective_pairs(df).collect()} == {0: "truncated"}  # by its neighbours alone: see test_last_item
+
+
+@pytest.mark.parametrize("answer", ["キャッシュが索引を落としました。ひらがなとカタカナです。", "Кэш удалил индекс ночью и восстановил запись.", "캐시가 색인을 삭제했습니다. 다시 만들었습니다."])
+def test_scripts_of_their_own(answer):
+    assert P.defect(Q, answer, 0, None, False, False) == "language" and P.defect(answer, answer + " " + answer[::-1], 0, None, False, False) != "language"
+    assert P.defect("缓存层为什么清理了空白回复？", answer, 0, None, False, False) == "language"
+
+
+def test_no_length_switches():
+    assert P.defect(Q, "I'm sorry, but I can't help with the cache. " + "I hope you understand. " * 40, 0, None, False, False) == "refusal"
+    assert P.defect(Q, "There are fifteen points here, and " + "so on and on " * 40 + "in 15 steps.\n1. Stop it.\n2. Start it.", 0, None, False, False) == "truncated"
+
+
 def test_one_verdict_in_tables_of_any_size(spark):
     t = dt.datetime(2025, 1, 1)
     turn = (0, (Q,), (f"{ITEMS} the cold cache", None), "stop", t)
