@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import CHITCHAT, CJK_NARROW, CJK_SEARCH, CJK_WIDE, OPPOSITES, QUESTION_MARKS, STOP_WORDS, SUBAGENT_MARKS
+from ..vocab import CHITCHAT, CJK_NARROW, CJK_SEARCH, CJK_WIDE, OPPOSITES, QUESTION_MARKS, STOP_WORDS, SUBAGENT_MARKS, TOKENIZER_FACTORS
 
 _C = Column | str
 
@@ -58,7 +58,7 @@ def text_language(text: _C) -> Column:
 def search_tokens(text: _C, stop_words: bool = True) -> Column:
     """Runs of ASCII letters and digits in lower case, and single CJK characters, without stop words."""
     tokens = F.regexp_extract_all(F.lower(_col(text)), F.lit(f"[a-z0-9]+|[{CJK_SEARCH}]"), F.lit(0))
-    return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)) if stop_words else tokens
+    return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS)) if stop_words else tokens
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -181,7 +181,7 @@ def parse_score(text: _C) -> Column:
     lines = F.transform(F.split(text, "\r?\n"), bare)
     tails = F.filter(F.transform(lines, lambda x: F.coalesce(*(after(x, m) for m in ("：", ":", " ")))), lambda x: x.isNotNull())
     score = F.coalesce(number(text), F.get(tails, F.lit(0)), number(F.regexp_extract(text, r"([0-9.\-]+)", 1)))
-    return F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
+    return F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
 
 
 def fenced_json(text: _C) -> Column:
@@ -209,14 +209,16 @@ def month_key(at: _C) -> Column:
     return F.date_format(_col(at), "yyyy-MM")
 
 
-def relevance(query: str, title: Column, tags: Column, facts: Column | None = None) -> Column:
-    """Per distinct position of a query word: 3 for the title, 2 for any tag, 1 for any fact that contains it."""
+def relevance(query: str, title: Column, tags: Column, facts: Column | None = None, entities: Column | None = None, anchors: Column | None = None, abstract: Column | None = None) -> Column:
+    """Per word of the query: 3 for the title, 2 for any tag, entity and anchor each, 1 for any fact and for the abstract, where they contain it."""
     none = F.array().cast("array<string>")
 
     def points(word: str) -> Column:
         holds = lambda x: F.contains(F.lower(x), F.lit(word))
-        out = F.when(holds(F.coalesce(title, F.lit(""))), 3).otherwise(0) + F.when(F.exists(F.coalesce(tags, none), holds), 2).otherwise(0)
-        return out if facts is None else out + F.when(F.exists(F.coalesce(facts, none), holds), 1).otherwise(0)
+        texts = [(title, 3), (abstract, 1)]
+        lists = [(tags, 2), (entities, 2), (anchors, 2), (facts, 1)]
+        found = [F.when(holds(F.coalesce(x, F.lit(""))), n).otherwise(0) for x, n in texts if x is not None]
+        return sum((F.when(F.exists(F.coalesce(x, none), holds), n).otherwise(0) for x, n in lists if x is not None), sum(found, F.lit(0)))
 
     return sum((points(w) for w in query.lower().split()), F.lit(0)).cast("long")
 
@@ -231,3 +233,26 @@ def edit_section(document: _C, section: str, text: str | None, mode: str = "repl
     there = document.rlike(pattern)
     edited = F.regexp_replace(document, pattern, f"$1{new}$3" if mode == "replace" else f"$1$2\n{new}$3")
     return F.when(there, edited).otherwise(F.concat(document, F.lit(f"\n<!-- {section} -->\n{text or ''}\n<!-- /{section} -->\n")))
+
+
+def scaled_tokens(count: Column, tokenizer: str) -> Column:
+    """The count of an encoding, scaled to stand for another tokenizer and rounded half up."""
+    factor = TOKENIZER_FACTORS[tokenizer]
+    return count if factor == 1 else F.floor(count * F.lit(factor) + 0.5).cast("long")
+
+
+def search_query(*parts: Column) -> Column:
+    """What is filled of the parts (texts, or arrays of texts), joined by blanks."""
+    return F.concat_ws(" ", *(F.when(p != "", p) for p in parts))
+
+
+def answer_tokens(text: _C) -> Column:
+    """Runs of letters, digits and marks, and every other visible character, in lower case."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}\s]"), F.lit(0))
+
+
+def has_answer(text: _C, answers: Column) -> Column:
+    """The tokens of one of the answers stand next to each other in those of the text; an answer without tokens is in every text. Composed and decomposed letters differ."""
+    joined = lambda x: F.concat(F.lit(" "), F.array_join(answer_tokens(x), " "), F.lit(" "))
+    near = joined(_col(text))
+    return F.coalesce(F.exists(F.filter(answers, lambda a: a.isNotNull()), lambda a: F.contains(near, joined(a)) | (F.size(answer_tokens(a)) == 0)), F.lit(False))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relevance
 from ..functions.vectors import cosine, dot, literal
+from ..session import exists
 from .keyword import KeywordIndex
 
+
 def bm25(index: KeywordIndex, query: str) -> DataFrame:
     """(id, *by, score) of every document of the index with a score above 0."""
     return index.search(query)
@@ -84,3 +86,54 @@ def relevant_hooks(hooks: DataFrame, query: str) -> DataFrame:
     """Hooks with a relevance above 0, the best first, then the oldest; a blank query passes all."""
     scored = hooks.withColumn("relevance", relevance(query, F.col("summary_title"), F.col("tags")))
     return scored if not query.strip() else scored.filter("relevance > 0").orderBy(F.col("relevance").desc(), "archived_at", "hook_id")
+
+
+def expand_corpus(corpus: DataFrame, expansions: DataFrame, how: str, key: str = "session_id") -> DataFrame:
+    """Corpus rows (key, item, at) with expansions (key, expansion, at) of their session.
+
+    separate: as rows of their own; merge: each row once for each expansion,
+    that and a blank before it; replace: the expansion in the row's place.
+    Sessions without expansions stay as they are, but for separate.
+    """
+    told = expansions.filter("expansion is not null").select(key, "expansion", F.col("at").alias("__at"))
+    if how == "separate":
+        return corpus.select(key, "item", "at").unionByName(told.select(key, F.col("expansion").alias("item"), F.col("__at").alias("at")))
+    if how not in ("merge", "replace"):
+        raise ValueError("how must be separate, merge or replace")
+    rows = corpus.select(key, "item", "at").join(told.drop("__at"), key, "left")
+    new = F.col("expansion") if how == "replace" else F.concat("expansion", F.lit(" "), "item")
+    return rows.select(key, F.when(F.col("expansion").isNotNull(), new).otherwise(F.col("item")).alias("item"), "at")
+
+
+def split_expansions(expansions: DataFrame, by: str = ";") -> DataFrame:
+    """One row for each part of an expansion between semicolons, or for each sentence; outer blanks do not count."""
+    pattern = ";" if by == ";" else r"(?<=[.!?])\s+"
+    return expansions.withColumn("expansion", F.explode(F.transform(F.split("expansion", pattern), lambda x: F.trim(x))))
+
+
+class VectorTable:
+    """Vectors kept as a table, a row an id: changes replace the rows of their ids, searches scan it."""
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "string"):
+        self.spark, self.folder, self.schema = spark, folder, f"id {id_type}, vector array<float>, generation int"
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder) if exists(self.spark, self.folder) else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        """(id, vector): the last of each id; a null vector was a removal."""
+        last = self._rows().groupBy("id").agg(F.max_by(F.struct("vector"), "generation").alias("v"))
+        return last.select("id", "v.vector").filter("vector is not null")
+
+    def write(self, df: DataFrame, id_col: str, vector_col: str) -> VectorTable:
+        """Adds vectors, each in place of that of its id; ids must differ within `df`."""
+        last = self._rows().agg(F.max("generation")).first()[0]
+        number = 0 if last is None else last + 1
+        df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).write.mode("overwrite").parquet(f"{self.folder}/generation={number}")
+        return self
+
+    def remove(self, ids: DataFrame) -> VectorTable:
+        return self.write(ids.select("id").distinct().withColumn("vector", F.lit(None).cast("array<float>")), "id", "vector")
+
+    def search(self, query: list[float]) -> DataFrame:
+        return vector_scores(self.read(), "id", "vector", query)

@@ -12,11 +12,12 @@ from ..vocab import HIGH_VALUE_TAGS
 from . import sequences
 
 
-def message_tags(m: str) -> Column:
-    """Tags of one message struct, in the order of the rules that give them."""
+def message_tags(m: str, attachments: bool = False) -> Column:
+    """Tags of one message struct, in the order of the rules that give them; with `attachments` it has a list of them with a kind."""
     text, tools = F.coalesce(F.col(f"{m}.text"), F.lit("")), F.col(f"{m}.tool_calls")
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+    has_kind = lambda k: F.coalesce(F.exists(f"{m}.attachments", lambda a: F.lower(a["kind"]) == k.lower()), F.lit(False))
     fence = text.contains("```")
     code = fence | some(F.col(f"{m}.file_changes"))
     tags = F.array_compact(
@@ -24,6 +25,7 @@ def message_tags(m: str) -> Column:
             F.when(some(tools), "ToolCall"),
             F.when(some(tools), "AgentTool"),
             F.when(F.coalesce(F.exists(tools, lambda t: F.coalesce(is_subagent_tool(t["name"]), F.lit(False))), F.lit(False)), "SubAgent"),
+            *([F.when(has_kind(k), t) for k, t in (("Image", "Image"), ("Video", "Video"), ("Voice", "Voice"), ("File", "FileAttachment"))] if attachments else []),
             F.when(code, "CodeBlock"),
             F.when(filled(F.col(f"{m}.thinking")), "Thinking"),
             F.when(text.contains("http://") | text.contains("https://"), "Url"),
@@ -33,9 +35,9 @@ def message_tags(m: str) -> Column:
     return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("Text")))
 
 
-def turn_tags(user: str = "user_message", answer: str = "llm_message") -> Column:
+def turn_tags(user: str = "user_message", answer: str = "llm_message", attachments: bool = False) -> Column:
     """Both messages' tags, first seen first, without Text if there is another."""
-    both = F.array_distinct(F.concat(message_tags(user), message_tags(answer)))
+    both = F.array_distinct(F.concat(message_tags(user, attachments), message_tags(answer, attachments)))
     rest = F.array_remove(both, "Text")
     return F.when(F.size(rest) > 0, rest).otherwise(both)
 
@@ -226,3 +228,42 @@ def batch_turns(turns: DataFrame, threshold: int, factor: float = 1.5) -> DataFr
     numbered = entered.groupBy(*keys).applyInPandas(assign, "session_id string, batch long, tokens double")
     totals = numbered.groupBy("session_id", "batch").agg(F.sum("tokens").cast("long").alias("batch_tokens"), F.count("*").alias("turns"))
     return totals.withColumn("truncated", F.col("batch_tokens") >= F.lit(threshold * factor))
+
+
+def turns_text(turns: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, text): what is said in the turns, users and answers in order, blank texts left out, joined by blanks; no thinking, no tools.
+
+    A key's whole text becomes one value, as an index entry needs it: keys are those of memories, whose size the batch threshold bounds.
+    """
+    filled = lambda m: F.when(F.trim(f"{m}.text") != "", F.col(f"{m}.text"))
+    said = F.concat_ws(" ", filled("user_message"), filled("llm_message"))
+    rows = turns.select(*keys, F.struct(*order, said.alias("said")).alias("t")).filter("t.said <> ''")
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["said"]), " ").alias("text"))
+
+
+def tail_start(messages: DataFrame, turns: int) -> DataFrame:
+    """(session_id, id): the user message with which a session's last `turns` turns begin, its first message of a user if there are fewer; by time, ties by id."""
+    users = messages.filter(F.col("role") == "user")
+    w = Window.partitionBy("session_id").orderBy(F.col("time_created").desc(), F.col("id").desc())
+    last = users.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= turns)
+    return last.groupBy("session_id").agg(F.max_by("id", "n").alias("id"))
+
+
+def compaction_turns(events: DataFrame) -> DataFrame:
+    """(session_id, seq, user_text, llm_text): the made turn that stands for each compaction, after the session's turns: why it came, its summary and what was kept."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return events.select(
+        "session_id",
+        "seq",
+        F.concat(F.lit("System: compaction summary (reason="), part("reason"), F.lit(")")).alias("user_text"),
+        F.concat(part("summary"), F.lit("\n\n--- Recent Context ---\n"), part("recent")).alias("llm_text"),
+    )
+
+
+def compaction_messages(events: DataFrame) -> DataFrame:
+    """(id, session_id, role, time_created, data): for a chat database, a user's mark and the assistant's summary of each compaction."""
+    mark = F.to_json(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("compaction").alias("type"), F.col("reason").alias("text"))).alias("content")))
+    told = F.to_json(F.struct(F.lit("assistant").alias("role"), F.lit(True).alias("summary"), F.array(F.struct(F.lit("text").alias("type"), F.col("summary").alias("text"))).alias("content")))
+    both = F.array(F.struct(F.lit("user").alias("role"), mark.alias("data"), F.lit(0).alias("later")), F.struct(F.lit("assistant").alias("role"), told.alias("data"), F.lit(1).alias("later")))
+    rows = events.select("message_id", "session_id", "time_created", F.explode(both).alias("m"))
+    return rows.select(F.concat_ws(":", "message_id", "m.role").alias("id"), "session_id", "m.role", (F.col("time_created") + F.col("m.later")).alias("time_created"), "m.data")

@@ -13,7 +13,8 @@ from ..operators import conflicts, increments, keyword, lifecycle, metrics, sear
 from ..session import exists, load, move, new_folder, shared_folder, version
 from ..sources import context, documents
 from ..streaming import totals
-from ..streaming.deliveries import repeated_deliveries, same_id
+from ..streaming.deliveries import repeated_deliveries
+from ..vocab import SCENARIO_WORDS, TOKENIZER_FACTORS
 from . import sqltext as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,7 +167,7 @@ def _after(mark: str) -> str:
 @query(
     f"WITH d AS (SELECT doc_id, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS t FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, 'Score ' || doc_id % 7 || ': ' || doc_id % 150 || chr(10) || 'so 3' FROM documents) WHERE text IS NOT NULL), "
     f"l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda y: list_transform([trim(y, chr(9) || chr(13) || ' ')], lambda x: coalesce({_after('：')}, {_after(':')}, {_after(' ')}))[1]), lambda v: v IS NOT NULL) AS tails FROM d) "
-    f"SELECT doc_id, least(greatest(coalesce({_number('t')}, tails[1], {_number("regexp_extract(t, '([-0-9.]+)', 1)")}), 0), 100) AS score FROM l"
+    f"SELECT doc_id, CASE WHEN s IS NOT NULL THEN least(greatest(s, 0), 100) END AS score FROM (SELECT doc_id, coalesce({_number('t')}, tails[1], {_number("regexp_extract(t, '([-0-9.]+)', 1)")}) AS s FROM l)"
 )
 def scalar_parsed_scores(spark, folder):
     """Scores of the documents' texts, and of a made reply for each."""
@@ -385,9 +386,161 @@ def storage_batch_read(spark, folder):
     return storage.batch_summary(storage.batch_lookup(requested, load(spark, folder, "memories"), "memory_id", ["period"]))
 
 
-@query("SELECT hook_id, min(archived_at) AS archived_at, min(memory_id) AS memory_id FROM hooks WHERE (file_status IS NULL OR file_status <> 'deleted') AND starts_with(hook_id, 'a') GROUP BY hook_id ORDER BY min(archived_at), hook_id LIMIT 5")
+_PREFIX = "(SELECT substring(min(hook_id), 1, 4) FROM hooks WHERE hook_id IS NOT NULL)"
+
+
+def _prefix(spark, folder) -> str:
+    """The first four characters of the least hook id."""
+    return load(spark, folder, "hooks").agg(F.substring(F.min("hook_id"), 1, 4)).first()[0]
+
+
+@query(
+    f"WITH r AS (SELECT *, CASE scope WHEN 'session' THEN 1 WHEN 'project' THEN 2 END AS rank FROM hooks WHERE (file_status IS NULL OR file_status <> 'deleted') AND starts_with(hook_id, {_PREFIX})) "
+    "SELECT hook_id, archived_at, memory_id, scope FROM (SELECT *, row_number() OVER (PARTITION BY hook_id ORDER BY rank, archived_at, memory_id) AS k FROM r WHERE rank IS NOT NULL) WHERE k = 1"
+)
 def filter_prefix(spark, folder):
-    return storage.find_by_prefix(load(spark, folder, "hooks"), "a", least=1)
+    return storage.find_by_prefix(load(spark, folder, "hooks"), _prefix(spark, folder))
+
+
+@query(
+    f"WITH a AS (SELECT DISTINCT hook_id FROM hooks WHERE (file_status IS NULL OR file_status <> 'deleted') AND scope IN ('session', 'project') AND starts_with(hook_id, {_PREFIX})) "
+    "SELECT CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(hook_id) END AS hook_id, CASE WHEN count(*) > 1 THEN (SELECT list(hook_id ORDER BY hook_id) FROM (SELECT h.hook_id FROM hooks h JOIN a USING (hook_id) GROUP BY h.hook_id ORDER BY min(h.archived_at), h.hook_id LIMIT 5)) END AS candidates FROM a"
+)
+def filter_resolve_prefix(spark, folder):
+    return storage.resolve_prefix(load(spark, folder, "hooks"), _prefix(spark, folder))
+
+
+@query("SELECT memory_id, session_id, received_at, md5(content) AS digest FROM memories WHERE memory_id = (SELECT min(memory_id) FROM memories)")
+def storage_read_memory(spark, folder):
+    memories = load(spark, folder, "memories")
+    first = memories.agg(F.min("memory_id")).first()[0]
+    return storage.by_id(memories, "memory_id", first).select("memory_id", "session_id", "received_at", F.md5("content").alias("digest"))
+
+
+_HOOK_COLUMNS = ["hook_id", "memory_id", "session_id", "scope", "period", "summary_title", "archived_at"]
+
+
+def _hooks(spark, folder) -> DataFrame:
+    return load(spark, folder, "hooks").filter("hook_id is not null and scope is not null and period is not null").select(*_HOOK_COLUMNS).distinct()
+
+
+_HOOKS = f"h AS (SELECT DISTINCT {', '.join(_HOOK_COLUMNS)} FROM hooks WHERE hook_id IS NOT NULL AND scope IS NOT NULL AND period IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_HOOKS}, late AS (SELECT *, summary_title || ' again' AS t FROM h WHERE archived_at >= TIMESTAMPTZ '2025-08-01 00:00:00+00'), gone AS (SELECT DISTINCT scope, session_id, period FROM h WHERE period = 'monthly' AND scope = 'project')
+SELECT hook_id, memory_id, session_id, scope, period, summary_title, archived_at FROM (
+  SELECT * FROM h WHERE NOT EXISTS (FROM late l WHERE l.scope = h.scope AND l.period = h.period AND l.session_id IS NOT DISTINCT FROM h.session_id)
+  UNION ALL SELECT hook_id, memory_id, session_id, scope, period, t, archived_at FROM late)
+WHERE NOT (period = 'monthly' AND scope = 'project')"""
+)
+def storage_index_documents(spark, folder):
+    """All documents are written; those with late hooks are replaced by these alone; the monthly ones of projects are deleted."""
+    hooks = _hooks(spark, folder)
+    store = storage.HookStore(spark, new_folder(spark, "hooks"), hooks.schema).write(hooks)
+    store.write(hooks.filter("archived_at >= timestamp '2025-08-01 00:00:00'").withColumn("summary_title", F.concat("summary_title", F.lit(" again"))))
+    return store.delete(hooks.filter("period = 'monthly' and scope = 'project'")).read()
+
+
+@query(
+    f"""WITH {_HOOKS}, one AS (SELECT hook_id, scope, arg_max((memory_id, session_id, period, summary_title, archived_at), archived_at) AS r FROM h GROUP BY hook_id, scope)
+SELECT scope, period, count(*) AS hooks, count(*) FILTER (summary_title LIKE '% again') AS again FROM (
+  SELECT scope, period, summary_title FROM h WHERE scope = 'session' AND period <> 'daily' UNION ALL SELECT scope, period, summary_title || ' again' FROM h WHERE scope = 'session' AND period = 'daily' UNION ALL SELECT 'project', period, summary_title FROM h WHERE scope = 'session') GROUP BY scope, period"""
+)
+def storage_append_hooks(spark, folder):
+    """Hooks of sessions, written, then appended to the projects' scope as well, and the daily ones once more with another title."""
+    hooks = _hooks(spark, folder).filter("scope = 'session'")
+    store = storage.HookStore(spark, new_folder(spark, "hooks"), hooks.schema).write(hooks)
+    store.append(hooks.withColumn("scope", F.lit("project")))
+    store.append(hooks.filter("period = 'daily'").withColumn("summary_title", F.concat("summary_title", F.lit(" again"))))
+    rows = store.read()
+    return rows.groupBy("scope", "period").agg(F.count("*").alias("hooks"), F.count_if(F.col("summary_title").endswith(" again")).alias("again"))
+
+
+@query("WITH d AS (SELECT DISTINCT session_id, memory_id, archived_at FROM memories WHERE period = 'daily' AND session_id IS NOT NULL) SELECT session_id, memory_id, row_number() OVER (PARTITION BY session_id ORDER BY archived_at, memory_id) AS n FROM d")
+def storage_standalone_memories(spark, folder):
+    rows = load(spark, folder, "memories").withColumn("link", F.when(F.col("period") == "daily", "standalone").otherwise("linked"))
+    return storage.linked_memories(rows, "standalone", "session_id")
+
+
+@query("WITH d AS (SELECT DISTINCT project_id, memory_id, archived_at FROM memories WHERE period <> 'daily' AND project_id IS NOT NULL) SELECT project_id, memory_id, row_number() OVER (PARTITION BY project_id ORDER BY archived_at, memory_id) AS n FROM d")
+def storage_linked_memories(spark, folder):
+    rows = load(spark, folder, "memories").withColumn("link", F.when(F.col("period") == "daily", "standalone").otherwise("linked"))
+    return storage.linked_memories(rows, "linked", "project_id")
+
+
+@query(
+    "WITH c AS (SELECT session_id, message_id AS hook_id, CASE WHEN reason = 'manual' THEN NULL ELSE summary END AS text, received_at AS put, delivery_id FROM compactions WHERE session_id IS NOT NULL AND message_id IS NOT NULL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY session_id, hook_id ORDER BY put DESC) AS k, count(*) OVER (PARTITION BY session_id, hook_id, put) AS ties FROM c) SELECT session_id, hook_id, md5(text) AS digest FROM r WHERE k = 1 AND ties = 1 AND text IS NOT NULL"
+)
+def storage_raw_contexts(spark, folder):
+    """Compaction summaries as raw contexts, early ones stored first, the rest as changes; manual ones delete. Keys with ties in time are left out."""
+    rows = load(spark, folder, "compactions").filter("session_id is not null and message_id is not null")
+    rows = rows.select("session_id", F.col("message_id").alias("hook_id"), F.when(F.coalesce("reason", F.lit("")) != "manual", F.col("summary")).alias("text"), F.col("received_at").alias("at"))
+    early = F.col("at") < F.lit("2025-06-01").cast("timestamp")
+    kept = storage.put_contexts(rows.filter(early), rows.filter(~early))
+    ties = rows.groupBy("session_id", "hook_id", "at").agg(F.count("*").alias("n")).filter("n > 1")
+    return kept.join(ties, ["session_id", "hook_id", "at"], "left_anti").select("session_id", "hook_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT user_id::VARCHAR AS memory_id, count(*) AS accesses FROM events WHERE event_type = 'view' GROUP BY user_id")
+def storage_access_counts(spark, folder):
+    log = load(spark, folder, "events").filter("event_type = 'view'").select(F.col("user_id").cast("string").alias("memory_id"))
+    return storage.access_counts(log)
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT memory_id FROM hooks WHERE file_status = 'deleted' OR period = 'monthly'), m AS (SELECT DISTINCT memory_id FROM memories) "
+    "SELECT 'rest' AS kind, memory_id, NULL::BOOLEAN AS success FROM m WHERE memory_id NOT IN (SELECT memory_id FROM r WHERE memory_id IS NOT NULL) UNION ALL SELECT 'result', r.memory_id, m.memory_id IS NOT NULL FROM r LEFT JOIN m USING (memory_id)"
+)
+def storage_batch_delete(spark, folder):
+    requested = load(spark, folder, "hooks").filter("file_status = 'deleted' or period = 'monthly'").select("memory_id")
+    rest, results = storage.batch_delete(requested, load(spark, folder, "memories"), "memory_id")
+    return rest.select(F.lit("rest").alias("kind"), "memory_id", F.lit(None).cast("boolean").alias("success")).distinct().unionByName(results.select(F.lit("result").alias("kind"), "memory_id", "success"))
+
+
+@query("WITH c AS (SELECT memory_id, CASE WHEN max(token_count) IS NOT NULL THEN least(greatest(max(token_count - 500), 0), 100) END AS importance FROM hooks GROUP BY memory_id) SELECT m.memory_id, m.received_at, coalesce(c.importance, m.importance)::INTEGER AS importance FROM memories m LEFT JOIN c USING (memory_id)")
+def storage_batch_update(spark, folder):
+    changes = load(spark, folder, "hooks").select("memory_id", (F.col("token_count") - 500).cast("int").alias("importance"))
+    table, _ = storage.batch_update(changes, load(spark, folder, "memories"), "memory_id")
+    return table.select("memory_id", "received_at", F.col("importance").cast("int").alias("importance"))
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT hook_id, session_id, period, archived_at, summary_title, tags, token_count, CASE WHEN archive_reason = 'manual' THEN [summary_title, archive_reason] END AS facts, CASE WHEN token_count > 1000 THEN 'long ' || period END AS abstract FROM hooks WHERE scope = 'session' AND summary_title IS NOT NULL AND (file_status IS NULL OR file_status <> 'deleted')),
+e AS (SELECT *, CASE period WHEN 'daily' THEN len(list_intersect(coalesce(tags, []), ['ToolCall', 'Thinking', 'AgentTool', 'CodeBlock', 'FileAttachment', 'Image', 'Video'])) > 0 AND len(facts) > 0 WHEN 'weekly' THEN len(facts) > 0 OR abstract IS NOT NULL ELSE period = 'monthly' END AS more FROM h),
+l AS (SELECT *, '- **' || summary_title || '**' || CASE WHEN len(tags) > 0 AND array_to_string(tags, ', ') <> '' THEN ' [' || array_to_string(tags, ', ') || ']' ELSE '' END || ' (' || coalesce(token_count, 0) || ' tokens)' || chr(10) || '  - id: `' || hook_id || '`'
+  || CASE WHEN more AND abstract IS NOT NULL THEN chr(10) || '  - abstract: ' || abstract ELSE '' END || CASE WHEN more AND len(facts) > 0 THEN chr(10) || '  - facts:' || chr(10) || array_to_string(list_transform(facts, lambda x: '    - ' || x), chr(10)) ELSE '' END AS line FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, period ORDER BY archived_at DESC NULLS LAST, hook_id DESC, line DESC) AS k FROM l)
+SELECT session_id, period, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY rank DESC, archived_at, hook_id, line)) AS digest FROM (SELECT *, """
+    + q.relevance("retry index 消息").replace("coalesce(summary_title, '')", "summary_title")
+    + """ AS rank FROM r WHERE k <= 15) GROUP BY session_id, period"""
+)
+def aggregate_ranked_prompts(spark, folder):
+    """The hooks of a session by relevance, each as far as its period has it told."""
+    rows = load(spark, folder, "hooks").filter("scope = 'session' and summary_title is not null").select("hook_id", "session_id", "period", "archived_at", "summary_title", "tags", "token_count", "archive_reason", "file_status").distinct()
+    told = rows.withColumns(
+        {
+            "key_facts": F.when(F.col("archive_reason") == "manual", F.array("summary_title", "archive_reason")), "key_entities": F.lit(None).cast("array<string>"),
+            "abstract": F.when(F.col("token_count") > 1000, F.concat(F.lit("long "), "period")),
+        }
+    )
+    ranked = tx.relevance("retry index 消息", F.col("summary_title"), F.col("tags"))
+    return storage.prompt_lines(storage.prompt_entry(told), ranked).select("session_id", "period", "lines", F.md5("prompt").alias("digest"))
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT session_id, period, archived_at, hook_id, summary_title FROM hooks WHERE session_id IS NOT NULL AND (file_status IS NULL OR file_status <> 'deleted')), l AS (SELECT *, '- ' || coalesce(summary_title, '?') || ' [' || hook_id || ']' AS line FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, period ORDER BY archived_at DESC NULLS LAST, hook_id DESC, line DESC) AS k FROM l), p AS (SELECT session_id, period, string_agg(line, chr(10) ORDER BY archived_at, hook_id, line) AS prompt FROM r WHERE k <= 15 GROUP BY session_id, period),
+s AS (SELECT session_id, arg_max((reason, recent), (received_at, delivery_id)) AS v FROM (SELECT *, count(*) OVER (PARTITION BY session_id, received_at) AS ties FROM compactions WHERE session_id IS NOT NULL) WHERE ties = 1 GROUP BY session_id)
+SELECT session_id, period, md5(prompt || CASE WHEN s.session_id IS NOT NULL THEN chr(10) || 'current task: ' || coalesce(v[1], '?') || coalesce(chr(10) || 'next step: ' || v[2], '') ELSE '' END) AS digest FROM p LEFT JOIN s USING (session_id)"""
+)
+def storage_prompt_with_snapshot(spark, folder):
+    """Prompts with the session's last compaction as what it was doing; compactions with ties in time are left out."""
+    events = load(spark, folder, "compactions").filter("session_id is not null")
+    ties = events.groupBy("session_id", "received_at").agg(F.count("*").alias("n")).filter("n > 1")
+    snapshots = events.join(ties, ["session_id", "received_at"], "left_anti").select("session_id", F.col("received_at").alias("at"), F.col("reason").alias("task"), F.col("recent").alias("next_step"))
+    return storage.with_snapshot(aggregate_prompts(spark, folder).filter("session_id is not null"), snapshots).select("session_id", "period", F.md5("prompt").alias("digest"))
 
 
 @query("SELECT DISTINCT hook_id, memory_id, period, scope, summary_title, coalesce(array_to_string(tags, ', '), '') AS tag_names, strftime(archived_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS archived, token_count FROM hooks WHERE file_status IS NULL OR file_status <> 'deleted'")
@@ -422,6 +575,49 @@ def join_hooks_memories(spark, folder):
     return rows.groupBy("hook_id", "period").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {_LATEST_TURNS}, said AS (SELECT session_id, string_agg(x, ' ' ORDER BY turn_id, side) AS text FROM (SELECT session_id, turn_id, 1 AS side, user_message.text AS x FROM t UNION ALL SELECT session_id, turn_id, 2, llm_message.text FROM t) WHERE trim(x, ' ') <> '' AND session_id IS NOT NULL GROUP BY session_id)
+SELECT session_id, md5(text) AS digest FROM said"""
+)
+def aggregate_turns_text(spark, folder):
+    rows = _turns(spark, folder).filter("session_id is not null")
+    return turns.turns_text(rows, ["session_id"], ["turn_id"]).select("session_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, CASE k WHEN 'claude_approx' THEN floor(n * 1.2::DOUBLE + 0.5) WHEN 'deepseek_approx' THEN floor(n * 0.95::DOUBLE + 0.5) ELSE n END::BIGINT AS tokens, k AS tokenizer FROM (SELECT doc_id, " + q.char_tokens("text") + " AS n, unnest(['o200k_base', 'cl100k_base', 'claude_approx', 'deepseek_approx']) AS k FROM documents)")
+def scalar_scaled_tokens(spark, folder):
+    counts = load(spark, folder, "documents").select("doc_id", tx.char_tokens("text").alias("n"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("tokenizer"), tx.scaled_tokens(F.col("n"), k).alias("tokens")) for k in TOKENIZER_FACTORS)))
+    return counts.select("doc_id", kinds.alias("k")).select("doc_id", "k.*")
+
+
+@query("SELECT delivery_id, concat_ws(' ', nullif(reason, ''), nullif(summary, ''), nullif(recent, '')) AS query FROM compactions")
+def scalar_search_query(spark, folder):
+    return load(spark, folder, "compactions").select("delivery_id", tx.search_query(F.col("reason"), F.col("summary"), F.col("recent")).alias("query"))
+
+
+_TOKENS = "array_to_string(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+|[^\\p{{Z}}\\p{{C}}\\s]'), ' ')"
+
+
+@query(f"SELECT turn_id, received_at, contains(' ' || {_TOKENS.format('llm_message.text')} || ' ', ' the hidden ') OR contains(' ' || {_TOKENS.format('llm_message.text')} || ' ', ' archive . ') AS found FROM sidecar_turns WHERE llm_message.text IS NOT NULL")
+def metric_has_answer(spark, folder):
+    rows = load(spark, folder, "sidecar_turns").filter("llm_message.text is not null")
+    return rows.select("turn_id", "received_at", tx.has_answer("llm_message.text", F.array(F.lit("The hidden"), F.lit(None), F.lit("archive."))).alias("found"))
+
+
+@query(
+    f"WITH c AS (SELECT user_id AS id, 'event ' || event_id AS item, ts AS t FROM events WHERE event_type = 'view'), e AS (SELECT user_id AS id, trim(x) AS expansion, ts AS t FROM (SELECT user_id, ts, unnest(string_split(event_type || '; ' || event_id, ';')) AS x FROM events WHERE value > 400)) "
+    "SELECT 'merge' AS how, c.id AS session_id, CASE WHEN e.id IS NULL THEN item ELSE expansion || ' ' || item END AS item, c.t AS \"at\" FROM c LEFT JOIN e USING (id) UNION ALL SELECT 'replace', c.id, coalesce(expansion, item), c.t FROM c LEFT JOIN e USING (id) "
+    "UNION ALL SELECT 'separate', id, item, t FROM c UNION ALL SELECT 'separate', id, expansion, t FROM e"
+)
+def join_expansions(spark, folder):
+    events = load(spark, folder, "events").withColumn("session_id", F.col("user_id"))
+    corpus = events.filter("event_type = 'view'").select("session_id", F.concat(F.lit("event "), "event_id").alias("item"), F.col("ts").alias("at"))
+    told = search.split_expansions(events.filter("value > 400").select("session_id", F.concat_ws("; ", "event_type", "event_id").alias("expansion"), F.col("ts").alias("at")))
+    parts = [search.expand_corpus(corpus, told, how).select(F.lit(how).alias("how"), "session_id", "item", "at") for how in ("separate", "merge", "replace")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Search
 
 
@@ -522,6 +718,16 @@ def search_relevance(spark, folder):
     return search.relevant_hooks(load(spark, folder, "hooks"), "retry index 消息").select("hook_id", "scope", "relevance").distinct()
 
 
+@query("WITH v AS (SELECT vec_id, CASE WHEN label = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE label <> 2) SELECT vec_id, round(score, 6) AS score FROM (" + q.cosine("v", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") WHERE score > 0")
+def search_vector_table(spark, folder):
+    """All vectors are written, those of label 1 replaced by their reverse, those of label 2 removed."""
+    rows = load(spark, folder, "embeddings")
+    table = search.VectorTable(spark, new_folder(spark, "vectors"), dict(rows.dtypes)["vec_id"]).write(rows, "vec_id", "embedding")
+    table.write(rows.filter("label = 1").withColumn("embedding", F.reverse("embedding")), "vec_id", "embedding")
+    table.remove(rows.filter("label = 2").select(F.col("vec_id").alias("id")))
+    return table.search([(i % 7 - 3) / 3 for i in range(64)]).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 # Lifecycle
 
 _AGE = f"(epoch(TIMESTAMPTZ '{NOW}+00') - epoch(archived_at)) / 86400"
@@ -560,6 +766,70 @@ def lifecycle_monthly_evict(spark, folder):
     return lifecycle.monthly_evict(files, ["session_id"]).select("memory_id", "session_id", "is_main")
 
 
+@query(f"SELECT DISTINCT memory_id, round(least(greatest(25 * pow(0.5, greatest({_AGE}, 0) / 7) + 25 * least(coalesce(access_count, 0) / 10.0, 1) + 0.25 * CASE WHEN length(content) % 3 = 0 THEN 50 ELSE length(content) % 101 END + 0.25 * coalesce(importance, 0), 0), 100), 4) AS score FROM memories WHERE archived_at IS NOT NULL AND content IS NOT NULL")
+def lifecycle_topic_score(spark, folder):
+    """With a topic's relevance, 50 where its scorer gave none."""
+    topic = F.coalesce(F.when(F.length("content") % 3 != 0, F.length("content") % 101), F.lit(50))
+    score = lifecycle.eviction_score(F.col("archived_at"), F.col("access_count"), F.col("importance"), NOW, (0.25, 0.25, 0.25, 0.25), topic)
+    return load(spark, folder, "memories").filter("archived_at is not null and content is not null").select("memory_id", F.round(score, 4).alias("score")).distinct()
+
+
+_DAILY = "d AS (SELECT DISTINCT hook_id, session_id, archived_at, summary_title, tags, strftime(archived_at AT TIME ZONE 'UTC', '%G-W%V') AS week FROM hooks WHERE period = 'daily' AND scope = 'session' AND session_id IS NOT NULL AND archived_at IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_DAILY}, o AS (SELECT session_id, week, list(coalesce(summary_title, '') ORDER BY archived_at, hook_id) AS titles, flatten(list(coalesce(tags, []) ORDER BY archived_at, hook_id)) AS tags FROM d GROUP BY session_id, week)
+SELECT hook_id, 'weekly/' || session_id || '/' || week AS memory_id, 'Weekly merge (' || len(titles) || ' memories)' AS summary_title, md5('Merged ' || len(titles) || ' daily memories: ' || array_to_string(titles, '; ')) AS abstract, len(titles) AS facts, array_to_string(list_filter(o.tags, lambda x, i: list_position(o.tags, x) = i), ',') AS entities
+FROM d JOIN o USING (session_id, week)"""
+)
+def lifecycle_weekly_hooks(spark, folder):
+    rows = load(spark, folder, "hooks").filter("period = 'daily' and scope = 'session' and session_id is not null and archived_at is not null")
+    daily = rows.select("hook_id", "session_id", "archived_at", "summary_title", "tags", "memory_id", "period", tx.week_key("archived_at").alias("week")).distinct()
+    merged = lifecycle.weekly_hooks(daily, ["session_id", "week"])
+    return merged.select("hook_id", "memory_id", "summary_title", F.md5("abstract").alias("abstract"), F.size("key_facts").alias("facts"), F.array_join("key_entities", ",").alias("entities"))
+
+
+@query(
+    f"""{_TURNS}, w AS (SELECT *, session_id || '/' || strftime(created_at AT TIME ZONE 'UTC', '%G-W%V') AS memory_id FROM turns WHERE session_id IS NOT NULL AND created_at IS NOT NULL), f AS (SELECT session_id, memory_id, (sum(tokens) % 1000)::DOUBLE AS score FROM w GROUP BY session_id, memory_id),
+m AS (SELECT *, first_value(memory_id) OVER (PARTITION BY session_id ORDER BY score DESC, memory_id) AS main FROM f), k AS (SELECT w.*, m.main, w.memory_id = m.main AS is_main FROM w JOIN m USING (memory_id) WHERE w.memory_id = m.main OR len(list_intersect(tags, [{q.strings(turns.HIGH_VALUE_TAGS)}])) > 0)
+SELECT session_id, main, count(*) AS turns, count(*) FILTER (NOT is_main) AS added, sum(tokens)::BIGINT AS tokens, (SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM (SELECT unnest(tags) AS tag FROM k k2 WHERE k2.main = k.main)) AS tags FROM k GROUP BY session_id, main"""
+)
+def lifecycle_monthly_turns(spark, folder):
+    """A session's turns of one ISO week as a weekly file, scored by its tokens modulo 1,000."""
+    rows = _turns(spark, folder).filter("session_id is not null and created_at is not null")
+    placed = rows.select("session_id", "turn_id", "tokens", "tags", F.concat_ws("/", "session_id", tx.week_key("created_at")).alias("memory_id"))
+    files = placed.groupBy("session_id", "memory_id").agg((F.sum("tokens") % 1000).cast("double").alias("score"))
+    return lifecycle.merged_months(placed.drop("session_id"), lifecycle.monthly_evict(files, ["session_id"]), ["session_id"])
+
+
+_HITS = (
+    "x AS (SELECT session_id, lower(coalesce(user_message.text, '') || ' ' || coalesce(llm_message.text, '') || ' ') AS text FROM t WHERE session_id IS NOT NULL), s(scenario, place, words) AS (VALUES "
+    + ", ".join(f"('{name}', {i}, [{q.strings(words)}])" for i, (name, words) in enumerate(SCENARIO_WORDS.items()))
+    + "), c AS (SELECT session_id, scenario, place, count(DISTINCT word) AS hits FROM (SELECT session_id, scenario, place, word, text FROM x, (SELECT scenario, place, unnest(words) AS word FROM s)) WHERE contains(text, word) GROUP BY session_id, scenario, place)"
+)
+
+
+@query(f"WITH {_LATEST_TURNS}, {_HITS} SELECT session_id, scenario, hits FROM c")
+def aggregate_scenario_hits(spark, folder):
+    return lifecycle.scenario_hits(_said(spark, folder), ["session_id"])
+
+
+def _said(spark, folder) -> DataFrame:
+    rows = _turns(spark, folder).filter("session_id is not null")
+    return rows.select("session_id", F.col("user_message.text").alias("user_text"), F.col("llm_message.text").alias("llm_text"))
+
+
+@query(
+    f"WITH {_LATEST_TURNS}, {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, place) AS k, lead(hits) OVER (PARTITION BY session_id ORDER BY hits DESC, place) AS second FROM c) "
+    "SELECT session_id, scenario AS detected, round(hits / (hits + coalesce(second, 0)), 6) AS confidence, CASE WHEN hits / (hits + coalesce(second, 0)) >= 0.6 THEN scenario ELSE 'coding' END AS scenario FROM r WHERE k = 1"
+)
+def lifecycle_detect_scenario(spark, folder):
+    found = lifecycle.detect_scenario(aggregate_scenario_hits(spark, folder), ["session_id"])
+    none = F.lit(None).cast("string")
+    chosen = lifecycle.resolve_scenario(none, none, F.col("scenario"), F.col("confidence"))
+    return found.select("session_id", F.col("scenario").alias("detected"), F.round("confidence", 6).alias("confidence"), chosen.alias("scenario"))
+
+
 @query("SELECT DISTINCT hook_id, t AS tag, CASE t WHEN 'CodeBlock' THEN 1.0 WHEN 'ToolCall' THEN 0.833333 WHEN 'Thinking' THEN 0.666667 WHEN 'Plan' THEN 0.5 WHEN 'Url' THEN 0.333333 WHEN 'FileAttachment' THEN 0.166667 ELSE 0.0 END::DOUBLE AS priority FROM (SELECT hook_id, unnest(tags) AS t FROM hooks)")
 def lifecycle_tag_priority(spark, folder):
     rows = load(spark, folder, "hooks").select("hook_id", F.explode("tags").alias("tag")).distinct()
@@ -703,6 +973,37 @@ def metric_token_f1(spark, folder):
     return rows.select("memory_id", F.round(metrics.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), metrics.exact_match(F.col("a"), F.col("b")).alias("exact"))
 
 
+_PIECES = "list_transform(string_split(replace({0}, ' ', ','), ','), lambda x: trim(x, ' '))"
+
+
+@query(
+    f"WITH {_PAIRED_TITLES}, w AS (SELECT memory_id, replace(a, ' ', ',') AS a, replace(b, ' ', ',') AS b, {_PIECES.format('a')} AS p, {_PIECES.format('b')} AS t FROM pairs), "
+    f"f AS (SELECT memory_id, avg(best) AS f1 FROM (SELECT memory_id, i, max({q.token_f1('x', 'y')}) AS best FROM (SELECT memory_id, unnest(p) AS x, i, y FROM (SELECT memory_id, p, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS y FROM w)) GROUP BY memory_id, i) GROUP BY memory_id) SELECT memory_id, round(f1, 6) AS f1 FROM f"
+)
+def metric_multi_f1(spark, folder):
+    """Titles as lists of answers, one a word."""
+    rows = _title_pairs(spark, folder).select("memory_id", F.regexp_replace("a", " ", ",").alias("a"), F.regexp_replace("b", " ", ",").alias("b"))
+    return rows.select("memory_id", F.round(metrics.multi_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
+@query(
+    f"WITH {_PAIRED_TITLES}, c AS (SELECT *, length(a) % 4 + 2 AS category FROM pairs) SELECT memory_id, category, round(CASE WHEN category = 3 THEN {q.token_f1('a', "string_split(b, ';')[1]")} WHEN category IN (2, 4) THEN {q.token_f1('a', 'b')} "
+    "WHEN contains(lower(a), 'no information available') OR contains(lower(a), 'not mentioned') THEN 1.0 ELSE 0.0 END, 6) AS score FROM c"
+)
+def metric_category_scores(spark, folder):
+    rows = _title_pairs(spark, folder).withColumn("category", F.length("a") % 4 + 2)
+    return rows.select("memory_id", "category", F.round(metrics.category_score(F.col("category"), F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("WITH s AS (SELECT session_id, list(DISTINCT message_id) AS found FROM compactions GROUP BY session_id) SELECT state_id, session_id, round(CASE WHEN len(processed_message_ids) > 0 THEN len(list_filter(processed_message_ids, lambda x: x IS NOT NULL AND list_contains(found, x))) / len(processed_message_ids)::DOUBLE ELSE 1.0 END, 6) AS recall FROM sidecar_state CROSS JOIN s WHERE session_id IN (SELECT session_id FROM compactions GROUP BY session_id ORDER BY count(*) DESC, session_id LIMIT 3)")
+def metric_evidence_recall(spark, folder):
+    """Of each state's list the share that the sessions with most compactions, three of them, hold."""
+    events = load(spark, folder, "compactions")
+    three = events.groupBy("session_id").agg(F.count("*").alias("n"), F.collect_set("message_id").alias("found")).orderBy(F.col("n").desc(), "session_id").limit(3)
+    rows = load(spark, folder, "sidecar_state").crossJoin(F.broadcast(three.select("session_id", "found")))  # three rows
+    return rows.select("state_id", "session_id", F.round(F.coalesce(metrics.evidence_recall(F.col("processed_message_ids"), F.col("found")), F.lit(1.0)), 6).alias("recall"))
+
+
 @query("SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 4) AS mean, count(o_totalprice) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))")
 def metric_grouped_means(spark, folder):
     return metrics.accuracy(load(spark, folder, "orders"), "o_totalprice", ["o_orderpriority"], "o_orderstatus")
@@ -758,11 +1059,43 @@ def increment_between(spark, folder):
     return increments.between(load(spark, folder, "session_messages"), ranges).select("id", "received_at")
 
 
-@query("SELECT CASE WHEN starts_with(session_id, 'ses_0') THEN 'zero' WHEN starts_with(session_id, 'ses_a') THEN 'letter' ELSE 'custom' END AS family, count(*) AS sessions FROM (SELECT DISTINCT session_id FROM memories WHERE session_id IS NOT NULL) GROUP BY 1")
+@query(f"WITH {_ARCHIVED}, r AS (SELECT m.id, m.received_at, m.seq, m.session_id FROM session_messages m JOIN a USING (session_id) WHERE m.seq > a.last_seq AND m.type <> 'compaction') SELECT id, n FROM (SELECT id, row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS n FROM r) WHERE n <= 2")
+def increment_first_of_range(spark, folder):
+    ranges = increments.last_archived(load(spark, folder, "sidecar_state")).select("session_id", F.col("last_seq").alias("low"), F.lit(None).cast("long").alias("high"))
+    return increments.first_of_range(load(spark, folder, "session_messages"), ranges, 2).select("id", "n")
+
+
+@query("SELECT CASE WHEN source = 'chat' OR starts_with(source, 'chat-') THEN 'talk' WHEN regexp_matches(source, '^archive/[a-z]+(-|$)') THEN 'archive' ELSE 'custom' END AS family, count(*) AS sessions FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) GROUP BY 1")
 def increment_families(spark, folder):
-    sessions = storage_sessions(spark, folder).select(F.regexp_replace("session_id", "^(ses_.)", "$1_").alias("session_id"))
-    families = spark.createDataFrame([("zero", "ses_0"), ("letter", "ses_a")], "family string, prefix string")
-    return increments.by_family(sessions, families)
+    """Sources of documents as sessions; the archives' names up to a dash as the prefixes of one family."""
+    sources = load(spark, folder, "documents").select(F.col("source").alias("session_id")).filter("session_id is not null").distinct()
+    archives = sources.select(F.regexp_extract("session_id", "^(archive/[a-z]+)(-|$)", 1).alias("prefix")).filter("prefix <> ''").distinct()
+    families = archives.withColumn("family", F.lit("archive")).unionByName(spark.createDataFrame([("chat", "talk")], "prefix string, family string"))
+    return increments.by_family(sources, families)
+
+
+@query(
+    f"WITH {_MESSAGES}, u AS (SELECT m.session_id, m.id, s.time_created FROM messages m JOIN (SELECT id, max(time_created) AS time_created FROM session_messages GROUP BY id) s USING (id) WHERE role = 'user'), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_created DESC NULLS LAST, id DESC) AS n FROM u) SELECT session_id, arg_max(id, n) AS id FROM r WHERE n <= 3 GROUP BY session_id"
+)
+def increment_tail_start(spark, folder):
+    times = load(spark, folder, "session_messages").groupBy("id").agg(F.max("time_created").alias("time_created"))
+    return turns.tail_start(_messages(spark, folder).join(times, "id"), 3)
+
+
+@query("SELECT session_id, seq, 'System: compaction summary (reason=' || coalesce(reason, '') || ')' AS user_text, md5(coalesce(summary, '') || chr(10) || chr(10) || '--- Recent Context ---' || chr(10) || coalesce(recent, '')) AS digest FROM compactions")
+def increment_compaction_turns(spark, folder):
+    rows = turns.compaction_turns(load(spark, folder, "compactions"))
+    return rows.select("session_id", "seq", "user_text", F.md5("llm_text").alias("digest"))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT message_id, session_id, time_created, reason, summary FROM compactions WHERE message_id IS NOT NULL) SELECT message_id || ':user' AS id, session_id, 'user' AS role, time_created, reason AS text FROM c UNION ALL SELECT message_id || ':assistant', session_id, 'assistant', time_created + 1, summary FROM c"
+)
+def increment_compaction_messages(spark, folder):
+    events = load(spark, folder, "compactions").filter("message_id is not null").select("message_id", "session_id", "time_created", "reason", "summary").distinct()
+    rows = turns.compaction_messages(events)
+    return rows.select("id", "session_id", "role", "time_created", F.get_json_object("data", "$.content[0].text").alias("text"))
 
 
 @query("SELECT session_id, count(*) AS messages, max(seq) AS last_seq FROM session_messages WHERE session_id IS NOT NULL GROUP BY session_id")
@@ -773,7 +1106,28 @@ def stream_session_totals(spark, folder):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, folder):
-    return totals.windowed_counts(load(spark, folder, "events"), "ts", "1 day", ["event_type"])
+    path = f"{folder}/events.parquet"
+    return totals.follow_windows(spark, path, spark.read.parquet(path).schema, "ts", "1 day", ["event_type"])
+
+
+@query("SELECT delivery_id, message_id FROM compactions")
+def stream_backfill(spark, folder):
+    """History followed like new events; a first call without backfill marks it as seen, and adds no rows."""
+    path = f"{folder}/compactions.parquet"
+    schema = spark.read.parquet(path).schema
+    for backfill in (False, True):
+        out, checkpoint = new_folder(spark, "followed"), totals.checkpoint_for(new_folder(spark, "checkpoint"), "v2")
+        rows = totals.follow_events(spark, path, schema, out, checkpoint, backfill=backfill).select("delivery_id", "message_id")
+        followed = rows if not backfill else followed.unionByName(rows)
+    return followed
+
+
+@query(f"SELECT session_id, tokens, last_seq FROM (SELECT session_id, sum({q.tokens('data')})::BIGINT AS tokens, max(seq) AS last_seq FROM session_messages WHERE session_id IS NOT NULL GROUP BY session_id) WHERE tokens >= 400")
+def stream_token_thresholds(spark, folder):
+    """All files in one micro-batch, so that each session has one event at most."""
+    path = f"{folder}/session_messages.parquet"
+    found = totals.follow_thresholds(spark, path, spark.read.parquet(path).schema, tx.estimate_tokens("data"), 400, new_folder(spark, "thresholds"), new_folder(spark, "checkpoint"), max_files=100_000)
+    return found.select("session_id", "tokens", "last_seq")
 
 
 @query(
@@ -794,12 +1148,6 @@ def p6_found(spark, folder):
     return repeated_deliveries(load(spark, folder, "compactions"), load(spark, folder, "sidecar_state"))
 
 
-@query("SELECT coalesce(nullif(lower(regexp_replace(message_id, '^\\s+|\\s+$', '', 'g')), ''), '?') AS key, count(*) AS deliveries FROM compactions GROUP BY 1")
-def p6_deliveries(spark, folder):
-    rows = load(spark, folder, "compactions").select(F.coalesce(same_id("message_id"), F.lit("?")).alias("key"))
-    return rows.groupBy("key").agg(F.count("*").alias("deliveries"))
-
-
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid search over documents and vectors."""
     return search_hybrid(spark, folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as tx
 from mnemospark.operators import conflicts, increments, keyword, lifecycle, metrics, search, sequences, storage, turns
 from mnemospark.sources.context import parse_context
-from mnemospark.streaming import deliveries
+from mnemospark.streaming import deliveries, totals
 from mnemospark.streaming.deliveries import keep_one_delivery, repeated_deliveries
 
 T0 = dt.datetime(2025, 1, 1)
@@ -194,10 +194,72 @@ def test_turns_and_pairs(spark):
 
 
 def test_prefix_lookup(spark):
-    rows = [("abcd1", "m1", T0, "normal"), ("abcd2", "m2", T0 - dt.timedelta(1), "normal"), ("abcd", "m3", T0, "normal"), ("abcd3", "m4", T0, "deleted")]
-    hooks = spark.createDataFrame(rows, "hook_id string, memory_id string, archived_at timestamp, file_status string")
-    assert [r["hook_id"] for r in storage.find_by_prefix(hooks, "abcd").collect()] == ["abcd", "abcd2", "abcd1"]
-    assert storage.find_by_prefix(hooks, "abc").count() == 0
+    rows = [
+        ("abcd1", "m1", T0, "normal", "session"), ("abcd2", "m2", T0 - dt.timedelta(1), "normal", "project"), ("abcd", "m3", T0, "normal", "project"), ("abcd3", "m4", T0, "deleted", "session"),
+        ("abcd1", "p1", T0 - dt.timedelta(9), None, "project"), *((f"wxyz{i}", "m", T0 + dt.timedelta(i), None, "session") for i in range(7)),
+    ]
+    hooks = spark.createDataFrame(rows, "hook_id string, memory_id string, archived_at timestamp, file_status string, scope string")
+    found = [(r["hook_id"], r["memory_id"], r["scope"]) for r in storage.find_by_prefix(hooks, "abcd").collect()]
+    assert found == [("abcd", "m3", "project"), ("abcd2", "m2", "project"), ("abcd1", "m1", "session")]
+    assert storage.find_by_prefix(hooks, "abc").count() == 0 and storage.find_by_prefix(hooks, "wxyz").count() == 7
+    resolve = lambda x: tuple(storage.resolve_prefix(hooks, x).first())
+    assert resolve("abcd") == ("found", "abcd", None) and resolve("abcd3") == ("deleted", None, None) and resolve("nothing") == ("unknown", None, None)
+    assert resolve("wxyz") == ("ambiguous", None, [f"wxyz{i}" for i in range(5)]) and resolve("abcd2") == ("found", "abcd2", None)
+
+
+def test_attachments_are_tagged(spark):
+    kinds = "array<struct<kind:string>>"
+    message = f"struct<text:string,thinking:string,tool_calls:array<struct<name:string>>,file_changes:array<struct<file_path:string>>,attachments:{kinds}>"
+    rows = [(("see", None, None, None, [("image",), ("File",)]), ("ok", None, None, None, None)), ((None, None, None, None, None), ("x", None, None, None, [("Voice",), ("Video",)]))]
+    df = spark.createDataFrame(rows, f"user_message {message}, llm_message {message}")
+    assert [r[0] for r in df.select(turns.turn_tags(attachments=True)).collect()] == [["Image", "FileAttachment"], ["Video", "Voice"]]
+
+
+def test_relevance_of_all_fields(spark):
+    lists = lambda *x: F.array(*map(F.lit, x))
+    score = tx.relevance("Rust none", F.lit("rust"), lists("RUST"), lists("a rust fact"), lists("rusty"), lists("x"), F.lit("in rust"))
+    assert value(spark, score) == 3 + 2 + 1 + 2 + 1
+
+
+def test_hook_store(spark, tmp_path):
+    schema = "hook_id string, session_id string, scope string, period string, archived_at timestamp"
+    df = lambda *rows: spark.createDataFrame([(h, s, c, p, T0) for h, s, c, p in rows], schema)
+    store = storage.HookStore(spark, f"{tmp_path}/hooks", df().schema)
+    ids = lambda: sorted(r["hook_id"] for r in store.read().collect())
+    assert ids() == []
+    store.write(df(("a", "s", "session", "daily"), ("b", "s", "session", "daily"), ("c", "t", "session", "daily"), ("d", None, "project", "daily")))
+    store.write(df(("e", "s", "session", "daily")))
+    assert ids() == ["c", "d", "e"]
+    store.append(df(("e", "s", "session", "daily"), ("f", "s", "session", "daily"), ("g", None, "project", "daily")))
+    assert ids() == ["c", "d", "e", "f", "g"] and store.read("project").count() == 2 and store.read(period="weekly").count() == 0
+    store.delete(df(("", None, "project", "daily"), ("", "zz", "project", "weekly")))
+    assert ids() == ["c", "e", "f"]
+
+
+def test_following(spark, tmp_path):
+    schema = "session_id string, seq long, tokens long"
+    add = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    kind = spark.createDataFrame([], schema).schema
+    add("a", [("s", 1, 60), (None, 2, 999), ("t", 1, 10)])
+    follow = lambda tag, **o: totals.follow_events(spark, f"{tmp_path}/in", kind, f"{tmp_path}/out{tag}", totals.checkpoint_for(f"{tmp_path}/c", tag), **o).count()
+    due = lambda: sorted(tuple(r)[:3] for r in totals.follow_thresholds(spark, f"{tmp_path}/in", kind, F.col("tokens"), 100, f"{tmp_path}/t", f"{tmp_path}/tc").collect())
+    assert follow("v1") == 0 and follow("v2", backfill=True) == 3 and due() == []
+    add("b", [("s", 2, 50), ("t", 2, 10)])
+    assert follow("v1") == 2 and follow("v2") == 5 and due() == [("s", 110, 2)]
+    add("c", [("s", 3, 50), ("t", 3, 200)])
+    assert follow("v1") == 4 and due() == [("s", 110, 2), ("t", 220, 3)]  # s began at 0 again
+    add("d", [("s", 4, 50)])
+    assert due() == [("s", 100, 4), ("s", 110, 2), ("t", 220, 3)] and due() == due()
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [(at(0), "a", 1.0), (at(0.4), "a", 2.0), (at(1.2), "a", 4.0), (at(1), "b", None)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "ts timestamp, kind string, value double").write.parquet(f"{tmp_path}/in/{i}")
+    table = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    want = sorted(map(tuple, totals.windowed_counts(table, "ts", "1 day", ["kind"]).collect()))
+    got = sorted(map(tuple, totals.follow_windows(spark, f"{tmp_path}/in", table.schema, "ts", "1 day", ["kind"], max_files=1).collect()))
+    assert got == want and len(got) == 3
 
 
 def test_batch_lookup_fails_alone(spark):
@@ -379,8 +441,10 @@ def test_payloads(spark):
     rows = [
         ("a", T0, '{"content":[{"type":"reasoning","text":"r1"},{"type":"text","text":"x"},{"type":"text","text":"y"},{"type":"tool","name":"grep"}],"finish":"stop","cost":0.5}'),
         ("b", T0, '{"text":"plain"}'), ("c", T0, '{"text":"cut'), ("d", T0, None),
+        ("e", T0, '{"content":[{"type":"text","text":"x"},{"type":"step-finish","tokens":{"input":1,"output":2,"reasoning":3},"reason":"length","cost":2.0}],"finish":"stop","cost":0.5}'),
     ]
     got = {r["id"]: tuple(r)[2:] for r in parse_payloads(spark.createDataFrame(rows, "id string, received_at timestamp, data string")).collect()}
-    assert got["a"] == ("x\ny", "r1", 1, "stop", 0.5)
+    assert got["a"] == ("x\ny", "r1", 1, None, "stop", 0.5)
     assert got["b"][0] == "plain" and got["b"][2] == 0
-    assert got["c"][2:] == got["d"][2:] == (0, None, None)
+    assert got["c"][2:] == got["d"][2:] == (0, None, None, None)
+    assert got["e"] == ("x", "", 0, 6, "length", 2.0)
