@@ -326,7 +326,16 @@ def source_payloads(spark, folder):
     return context.parse_payloads(load(spark, folder, "session_messages"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT DISTINCT memory_id, content AS t, starts_with(ltrim(content, ' '), '[') AS is_json FROM memories WHERE content IS NOT NULL),
+j AS (SELECT memory_id, unnest(CAST(t AS JSON[])) AS e, generate_subscripts(CAST(t AS JSON[]), 1) AS turn FROM d WHERE is_json AND json_valid(t)),
+l AS (SELECT memory_id, unnest(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10))))) AS i FROM d WHERE NOT is_json),
+m AS (SELECT *, regexp_extract(line, '^\s*(User|Assistant|Human|AI):', 1) AS mark, regexp_replace(line, '^\s*(User|Assistant|Human|AI):\s*', '') AS body FROM l),
+n AS (SELECT *, sum(CASE WHEN mark IN ('User', 'Human') THEN 1 ELSE 0 END) OVER w AS turn, last_value(nullif(mark, '') IGNORE NULLS) OVER w AS speaker FROM m WINDOW w AS (PARTITION BY memory_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT memory_id, turn, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (speaker IN ('User', 'Human')), ''), ' ') AS user_text, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (speaker IN ('Assistant', 'AI')), ''), ' ') AS llm_text FROM n WHERE speaker IS NOT NULL GROUP BY memory_id, turn),
+f AS (SELECT memory_id, turn, e->'$.user_message'->>'$.text' AS user_text, e->'$.llm_message'->>'$.text' AS llm_text FROM j)
+SELECT memory_id, turn::BIGINT AS turn, user_text, llm_text FROM g WHERE user_text <> '' OR llm_text <> '' UNION ALL SELECT memory_id, turn::BIGINT, user_text, llm_text FROM f WHERE coalesce(user_text, '') <> '' OR coalesce(llm_text, '') <> ''"""
+)
 def source_context(spark, folder):
     return context.parse_context(load(spark, folder, "memories").select("memory_id", "content").distinct(), "memory_id", "content")
 
@@ -901,15 +910,15 @@ def conflict_summary(spark, folder):
 
 
 @query(
-    f"""WITH {_DETECTED}, h AS (SELECT DISTINCT * FROM detected WHERE conflict <> 'reversal' AND seq % 2 = 0),
+    f"""WITH {_DETECTED}, r AS (SELECT DISTINCT * FROM detected WHERE conflict <> 'reversal' AND seq % 2 = 0),
 o AS (SELECT DISTINCT memory_id, seq, conflict, new_fact, CASE WHEN seq % 3 > 0 THEN upper(existing_fact) END AS existing_fact, 'critical' AS severity, description || ' again' AS description FROM detected WHERE conflict <> 'direct'),
 k AS (SELECT o.*, row_number() OVER () AS id FROM o),
-m AS (SELECT k.id, k.seq AS o_seq, k.existing_fact AS o_existing, k.description AS o_description, min((h.seq, h.new_fact, h.existing_fact)) AS place, k.memory_id, k.conflict FROM k JOIN h USING (memory_id, conflict)
-  WHERE k.new_fact = h.new_fact OR {q.fact_similarity('k.new_fact', 'h.new_fact')} >= 0.7 GROUP BY ALL),
+m AS (SELECT k.id, k.seq AS o_seq, k.existing_fact AS o_existing, k.description AS o_description, min((r.seq, r.new_fact, r.existing_fact)) AS place, k.memory_id, k.conflict FROM k JOIN r USING (memory_id, conflict)
+  WHERE k.new_fact = r.new_fact OR {q.fact_similarity('k.new_fact', 'r.new_fact')} >= 0.7 GROUP BY ALL),
 g AS (SELECT memory_id, conflict, place, arg_max(o_description, (length(o_description), o_description)) AS o_description, arg_max(o_existing, (o_seq, o_existing)) FILTER (o_existing IS NOT NULL) AS o_existing FROM m GROUP BY memory_id, conflict, place)
-SELECT h.memory_id, h.seq, h.conflict, h.new_fact, coalesce(o_existing, h.existing_fact) AS existing_fact, CASE WHEN g.memory_id IS NULL THEN h.severity ELSE 'critical' END AS severity,
-  CASE WHEN length(o_description) > length(h.description) THEN o_description ELSE h.description END AS description
-FROM h LEFT JOIN g ON h.memory_id = g.memory_id AND h.conflict = g.conflict AND g.place = (h.seq, h.new_fact, h.existing_fact)
+SELECT r.memory_id, r.seq, r.conflict, r.new_fact, coalesce(o_existing, r.existing_fact) AS existing_fact, CASE WHEN g.memory_id IS NULL THEN r.severity ELSE 'critical' END AS severity,
+  CASE WHEN length(o_description) > length(r.description) THEN o_description ELSE r.description END AS description
+FROM r LEFT JOIN g ON r.memory_id = g.memory_id AND r.conflict = g.conflict AND g.place = (r.seq, r.new_fact, r.existing_fact)
 UNION ALL SELECT memory_id, seq, conflict, new_fact, existing_fact, severity, description FROM k WHERE id NOT IN (SELECT id FROM m)"""
 )
 def conflict_merged_reports(spark, folder):
