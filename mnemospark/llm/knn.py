@@ -6,7 +6,9 @@ follows a chi-square distribution, so a query may stop once the remaining
 projected distances exceed what that distribution allows, at the wanted
 probability, for a vector as near as the k-th found so far. Projections are
 indexed by a kd-tree whose leaves are the units of distribution: a query first
-visits its own leaf, then the leaves its stopping radius reaches.
+visits its own leaf, then the leaves its stopping radius reaches. Within a leaf
+its projected neighbours are verified in order of their distance, a few at a
+time, until the next one lies beyond what the test allows.
 """
 
 from __future__ import annotations
@@ -145,9 +147,13 @@ def nearest_vectors(
 
     Vectors travel once to their own leaf. A query travels to the leaves that
     its radius reaches: the radius shrinks with the k-th neighbour in its own
-    leaf. Within a leaf the comparisons run in blocks of a few thousand rows,
-    so a leaf that a third of all vectors share (equal vectors cannot be split)
-    is cut into blocks of `leaf_rows` first.
+    leaf. A leaf that a third of all vectors share (equal vectors cannot be
+    split) is cut into blocks of at most 4 x `leaf_rows`; where more than twice
+    that many queries ask a block, they are cut into pieces too, and the block's
+    vectors travel to each. Within a block the projected distances of a tile of
+    queries and vectors are one product of matrices; what lies within the radius
+    is verified nearest first. There are 8 leaves at least, and as many as the
+    sample's size allows at most (2,048), beyond which leaves consist of blocks.
     """
     spark = vectors.sparkSession
     rng = np.random.default_rng(seed)
@@ -160,7 +166,7 @@ def nearest_vectors(
     share = min(1.0, sample_rows / total)
     sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("unit").limit(sample_rows)
     points = np.array([r["unit"] for r in sample.collect()], np.float32).reshape(-1, dim) @ planes
-    depth = min(int(math.log2(sample_rows)) - 3, max(0, math.ceil(math.log2(total / leaf_rows))))
+    depth = min(int(math.log2(sample_rows)) - 3, max(3, math.ceil(math.log2(total / leaf_rows))))
     tree = KdTree(points.astype(np.float64), depth)
     id_type = dict(base.dtypes)["id"]
     limit = chi_square_quantile(probability, directions)
@@ -191,89 +197,163 @@ def nearest_vectors(
     stored = materialize(salted.mapInArrow(to_block, f"id {id_type}, unit array<float>, block long"), "leaves")
     asked = stored if queries is None else stored.join(queries.select("id").distinct(), "id", "left_semi")
     parts = int(start[-1])
-
-    def visit(asking: DataFrame) -> DataFrame:
-        """asking: (id, unit, block, radius); the k best of each query in each block it visits."""
-        rows = stored.select("block", F.lit(0).alias("asks"), "id", "unit", F.lit(0.0).alias("radius")).unionByName(
-            asking.select("block", F.lit(1).alias("asks"), "id", "unit", "radius")
+    piece_rows = 8 * leaf_rows
+
+    def visit(asking: DataFrame, asked_of: np.ndarray) -> DataFrame:
+        """asking: (id, unit, block, radius), asked_of: their number by block; the k best of each query in each block it visits."""
+        pieces = np.maximum(1, -(-asked_of // piece_rows))
+        own = F.element_at(F.array(*(F.lit(int(n)) for n in pieces)), (F.col("block") + 1).cast("int"))
+        everywhere = F.explode(F.sequence(F.lit(0), own - 1)).alias("piece")
+        rows = stored.select("block", everywhere, F.lit(0).alias("asks"), "id", "unit", F.lit(0.0).alias("radius")).unionByName(
+            asking.select("block", F.pmod(F.xxhash64("id"), own).cast("int").alias("piece"), F.lit(1).alias("asks"), "id", "unit", "radius")
         )
 
         def search(batches):
-            here, ids, held, far = -1, [], None, None
+            here, ids, held = None, [], []
             for batch in batches:
-                block, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                block, asks = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 edges = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(asks) != 0)) + 1, [len(block)]])
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     part = batch.slice(a, b - a)
-                    unit = _matrix(part.column(3), dim)
+                    unit = _matrix(part.column(4), dim)
                     if not asks[a]:
                         if block[a] != here:
-                            here, ids, held, far = int(block[a]), [], [], None
-                        ids += part.column(2).to_pylist()
+                            here, ids, held = block[a], [], []
+                        ids += part.column(3).to_pylist()
                         held.append(unit)
-                        continue
-                    if block[a] != here:
-                        continue
-                    if far is None:
-                        held = np.concatenate(held)
-                        far = held @ planes
-                    yield from compare(part.column(2).to_pylist(), unit, part.column(4).to_numpy(), ids, held, far)
+                    elif block[a] == here:
+                        if isinstance(held, list):
+                            held, ids = np.concatenate(held), np.array(ids, object)
+                            far = held @ planes
+                            far = np.concatenate([far, (far * far).sum(1, keepdims=True), np.ones((len(far), 1), np.float32)], axis=1)
+                        yield from compare(np.array(part.column(3).to_pylist(), object), unit, part.column(5).to_numpy(), ids, held, far)
+
+        def cosines(unit, i, held, j):
+            out = np.empty(len(i), np.float64)
+            for s in range(0, len(i), 100_000):
+                out[s : s + 100_000] = np.einsum("ij,ij->i", unit[i[s : s + 100_000]], held[j[s : s + 100_000]], dtype=np.float64)
+            return out
 
         def compare(names, unit, radius, ids, held, far):
             near = unit @ planes
-            for a in range(0, len(names), 256):
-                q, r = near[a : a + 256], radius[a : a + 256]
-                gap = (q * q).sum(1)[:, None] + (far * far).sum(1)[None] - 2 * (q @ far.T)
-                i, j = np.nonzero(gap <= r[:, None].astype(np.float32) * np.float32(1.0001) + np.float32(1e-5))
-                if not len(i):
-                    continue
-                cosine = np.empty(len(i), np.float64)
-                for s in range(0, len(i), 200_000):
-                    cosine[s : s + 200_000] = np.einsum("ij,ij->i", unit[a + i[s : s + 200_000]], held[j[s : s + 200_000]], dtype=np.float64)
-                ok = np.array([names[a + x] != ids[y] for x, y in zip(i.tolist(), j.tolist())], bool) if min_cosine is None else cosine >= min_cosine - 1e-6
-                i, j, cosine = i[ok], j[ok], cosine[ok]
-                order = np.lexsort((-cosine, i))
-                i, j, cosine = i[order], j[order], cosine[order]
-                # k and the query itself, and all that tie with the last, so that ids can decide
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                last = cosine[np.minimum(np.searchsorted(i, i) + k, np.searchsorted(i, i, "right") - 1)]
-                keep = (rank <= k) | (cosine >= last - 1e-9)
-                out = [(names[a + x], ids[y], c) for x, y, c in zip(i[keep].tolist(), j[keep].tolist(), cosine[keep].tolist()) if names[a + x] != ids[y]]
-                if out:
-                    columns = list(zip(*out))
-                    kind = pa.string() if id_type == "string" else None
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2])], names=["query", "neighbour", "cosine"])
-
-        # more partitions than blocks, so that few blocks meet in one
-        return rows.repartition(4 * parts, "block").sortWithinPartitions("block", "asks").mapInArrow(search, f"query {id_type}, neighbour {id_type}, cosine double")
+            near = np.concatenate([-2 * near, np.ones((len(near), 1), np.float32), (near * near).sum(1, keepdims=True)], axis=1)
+            for a in range(0, len(names), 128):
+                q, u, r = near[a : a + 128], unit[a : a + 128], radius[a : a + 128]
+                name = names[a : a + 128]
+                if min_cosine is None:  # the nearest by projection bound the radius of queries that have none yet
+                    r = first_bound(q, u, r, name, ids, held, far)
+                allowed = (r * 1.0001 + 1e-5).astype(np.float32)[:, None]
+                found = []
+                for b in range(0, len(far), 4096):
+                    gap = q @ far[b : b + 4096].T
+                    i, j = np.nonzero(gap <= allowed)
+                    found.append((i, j + b, gap[i, j]))
+                i, j, gap = (np.concatenate(x) for x in zip(*found))
+                if len(i) > len(q) * len(far) / 50 and len(far) > k + 1:  # so many that one product of matrices costs less than the pairs one by one
+                    i, j, gap = promising(i, j, gap, u, held)
+                if len(i):
+                    yield from verified(i, j, gap, u, name, ids, held)
+
+        def promising(i, j, gap, u, held):
+            """Of the candidates those that single precision puts among the k + 1 best of their query, or near them."""
+            cosine = np.full((len(u), len(held)), -3.0, np.float32)
+            cosine[i, j] = (u @ held.T)[i, j]
+            least = np.partition(cosine, -k - 1, axis=1)[:, -k - 1] - np.float32(1e-5)
+            keep = cosine[i, j] >= least[i]
+            return i[keep], j[keep], gap[keep]
+
+        def first_bound(q, u, r, name, ids, held, far):
+            m = min(4 * k + 1, len(far))
+            gap = q @ far.T
+            j = np.argpartition(gap, m - 1, axis=1)[:, :m] if m < len(far) else np.tile(np.arange(len(far)), (len(q), 1))
+            i = np.repeat(np.arange(len(q)), m)
+            cosine = np.where(name[i] == ids[j.ravel()], -2.0, cosines(u, i, held, j.ravel())).reshape(len(q), m)
+            kth = np.sort(cosine, axis=1)[:, -k] if m > k else np.full(len(q), -1.0)
+            return np.minimum(r, np.where(kth > -1, limit * 2 * (1 - kth) + 1e-6, r))
+
+        def verified(i, j, gap, u, name, ids, held):
+            """Verifies candidates in order of projected distance, in rounds of 16, 48, 144 ... a query, until the test stops it."""
+            order = np.lexsort((gap, i))
+            i, j, gap = i[order], j[order], gap[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            cosine = np.full(len(i), -3.0)
+            kth = np.full(len(name), -1.0 if min_cosine is None else min_cosine)
+            low, high = 0, 16
+            while True:
+                now = np.flatnonzero((place >= low) & (place < high) & (gap <= limit * 2 * (1 - kth[i]) * 1.0001 + 1e-5))
+                if len(now):
+                    c = cosines(u, i[now], held, j[now])
+                    c[name[i[now]] == ids[j[now]]] = -3.0
+                    cosine[now] = c
+                if high > place.max():
+                    break
+                done = np.flatnonzero(cosine > -3)
+                best = done[np.lexsort((-cosine[done], i[done]))]
+                at = np.arange(len(best)) - np.searchsorted(i[best], i[best])
+                ends = best[at == k - 1]
+                kth[i[ends]] = np.maximum(kth[i[ends]], cosine[ends])
+                low, high = high, high * 3
+            keep = cosine >= (-1.5 if min_cosine is None else min_cosine - 1e-6)
+            i, j, cosine = i[keep], j[keep], cosine[keep]
+            order = np.lexsort((-cosine, i))
+            i, j, cosine = i[order], j[order], cosine[order]
+            # k, and all that tie with the last, so that ids can decide
+            first = np.searchsorted(i, i)
+            last = cosine[np.minimum(first + k - 1, np.searchsorted(i, i, "right") - 1)]
+            keep = cosine >= last - 1e-9
+            i, j, cosine = i[keep], j[keep], cosine[keep]
+            if len(i):
+                kind = pa.string() if id_type == "string" else None
+                yield pa.RecordBatch.from_arrays([pa.array(name[i].tolist(), kind), pa.array(ids[j].tolist(), kind), pa.array(cosine)], names=["query", "neighbour", "cosine"])
+
+        # more partitions than pieces, so that few meet in one
+        tasks = rows.repartition(4 * int(pieces.sum()), "block", "piece").sortWithinPartitions("block", "piece", "asks")
+        return tasks.select("block", "piece", "asks", "id", "unit", "radius").mapInArrow(search, f"query {id_type}, neighbour {id_type}, cosine double")
 
     def best(found: DataFrame) -> DataFrame:
         top = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k).alias("top"))
         return top.select("query", F.inline("top")).select("query", "neighbour", (-F.col("far")).alias("cosine"))
 
-    first = materialize(best(visit(asked.withColumn("radius", F.lit(limit * min(widest, 4.0))))), "own")
+    asked_of = np.zeros(parts, np.int64)
+    for r in asked.groupBy("block").count().collect():  # a row a block
+        asked_of[r["block"]] = r["count"]
+    first = materialize(best(visit(asked.withColumn("radius", F.lit(limit * min(widest, 4.0))), asked_of)), "own")
     kth = first.groupBy("query").agg(F.count("*").alias("n"), F.min("cosine").alias("c")).select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("c")).alias("c"))
     reach = F.least(F.lit(widest), F.coalesce(2 * (1 - F.col("c")), F.lit(4.0)))
-    asking = asked.join(kth, "id", "left").withColumn("radius", reach * F.lit(limit) + F.lit(1e-6))
+    asking = asked.join(kth, "id", "left").select("id", "unit", "block", (reach * F.lit(limit) + F.lit(1e-6)).alias("radius"))
+    owner = np.repeat(np.arange(len(blocks)), blocks)
+
+    def reached(part):
+        """(row, block) of the blocks that each row's radius reaches, but its own."""
+        projected = (_matrix(part.column(1), dim) @ planes).astype(np.float64)
+        near = (tree.distances(projected) <= part.column(3).to_numpy()[:, None])[:, owner]
+        near[np.arange(part.num_rows), part.column(2).to_numpy()] = False
+        return np.nonzero(near)
+
+    def count_reached(batches):
+        total = np.zeros(parts, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                total += np.bincount(reached(batch.slice(at, 2000))[1], minlength=parts)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["block", "n"])
 
     def to_reached(batches):
-        owner = np.repeat(np.arange(len(blocks)), blocks)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                projected = (_matrix(part.column(1), dim) @ planes).astype(np.float64)
-                radius, own = part.column(3).to_numpy(), part.column(2).to_numpy()
-                near = (tree.distances(projected) <= radius[:, None])[:, owner]
-                near[np.arange(len(own)), own] = False
-                i, block = np.nonzero(near)
+                i, block = reached(part)
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(block, pa.int64()), pa.array(radius[i])],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(block, pa.int64()), part.column(3).take(take)],
                     names=["id", "unit", "block", "radius"],
                 )
 
-    rest = asking.select("id", "unit", "block", "radius").mapInArrow(to_reached, f"id {id_type}, unit array<float>, block long, radius double")
-    return best(first.unionByName(visit(rest)))
+    asked_of = np.zeros(parts, np.int64)
+    for r in asking.mapInArrow(count_reached, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # a row a block
+        asked_of[r["block"]] = r["n"]
+    rest = asking.mapInArrow(to_reached, f"id {id_type}, unit array<float>, block long, radius double")
+    return best(first.unionByName(visit(rest, asked_of)))
 
 
 def similar_pairs(neighbours: DataFrame, min_cosine: float) -> DataFrame:
