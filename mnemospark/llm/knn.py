@@ -197,7 +197,7 @@ def nearest_vectors(
     stored = materialize(salted.mapInArrow(to_block, f"id {id_type}, unit array<float>, block long"), "leaves")
     asked = stored if queries is None else stored.join(queries.select("id").distinct(), "id", "left_semi")
     parts = int(start[-1])
-    piece_rows = 8 * leaf_rows
+    piece_rows = 2 * leaf_rows
 
     def visit(asking: DataFrame, asked_of: np.ndarray) -> DataFrame:
         """asking: (id, unit, block, radius), asked_of: their number by block; the k best of each query in each block it visits."""
@@ -246,8 +246,9 @@ def nearest_vectors(
                 found = []
                 for b in range(0, len(far), 4096):
                     gap = q @ far[b : b + 4096].T
-                    i, j = np.nonzero(gap <= allowed)
-                    found.append((i, j + b, gap[i, j]))
+                    at = np.flatnonzero(gap <= allowed)
+                    i, j = np.divmod(at, gap.shape[1])
+                    found.append((i, j + b, gap.ravel()[at]))
                 i, j, gap = (np.concatenate(x) for x in zip(*found))
                 if len(i) > len(q) * len(far) / 50 and len(far) > k + 1:  # so many that one product of matrices costs less than the pairs one by one
                     i, j, gap = promising(i, j, gap, u, held)
