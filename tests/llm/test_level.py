@@ -43,3 +43,16 @@ def test_grades(spark, model):
 def test_too_few_samples(spark):
     with pytest.raises(ValueError):
         level.train_level_model(spark.createDataFrame([("a", 1)], "sample_text string, grade long"))
+
+
+def test_validation_by_source(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    samples = spark.read.parquet(f"{FOLDER}/level_samples.parquet").selectExpr("*", "concat('s', sample_id % 4) AS source")
+    assert level.train_level_model(samples, source_col="source").held_out_accuracy >= 0.9
+    with pytest.raises(ValueError):
+        level.train_level_model(samples.withColumn("source", samples["source"].substr(1, 1)), source_col="source")
+
+
+def test_a_block_that_is_not_closed():
+    assert level.prose("a\n```\ncode\n```\nb") .split() == ["a", "b"] and level.prose("a\n```\ncode\n```\nb\n```\nrest").split() == ["a", "b", "rest"]
