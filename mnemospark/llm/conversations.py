@@ -129,6 +129,33 @@ def resolve_parents(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
 
 
+def root_to_leaf_paths(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(session_id, leaf, position, id): the messages on the way from a root (position 0) to each leaf, a message that none names as its parent.
+
+    Ancestors are found by doubling: round k adds to each leaf those 2^k to
+    2^(k+1) - 1 steps up, by pointers of length 2^k, so paths of n take log2(n)
+    rounds. A branched conversation has a path for each leaf; one row of a path
+    is one row here, however long it is. Leaves whose chain ends at an absent
+    message, and messages within or below cycles, have no path.
+    """
+    named = nodes.select("session_id", "id", "parent")
+    resolved = materialize(resolve_parents(nodes, max_rounds).select("session_id", "id", "hops", "status"), "resolved")
+    parents = named.filter("parent is not null").select("session_id", F.col("parent").alias("id")).distinct()
+    leaves = named.join(parents, ["session_id", "id"], "left_anti").join(resolved, ["session_id", "id"], "left").filter("coalesce(status, 'ok') = 'ok'")
+    known = materialize(leaves.select("session_id", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"), F.coalesce("hops", F.lit(0)).alias("depth")), "paths")
+    longest = known.agg(F.max("depth")).first()[0] or 0
+    steps = materialize(named.filter("parent is not null").join(resolved.filter("status = 'ok'"), ["session_id", "id"]).select("session_id", "id", F.col("parent").alias("to")), "steps")
+    length = 1
+    while length <= longest:
+        more = known.join(steps, ["session_id", "id"]).select("session_id", "leaf", F.col("to").alias("id"), (F.col("up") + length).alias("up"), "depth")
+        known = materialize(known.unionByName(more), "paths")
+        next_ = steps.select("session_id", F.col("id").alias("to"), F.col("to").alias("further"))
+        length *= 2
+        if length <= longest:
+            steps = materialize(steps.join(next_, ["session_id", "to"]).select("session_id", "id", F.col("further").alias("to")), "steps")
+    return known.select("session_id", "leaf", (F.col("depth") - F.col("up")).alias("position"), "id")
+
+
 def _in_order(nodes: DataFrame, *columns: str) -> DataFrame:
     """Sorted by session and seq over range partitions, so that one session may fill many of them."""
     rows = nodes.select("session_id", "seq", *columns)
@@ -243,7 +270,8 @@ def _turns(batches):
 def rebuild_conversations(messages: DataFrame) -> DataFrame:
     """(session_id, turn, user_seq, user_message, llm_message, root_id) of every sound session, ordered by turn within it.
 
-    Sound sessions are those session_defects finds nothing in. A turn is a user
+    Sound sessions are those session_defects finds nothing in and whose parents
+    form no cycle. A turn is a user
     message with words and the assistant messages with words up to the next
     one, joined by line feeds in order of seq; root_id is the user message the
     first answer's parents lead to, the user message itself where it names none.
@@ -253,8 +281,9 @@ def rebuild_conversations(messages: DataFrame) -> DataFrame:
     speakers = nodes.filter(F.col("role").isin("user", "assistant"))
     parents = resolve_parents(speakers)
     sound = session_defects(nodes.drop("text"), parents).filter("defect is null").select("session_id")
+    sound = sound.join(parents.filter("status = 'cycle'").select("session_id").distinct(), "session_id", "left_anti")
     said = speakers.filter("words").join(sound, "session_id", "left_semi")
-    said = said.join(parents.select("session_id", "id", "root"), ["session_id", "id"], "left").withColumn("root", F.coalesce("root", F.when(F.col("role") == "user", F.col("id"))))
+    said = said.join(parents.select("session_id", "id", "root"), ["session_id", "id"], "left").withColumn("root", F.when(F.col("root").isNotNull(), F.col("root")).when((F.col("role") == "user") & F.col("parent").isNull(), F.col("id")))
     ordered = materialize(_in_order(said, "role", "text", "root").mapInArrow(_turns, _TURN), "turns")
     w = Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = (

@@ -43,3 +43,16 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, ranks_path: str | No
             )
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(count, schema)
+
+
+def decode_corpus(df: DataFrame, id_col: str, ids_col: str, ranks_path: str | None = None) -> DataFrame:
+    """(id, text) of rows of token ids, the inverse of encode_corpus; null and empty lists give an empty text, bytes that are no UTF-8 the replacement character."""
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def decode(batches):
+        token = bpe.load(ranks_path).token
+        for batch in batches:
+            texts = [b"".join(map(token.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return df.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("__ids")).mapInArrow(decode, schema)

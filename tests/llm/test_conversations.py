@@ -90,3 +90,20 @@ def test_pointer_jumping(spark):
     assert {got[("s", n)][2] for n in ("x", "y", "w", "me")} == {"cycle"} and got[("s", "x")][0] is None
     assert got[("s", "o")][2] == got[("s", "p")][2] == got[("t", "c")][2] == "orphan"
     assert got[("s", "kk")][::2] == ("k", "ok")
+
+
+def test_root_to_leaf_paths(spark):
+    nodes = [("s", "r", "user", None), *(("s", f"c{i}", "user", f"c{i - 1}" if i else "r") for i in range(9)), ("s", "b", "assistant", "c3"), ("s", "x", "user", "y"), ("s", "y", "user", "x"), ("s", "z", "user", "x"), ("s", "o", "user", "gone"), ("t", "only", "user", None)]
+    df = spark.createDataFrame(nodes, "session_id string, id string, role string, parent string")
+    got: dict = {}
+    for r in C.root_to_leaf_paths(df).collect():
+        got.setdefault((r["session_id"], r["leaf"]), {})[r["position"]] = r["id"]
+    want = {("s", "c8"): ["r", *(f"c{i}" for i in range(9))], ("s", "b"): ["r", "c0", "c1", "c2", "c3", "b"], ("t", "only"): ["only"]}
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want
+    assert C.root_to_leaf_paths(df.limit(0)).count() == 0
+
+
+def test_cycles_make_no_conversation(spark):
+    items = [("u1", "s", "user", 1, user("q", parent="u2")), ("u2", "s", "user", 2, user("..", parent="u1")), ("a", "s", "assistant", 3, answer("a", parent="u1"))]
+    df = spark.createDataFrame(rows(*items), SCHEMA)
+    assert C.defective_sessions(df).count() == 0 and C.rebuild_conversations(df).count() == 0
