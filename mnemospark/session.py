@@ -51,7 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table written to the shared folder: cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by materialize that nothing reads any more."""
+    for df in tables:
+        remove_folder(df.sparkSession, df._written_to)
 
 
 def _path(spark: SparkSession, path: str):
