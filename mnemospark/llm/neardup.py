@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 _GROUPS = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -233,8 +233,8 @@ def _could_be_similar(left: np.ndarray, right: np.ndarray, threshold: float, wit
     return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def _exact_pairs(signed: DataFrame, buckets: int, threshold: float, block: int) -> DataFrame:
-    """(a, b): all pairs of sets that share one of their rare runs and could be similar."""
+def _exact_pairs(signed: DataFrame, buckets: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), all pairs of sets that share one of their rare runs and could be similar, and the written table they are read from."""
 
     def deal(batches):
         """Packs the entries into one array for each bucket, equal sets once."""
@@ -314,7 +314,7 @@ def _exact_pairs(signed: DataFrame, buckets: int, threshold: float, block: int)
         right = large.select("key", F.col("own").alias("other"), F.col("entries").alias("right"))
         tasks = large.join(right, "key").filter("own <= other").select(F.col("entries").alias("left"), "right", (F.col("own") == F.col("other")).alias("same"))
         pairs = pairs.unionByName(tasks.repartition(buckets).mapInArrow(compare, "a long, b long"))
-    return pairs
+    return pairs, met
 
 
 _HANDED = ["a", "b", "key", "own", "blocks", "entries"]
@@ -465,7 +465,7 @@ def similar_texts(
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names=["a", "b", "large"])
 
     if exact:
-        pairs = _exact_pairs(signed, buckets, threshold, block)
+        pairs, found = _exact_pairs(signed, buckets, threshold, block)
     else:
         found = materialize(dealt.repartition(buckets, "bucket").select("bucket", "keys", "names").mapInArrow(pair_up, "a long, b long, large boolean"), "pairs")
         pairs = found.filter("not large").select("a", "b")
@@ -483,8 +483,11 @@ def similar_texts(
         .filter(F.lit(exact) | (differ <= F.lit(_SKETCH_BITS - _least_agreement(threshold))))
         .select("a", "b", "representative_a", "representative_b")
     )
-    links = _verify(materialize(checked, "candidates"), source, run, least, threshold)
-    return materialize(links, "links"), members
+    candidates = materialize(checked, "candidates")
+    links, texts = _verify(candidates, source, run, least, threshold)
+    links = materialize(links, "links")
+    discard(found, candidates, texts)
+    return links, members
 
 
 def _least_agreement(threshold: float) -> int:
@@ -514,8 +517,8 @@ def _block_pairs(large: DataFrame, block: int) -> DataFrame:
     return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _verify(candidates: DataFrame, source: DataFrame, run: int, least: int, threshold: float) -> DataFrame:
-    """The candidates whose whole sets reach the threshold; texts travel only for representatives that have a candidate.
+def _verify(candidates: DataFrame, source: DataFrame, run: int, least: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The candidates whose whole sets reach the threshold, and the written texts; texts travel only for representatives that have a candidate.
 
     A representative's id may have several texts; the pair counts by the most similar two.
     """
@@ -556,7 +559,7 @@ def _verify(candidates: DataFrame, source: DataFrame, run: int, least: int, thre
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "similarity"])
 
     found = paired.select("representative_a", "representative_b", "texts_a", "texts_b").mapInArrow(verify, "a string, b string, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).filter("a <> b")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).filter("a <> b"), texts
 
 
 def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:
