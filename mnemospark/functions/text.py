@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -256,3 +259,24 @@ def has_answer(text: _C, answers: Column) -> Column:
     joined = lambda x: F.concat(F.lit(" "), F.array_join(answer_tokens(x), " "), F.lit(" "))
     near = joined(_col(text))
     return F.coalesce(F.exists(F.filter(answers, lambda a: a.isNotNull()), lambda a: F.contains(near, joined(a)) | (F.size(answer_tokens(a)) == 0)), F.lit(False))
+
+
+def piece_tokens(text: _C, model: str | None = None) -> Column:
+    """Number of pieces by a SentencePiece model file, in batches; char_tokens where there is no model or library."""
+    model = model or os.environ.get("MNEMOSPARK_PIECE_MODEL")
+    try:
+        import sentencepiece  # noqa: F401
+    except ImportError:
+        model = None
+    if not model or not os.path.exists(model):
+        return char_tokens(text)
+
+    @F.pandas_udf("bigint")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sentencepiece
+
+        codec = sentencepiece.SentencePieceProcessor(model_file=model)
+        for batch in texts:
+            yield pd.Series([len(x) for x in codec.encode(batch.fillna("").tolist(), num_threads=1)], dtype="int64")
+
+    return count(_col(text))

@@ -51,11 +51,14 @@ def due_sessions(pending: DataFrame, threshold: int, percent: int) -> DataFrame:
     return pending.filter(F.col("tokens") >= threshold * percent / 100)
 
 
-def by_family(sessions: DataFrame, families: DataFrame) -> DataFrame:
-    """(family, sessions) by the families' prefixes (family, prefix): the id begins with the prefix and a dash, or is it.
+def by_family(sessions: DataFrame, families: DataFrame, most: int = 10) -> DataFrame:
+    """(family, sessions, first): number of sessions by family (family, prefix), and the first `most` by id; the id is the prefix, or begins with it and a dash.
 
     The families are a dimension of a few rows; Spark broadcasts it by its size.
+    Sessions of no family are `custom`. Ids differ.
     """
     match = (F.col("session_id") == F.col("prefix")) | F.startswith(F.col("session_id"), F.concat("prefix", F.lit("-")))
-    rows = sessions.join(families, match, "left")
-    return rows.groupBy(F.coalesce("family", F.lit("custom")).alias("family")).agg(F.count("*").alias("sessions"))
+    rows = sessions.join(families, match, "left").select("session_id", F.coalesce("family", F.lit("custom")).alias("family"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("family").orderBy("session_id"))).filter(F.col("n") <= most)
+    listed = first.groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("session_id")), ",").alias("first"))
+    return rows.groupBy("family").agg(F.count("*").alias("sessions")).join(listed, "family")

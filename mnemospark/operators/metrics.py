@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stems import stems
 from ..functions.text import normalise_answer
 from . import sequences
 
@@ -45,10 +46,24 @@ def first_sessions(ranked: DataFrame, query: str, session: str, k: int) -> DataF
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__best")
 
 
+def answer_words(text: Column) -> Column:
+    """The words of a normalised answer."""
+    return F.filter(F.split(normalise_answer(text), " "), lambda w: w != "")
+
+
 def token_f1(prediction: Column, truth: Column) -> Column:
     """F1 of the multisets of normalised words."""
-    words = lambda x: F.filter(F.split(normalise_answer(x), " "), lambda w: w != "")
-    p, t = words(prediction), words(truth)
+    return words_f1(answer_words(prediction), answer_words(truth))
+
+
+def with_stemmed_f1(df: DataFrame, prediction: str, truth: str, name: str = "f1") -> DataFrame:
+    """Adds the F1 of the multisets of the stems of normalised words."""
+    rows = df.withColumns({"__p": stems(answer_words(F.col(prediction))), "__t": stems(answer_words(F.col(truth)))})
+    return rows.withColumn(name, words_f1(F.col("__p"), F.col("__t"))).drop("__p", "__t")
+
+
+def words_f1(p: Column, t: Column) -> Column:
+    """F1 of two multisets of words."""
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
     same = F.aggregate(F.transform(F.array_distinct(p), lambda w: F.least(count(p, w), count(t, w))), F.lit(0), lambda s, x: s + x)
     return F.when(same > 0, 2.0 * same / (F.size(p) + F.size(t))).otherwise(F.lit(0.0))

@@ -107,6 +107,13 @@ def _without_null_safe(rows: DataFrame, keys: DataFrame, names: list[str]) -> Da
     return rows.join(other, match, "left_anti")
 
 
+def list_memories(memories: DataFrame) -> DataFrame:
+    """(session_id, period, n, memory_id): the memories of each session and period with their place by age and id; a memory written twice once."""
+    rows = memories.groupBy("session_id", "period", "memory_id").agg(F.min("archived_at").alias("archived_at"))
+    w = Window.partitionBy("session_id", "period").orderBy("archived_at", "memory_id")
+    return rows.select("session_id", "period", F.row_number().over(w).alias("n"), "memory_id")
+
+
 def linked_memories(memories: DataFrame, link: str, owner: str) -> DataFrame:
     """(owner, memory_id, n): memories of one kind of link (standalone ones of a session, linked ones of a project) with their place by age and id."""
     w = Window.partitionBy(owner).orderBy("archived_at", "memory_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import conflicts, increments, keyword, lifecycle, metrics, search, storage, turns
 from ..session import exists, load, move, new_folder, shared_folder, version
-from ..sources import context, documents
+from ..sources import context, documents, packed
 from ..streaming import totals
 from ..streaming.deliveries import repeated_deliveries
 from ..vocab import SCENARIO_WORDS, TOKENIZER_FACTORS
@@ -346,6 +346,37 @@ def source_documents(spark, folder):
     return documents.from_documents(documents.to_documents(rows), rows.schema.simpleString()).distinct()
 
 
+@query("SELECT DISTINCT memory_id, period, importance, access_count, truncated FROM memories")
+def source_packed_documents(spark, folder):
+    rows = load(spark, folder, "memories").select("memory_id", "period", "importance", "access_count", "truncated")
+    return packed.from_packed(packed.to_packed(rows, "memory_id"), "memory_id", rows.schema.simpleString()).drop("memory_id_of").distinct()
+
+
+@query(f"WITH {_MESSAGES}, p AS (SELECT id, CASE WHEN json_type(j->'$.content') = 'ARRAY' THEN CAST(j->'$.content' AS JSON[]) END AS parts FROM parsed) SELECT id, array_to_string(list_transform(list_filter(parts, lambda x: x->>'$.text' IS NOT NULL), lambda x: x->>'$.text'), chr(10)) AS text FROM p WHERE parts IS NOT NULL AND len(parts) > 0")
+def join_messages_parts(spark, folder):
+    """Content parts as rows of their own, as the older layout has them, joined to their messages again."""
+    rows = storage.latest(load(spark, folder, "session_messages").filter("session_id is not null and seq is not null").select("id", "data", "received_at"), ["id"], ["received_at"])
+    lists = rows.select("id", F.posexplode(F.expr("try_variant_get(try_parse_json(data), '$.content', 'array<variant>')")).alias("at", "part"))
+    parts = lists.select(F.col("id").alias("message_id"), F.format_string("%s-%06d", "id", "at").alias("id"), F.to_json("part").alias("data"))
+    return documents.with_parts(rows.select("id"), parts).filter("text is not null").select("id", "text")
+
+
+@query("SELECT doc_id, md5(text || chr(10) || '<!-- notes -->' || chr(10) || 'two' || chr(10) || 'three' || chr(10) || '<!-- /notes -->' || chr(10)) AS digest FROM documents WHERE text IS NOT NULL")
+def scalar_edit_section(spark, folder):
+    """A section is added to each text, replaced, and appended to."""
+    text = tx.edit_section("text", "notes", "one")
+    text = tx.edit_section(tx.edit_section(text, "notes", "two"), "notes", "three", "append")
+    return load(spark, folder, "documents").filter("text is not null").select("doc_id", F.md5(text).alias("digest"))
+
+
+@query("SELECT event_id, date_trunc('minute', ts) AS first, date_trunc('minute', ts) AS second, props AS inner_json FROM events")
+def scalar_dialogue_times(spark, folder):
+    """Times written in the two ways of dialogues and read again, and JSON out of a fence."""
+    ts = F.col("ts").cast("timestamp")
+    rows = load(spark, folder, "events").select("event_id", F.date_format(ts, "yyyy/MM/dd (EEE) HH:mm").alias("a"), F.concat(F.lower(F.date_format(ts, "h:mm a")), F.date_format(ts, "' on 'd MMMM, yyyy")).alias("b"), F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone.")).alias("c"))
+    return rows.select("event_id", tx.dialogue_time("a").cast("timestamp_ntz").alias("first"), tx.dialogue_time("b").cast("timestamp_ntz").alias("second"), tx.fenced_json("c").alias("inner_json"))
+
+
 # Storage
 
 
@@ -359,10 +390,9 @@ def storage_project_memories(spark, folder):
     return load(spark, folder, "memories").select("project_id", "memory_id").filter("project_id is not null").distinct()
 
 
-@query("SELECT memory_id, session_id, max(received_at) AS received_at FROM memories WHERE period = 'weekly' GROUP BY memory_id, session_id")
+@query("WITH m AS (SELECT session_id, period, memory_id, min(archived_at) AS archived_at FROM memories GROUP BY session_id, period, memory_id) SELECT session_id, period, row_number() OVER (PARTITION BY session_id, period ORDER BY archived_at NULLS FIRST, memory_id) AS n, memory_id FROM m")
 def storage_list_memories(spark, folder):
-    rows = load(spark, folder, "memories").filter("period = 'weekly'")
-    return rows.groupBy("memory_id", "session_id").agg(F.max("received_at").alias("received_at"))
+    return storage.list_memories(load(spark, folder, "memories"))
 
 
 @query("SELECT session_id, max(saved_at) AS saved_at, max_by(last_seq, saved_at) AS last_seq FROM (SELECT saved_at, unnest(map_entries(last_archived_seq)).key AS session_id, unnest(map_entries(last_archived_seq)).value AS last_seq FROM sidecar_state) GROUP BY session_id")
@@ -727,6 +757,17 @@ def search_relevance(spark, folder):
     return search.relevant_hooks(load(spark, folder, "hooks"), "retry index 消息").select("hook_id", "scope", "relevance").distinct()
 
 
+@query(
+    q.bm25("(SELECT DISTINCT memory_id, session_id, content FROM memories WHERE session_id IS NOT NULL)", "memory_id", "content", SEARCHED_TERMS, by="session_id")
+    + " SELECT memory_id, session_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, memory_id) AS k FROM scored) WHERE k <= 2"
+)
+def search_sessions(spark, folder):
+    """The two best memories within each session, which sees no other's texts nor their statistics."""
+    index = _index(spark, folder, "memories", "memory_id", "content", {"session_id": "string"})
+    best = search.top(index.search(SEARCHED), 2, "id", by=["session_id"])
+    return best.select(F.col("id").alias("memory_id"), "session_id", F.round("score", 6).alias("score"))
+
+
 @query("WITH v AS (SELECT vec_id, CASE WHEN label = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE label <> 2) SELECT vec_id, round(score, 6) AS score FROM (" + q.cosine("v", "vec_id", "embedding", [(i % 7 - 3) / 3 for i in range(64)]) + ") WHERE score > 0")
 def search_vector_table(spark, folder):
     """All vectors are written, those of label 1 replaced by their reverse, those of label 2 removed."""
@@ -1074,7 +1115,7 @@ def increment_first_of_range(spark, folder):
     return increments.first_of_range(load(spark, folder, "session_messages"), ranges, 2).select("id", "n")
 
 
-@query("SELECT CASE WHEN source = 'chat' OR starts_with(source, 'chat-') THEN 'talk' WHEN regexp_matches(source, '^archive/[a-z]+(-|$)') THEN 'archive' ELSE 'custom' END AS family, count(*) AS sessions FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) GROUP BY 1")
+@query("WITH f AS (SELECT source, CASE WHEN source = 'chat' OR starts_with(source, 'chat-') THEN 'talk' WHEN regexp_matches(source, '^archive/[a-z]+(-|$)') THEN 'archive' ELSE 'custom' END AS family FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) SELECT family, count(*) AS sessions, array_to_string(list(source ORDER BY source)[:10], ',') AS first FROM f GROUP BY family")
 def increment_families(spark, folder):
     """Sources of documents as sessions; the archives' names up to a dash as the prefixes of one family."""
     sources = load(spark, folder, "documents").select(F.col("source").alias("session_id")).filter("session_id is not null").distinct()

@@ -2,13 +2,16 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
+from mnemospark.functions.stems import stem
 from mnemospark.operators import conflicts, increments, keyword, lifecycle, metrics, search, sequences, storage, turns
+from mnemospark.sources import packed
 from mnemospark.sources.context import parse_context
 from mnemospark.streaming import deliveries, totals
 from mnemospark.streaming.deliveries import keep_one_delivery, repeated_deliveries
@@ -142,7 +145,7 @@ def test_okapi_weights(spark):
 def test_families(spark):
     sessions = spark.createDataFrame([("one-x",), ("one",), ("onex-y",), ("two-a",), ("z",)], "session_id string")
     families = spark.createDataFrame([("A", "one"), ("B", "two")], "family string, prefix string")
-    assert {r["family"]: r["sessions"] for r in increments.by_family(sessions, families).collect()} == {"A": 2, "B": 1, "custom": 2}
+    assert {r["family"]: (r["sessions"], r["first"]) for r in increments.by_family(sessions, families, 1).collect()} == {"A": (2, "one"), "B": (1, "two-a"), "custom": (2, "onex-y")}
 
 
 def brute_batches(tokens, threshold):
@@ -323,6 +326,46 @@ def test_stratified_sample_has_n_rows(spark):
     assert metrics.stratified_sample(df.limit(0), "kind", "id", 5).count() == 0
 
 
+@pytest.mark.parametrize("word, want", [
+    ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"),
+    ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("hopefulness", "hope"),
+    ("electrical", "electr"), ("revival", "reviv"), ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"), ("oscillators", "oscil"), ("is", "is"),
+])
+def test_stems(word, want):
+    assert stem(word) == want
+
+
+def test_stemmed_f1(spark):
+    df = spark.createDataFrame([("The cats were running", "a cat runs"), ("", "x"), (None, "x")], "p string, t string")
+    got = [round(r["f1"], 4) for r in metrics.with_stemmed_f1(df, "p", "t").collect()]
+    assert got == [round(2 * 2 / 5, 4), 0.0, 0.0]
+
+
+def test_packed_documents(spark):
+    values = [None, True, 5, -7, 300, -(1 << 40), (1 << 64) - 1, 1.5, "é" * 40, "x", b"raw", [1, [2]], list(range(20)), {"a": {"b": None}}, {str(i): i for i in range(20)}]
+    assert all(packed.unpack(packed.pack(v)) == v for v in values)
+    for raw in (b"", b"\xdb\x00\x00\x00\x09x", b"\xc0\xc0", b"\xc1", b"\xd9\x02\xff\xfe"):
+        with pytest.raises(ValueError):
+            packed.unpack(raw)
+    df = spark.createDataFrame([("a", bytearray(packed.pack({"n": 4, "t": ["x"]}))), ("b", bytearray(b"\xc1")), ("c", None)], "id string, document binary")
+    assert {r["id_of"]: (r["n"], r["t"]) for r in packed.from_packed(df, "id", "n int, t array<string>").collect()} == {"a": (4, ["x"]), "b": (None, None), "c": (None, None)}
+
+
+def test_piece_tokens(spark):
+    df = spark.createDataFrame([("hello world",), (None,), ("",)], "t string")
+    model = os.path.join(os.environ.get("MNEMOSPARK_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+    if os.path.exists(model):
+        sentencepiece = pytest.importorskip("sentencepiece")
+        want = len(sentencepiece.SentencePieceProcessor(model_file=model).encode("hello world"))
+        assert [r[0] for r in df.select(tx.piece_tokens("t", model)).collect()] == [want, 0, 0]
+    assert df.select(tx.piece_tokens("t", "/no/such/model")).collect() == df.select(tx.char_tokens("t")).collect()
+
+
+def test_answers_in_texts(spark):
+    found = lambda t, *a: value(spark, tx.has_answer(F.lit(t), F.array(*map(F.lit, a))))
+    assert found("It was the Red House.", "red house") and not found("a bored house", "red house") and found("x", "") and not found("x", None) and not found(None, "x")
+
+
 def test_category_scores(spark):
     s = lambda c, p, t: value(spark, metrics.category_score(F.lit(c), F.lit(p), F.lit(t)))
     assert s(1, "red, blue", "blue, red") == 1.0
