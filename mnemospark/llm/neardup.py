@@ -152,6 +152,8 @@ class PrefixOrders:
 
 
 _SKETCH_BITS = 128
+#: Members of a group up to which its pairs are made where it is gathered.
+_AT_ONCE = 64
 #: Prefix keys that one task groups.
 _BUCKET_KEYS = 250_000
 
@@ -354,8 +356,10 @@ def similar_texts(
     six in a hundred at 0.6, of sets of 40 runs fourteen. What is found is
     verified on the whole sets. Null ids, null texts and texts too
     short have no rows. Every prefix key goes to one of a number of buckets that
-    grows with the input, packed in arrays; groups of more than `block`
-    representatives are compared block by block in tasks of their own.
+    grows with the input, packed in arrays; groups of more than 64
+    representatives are dealt into blocks of `block`, and every two blocks are
+    compared in a task of their own, which keeps the pairs whose sizes and
+    sketches allow the similarity.
     """
     spark = df.sparkSession
     orders = PrefixOrders(bands, rows)
@@ -448,12 +452,12 @@ def similar_texts(
         size = np.diff(np.append(begin, len(key)))
         pairs = []
         for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
-            if n > block:
+            if n > min(block, _AT_ONCE):
                 yield _pairs(name[at : at + n], np.full(n, int(key[at : at + 1].view(np.int64)[0])), True)
                 continue
             i, j = np.triu_indices(n, 1) if n > 2 else (np.array([0]), np.array([1]))
             pairs.append(np.stack([name[at + i], name[at + j]]))
-            if sum(p.shape[1] for p in pairs[-50:]) > 1_000_000:
+            if len(pairs) > 20_000:
                 both = np.unique(np.concatenate(pairs, axis=1), axis=1)
                 yield _pairs(both[0], both[1], False)
                 pairs = []
@@ -471,7 +475,7 @@ def similar_texts(
         pairs = found.filter("not large").select("a", "b")
         large = found.filter("large").select(F.col("a").alias("same"), F.col("b").alias("key"))
         if not large.isEmpty():
-            pairs = pairs.unionByName(_block_pairs(large, block))
+            pairs = pairs.unionByName(_block_pairs(large.join(marks, "same"), block, threshold))
     # size and sketch filter
     side = lambda x: marks.select(F.col("same").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("representative", "size", "mark0", "mark1")))
     differ = F.bit_count(F.col("mark0_a").bitwiseXOR(F.col("mark0_b"))) + F.bit_count(F.col("mark1_a").bitwiseXOR(F.col("mark1_b")))
@@ -496,22 +500,33 @@ def _least_agreement(threshold: float) -> int:
     return int(_SKETCH_BITS * p - 4.3 * (_SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
-def _block_pairs(large: DataFrame, block: int) -> DataFrame:
-    """All pairs of the members of large groups: members dealt into blocks, and every two blocks compared in a task."""
+def _block_pairs(large: DataFrame, block: int, threshold: float) -> DataFrame:
+    """Pairs of the members of large groups that their sizes and sketches allow: members dealt into blocks, and every two blocks compared in a task.
+
+    large: (key, same, size, mark0, mark1). Only what the filter of all pairs would keep leaves the task.
+    """
     counts = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     placed = large.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = placed.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "same"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "same", "size", "mark0", "mark1"
     )
+    most = _SKETCH_BITS - _least_agreement(threshold)
 
     def compare(table: pa.Table) -> pa.Table:
-        own, same = table.column("own").to_numpy(), table.column("same").to_numpy()
+        own, same, size, mark0, mark1 = (table.column(c).to_numpy() for c in ("own", "same", "size", "mark0", "mark1"))
+        mark0, mark1 = mark0.view(np.uint64), mark1.view(np.uint64)  # bits of a negative number are those of its absolute value
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.unique(same[own == i]), np.unique(same[own == j])
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        keep = a < b if i == j else a != b
-        a, b = a[keep], b[keep]
+        left, right = (np.flatnonzero(own == x)[np.unique(same[own == x], return_index=True)[1]] for x in (i, j))
+        found = []
+        for at in range(0, len(left), step := max(1, 500_000 // max(1, len(right)))):
+            u, v = left[at : at + step, None], right[None]
+            keep = np.minimum(size[u], size[v]) >= np.maximum(size[u], size[v]) * threshold - 1e-9
+            keep &= np.bitwise_count(mark0[u] ^ mark0[v]).astype(np.int32) + np.bitwise_count(mark1[u] ^ mark1[v]) <= most
+            keep &= same[u] < same[v] if i == j else same[u] != same[v]
+            x, y = np.nonzero(keep)
+            found.append(np.stack([same[u[x, 0]], same[v[0, y]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
