@@ -151,7 +151,9 @@ class PrefixOrders:
         return key * np.uint64(0x94D049BB133111EB) + np.arange(self.bands, dtype=np.uint64)[None, :] * _MULTIPLIER
 
 
-_SKETCH_BITS = 128
+_SKETCH_BITS = 256
+_PARITY_BITS = 128
+_MARKS = ("mark0", "mark1", "mark2", "mark3")
 #: Members of a group up to which its pairs are made where it is gathered.
 _AT_ONCE = 64
 #: Prefix keys that one task groups.
@@ -159,11 +161,10 @@ _BUCKET_KEYS = 250_000
 
 
 def sketch(firsts: np.ndarray) -> np.ndarray:
-    """Rows of two 64-bit numbers: one bit of each of 128 first runs spread over the groups."""
-    step = max(1, firsts.shape[1] // _SKETCH_BITS)
-    bits = (firsts[:, ::step][:, :_SKETCH_BITS] & np.uint32(1)).astype(bool)
-    bits = np.pad(bits, ((0, 0), (0, _SKETCH_BITS - bits.shape[1])))
-    return np.packbits(bits, axis=1).view(np.int64)
+    """Rows of four 64-bit numbers: one bit of each of 256 first runs spread over the groups."""
+    at = np.arange(_SKETCH_BITS) * firsts.shape[1] // _SKETCH_BITS
+    bits = np.ascontiguousarray(firsts[:, at] & np.uint32(1)).astype(bool)
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
 
 
 #: Buckets in which runs are counted for the order of the exact join.
@@ -197,10 +198,11 @@ def rare_runs(sets: RunSets, counts: np.ndarray, threshold: float) -> list[bytes
 
 
 def parity_marks(sets: RunSets) -> np.ndarray:
-    """Rows of two 64-bit numbers: of each of 128 bits whether an odd number of the set's runs fall on it."""
+    """Rows of four 64-bit numbers, the last two 0: of each of 128 bits whether an odd number of the set's runs fall on it."""
     at = ((sets.flat * _MULTIPLIER) >> np.uint64(57)).astype(np.int64)
-    odd = np.bincount(sets.owner * _SKETCH_BITS + at, minlength=len(sets.count) * _SKETCH_BITS) & 1
-    return np.packbits(odd.reshape(-1, _SKETCH_BITS).astype(bool), axis=1).view(np.int64)
+    odd = np.bincount(sets.owner * _PARITY_BITS + at, minlength=len(sets.count) * _PARITY_BITS) & 1
+    marks = np.packbits(odd.reshape(-1, _PARITY_BITS).astype(bool), axis=1).view(np.int64)
+    return np.concatenate([marks, np.zeros_like(marks)], axis=1)
 
 
 _ENTRY = np.dtype([("key", np.uint64), ("name", np.int64), ("mark0", np.uint64), ("mark1", np.uint64), ("size", np.int32), ("place", np.int32)])
@@ -335,7 +337,7 @@ def similar_texts(
     least: int,
     threshold: float = 0.6,
     bands: int = 64,
-    rows: int = 6,
+    rows: int = 5,
     block: int = 2000,
     exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
@@ -350,10 +352,10 @@ def similar_texts(
     With `exact`, for sets of few runs such as titles, no pair is missed; the
     work grows with the number of sets that share a rare run. Otherwise a pair
     of similarity s is missed with probability about (1 - s^rows)^bands if its
-    sets have some 300 runs or more: at 0.6 five in a hundred by the defaults,
-    at 0.67 three in a thousand. Smaller sets are missed more often, as their
-    first runs come from 8 groups that all prefixes share: of sets of 100 runs
-    six in a hundred at 0.6, of sets of 40 runs fourteen. What is found is
+    sets have some 100 runs or more: at 0.6 six in a thousand by the defaults,
+    at 0.67 one in ten thousand. Smaller sets are missed more often, as their
+    first runs come from 8 groups that all prefixes share: of sets of 40 runs
+    four in a hundred at 0.6, one in a hundred at 0.67. What is found is
     verified on the whole sets. Null ids, null texts and texts too
     short have no rows. Every prefix key goes to one of a number of buckets that
     grows with the input, packed in arrays; groups of more than 64
@@ -387,18 +389,17 @@ def similar_texts(
                         part.column(0).take(pa.array(there)),
                         pa.array(same.view(np.int64)),
                         pa.array(sets.count[there], pa.int32()),
-                        pa.array(marks[:, 0]),
-                        pa.array(marks[:, 1]),
+                        *(pa.array(marks[:, m]) for m in range(len(_MARKS))),
                         pa.array(keys, pa.binary()),
                     ],
-                    names=["id", "same", "size", "mark0", "mark1", "keys"],
+                    names=["id", "same", "size", *_MARKS, "keys"],
                 )
 
-    signed = materialize(source.mapInArrow(signatures, "id string, same long, size int, mark0 long, mark1 long, keys binary"), "signatures")
+    signed = materialize(source.mapInArrow(signatures, f"id string, same long, size int, {' long, '.join(_MARKS)} long, keys binary"), "signatures")
     # identical sets are one representative, whatever the number of copies
     marks = materialize(
         signed.groupBy("same").agg(
-            F.min("id").alias("representative"), F.max("size").alias("size"), F.max("mark0").alias("mark0"), F.max("mark1").alias("mark1")
+            F.min("id").alias("representative"), F.max("size").alias("size"), *(F.max(m).alias(m) for m in _MARKS)
         ),
         "marks",
     )
@@ -477,8 +478,8 @@ def similar_texts(
         if not large.isEmpty():
             pairs = pairs.unionByName(_block_pairs(large.join(marks, "same"), block, threshold))
     # size and sketch filter
-    side = lambda x: marks.select(F.col("same").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("representative", "size", "mark0", "mark1")))
-    differ = F.bit_count(F.col("mark0_a").bitwiseXOR(F.col("mark0_b"))) + F.bit_count(F.col("mark1_a").bitwiseXOR(F.col("mark1_b")))
+    side = lambda x: marks.select(F.col("same").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("representative", "size", *_MARKS)))
+    differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in _MARKS), F.lit(0))
     checked = (
         pairs.distinct()
         .join(side("a"), "a")
@@ -495,34 +496,34 @@ def similar_texts(
 
 
 def _least_agreement(threshold: float) -> int:
-    """Bits of 128 in which sets of that similarity agree but for one pair in 100,000."""
+    """Bits of 256 in which sets of that similarity agree but for one pair in 100,000, less three for what the groups of small sets vary."""
     p = (1 + threshold) / 2
-    return int(_SKETCH_BITS * p - 4.3 * (_SKETCH_BITS * p * (1 - p)) ** 0.5)
+    return int(_SKETCH_BITS * p - 4.3 * (_SKETCH_BITS * p * (1 - p)) ** 0.5) - 3
 
 
 def _block_pairs(large: DataFrame, block: int, threshold: float) -> DataFrame:
     """Pairs of the members of large groups that their sizes and sketches allow: members dealt into blocks, and every two blocks compared in a task.
 
-    large: (key, same, size, mark0, mark1). Only what the filter of all pairs would keep leaves the task.
+    large: (key, same, size, marks). Only what the filter of all pairs would keep leaves the task.
     """
     counts = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     placed = large.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = placed.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "same", "size", "mark0", "mark1"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "same", "size", *_MARKS
     )
     most = _SKETCH_BITS - _least_agreement(threshold)
 
     def compare(table: pa.Table) -> pa.Table:
-        own, same, size, mark0, mark1 = (table.column(c).to_numpy() for c in ("own", "same", "size", "mark0", "mark1"))
-        mark0, mark1 = mark0.view(np.uint64), mark1.view(np.uint64)  # bits of a negative number are those of its absolute value
+        own, same, size, *marks = (table.column(c).to_numpy() for c in ("own", "same", "size", *_MARKS))
+        marks = [m.view(np.uint64) for m in marks]  # bits of a negative number are those of its absolute value
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = (np.flatnonzero(own == x)[np.unique(same[own == x], return_index=True)[1]] for x in (i, j))
         found = []
         for at in range(0, len(left), step := max(1, 500_000 // max(1, len(right)))):
             u, v = left[at : at + step, None], right[None]
             keep = np.minimum(size[u], size[v]) >= np.maximum(size[u], size[v]) * threshold - 1e-9
-            keep &= np.bitwise_count(mark0[u] ^ mark0[v]).astype(np.int32) + np.bitwise_count(mark1[u] ^ mark1[v]) <= most
+            keep &= sum(np.bitwise_count(m[u] ^ m[v]).astype(np.int32) for m in marks) <= most
             keep &= same[u] < same[v] if i == j else same[u] != same[v]
             x, y = np.nonzero(keep)
             found.append(np.stack([same[u[x, 0]], same[v[0, y]]]))
