@@ -165,12 +165,18 @@ def _first_reach(sums: np.ndarray, start: np.ndarray, threshold: float) -> np.nd
 
 
 def batch_turns(turns: DataFrame, threshold: int, factor: float = 1.5) -> DataFrame:
-    """(session_id, batch, batch_tokens, turns, truncated): turns cut into batches at the threshold.
+    """(session_id, batch, batch_tokens, turns, truncated): the batches of number_batches, marked truncated from `factor` times the threshold on."""
+    numbered = number_batches(turns, threshold)
+    totals = numbered.groupBy("session_id", "batch").agg(F.sum("tokens").cast("long").alias("batch_tokens"), F.count("*").alias("turns"))
+    return totals.withColumn("truncated", F.col("batch_tokens") >= F.lit(threshold * factor))
+
+
+def number_batches(turns: DataFrame, threshold: int) -> DataFrame:
+    """(session_id, turn_id, batch, tokens): turns cut into batches at the threshold.
 
     A batch is closed by the turn that brings its tokens to the threshold, and
-    the next begins at 0; it is marked truncated from `factor` times the
-    threshold on. Columns turn_id, session_id, tokens (null counts as 0),
-    created_at; null sessions are one.
+    the next begins at 0. Columns turn_id, session_id, tokens (null counts as
+    0), created_at; null sessions are one.
 
     Where a batch begins depends on all turns before, but within a stretch only
     on the tokens carried into it: each stretch is summed up as a step function
@@ -219,15 +225,13 @@ def batch_turns(turns: DataFrame, threshold: int, factor: float = 1.5) -> DataFr
             number, at = number + 1, to
             if at < n:
                 to = int(_first_reach(sums, np.array([at]), threshold)[0])
-        return pd.DataFrame({"session_id": [key[0]] * n, "batch": batch, "tokens": tokens})
+        return pd.DataFrame({"session_id": [key[0]] * n, "turn_id": pdf["turn_id"], "batch": batch, "tokens": tokens})
 
     keys = ["session_id", sequences.PART]
     summaries = cut.groupBy(*keys).applyInPandas(sum_up, _SUMMARY)
     carried = summaries.groupBy("session_id").applyInPandas(pass_on, "session_id string, part long, carry double, number long")
     entered = cut.join(carried.withColumnRenamed("session_id", "__key"), cut["session_id"].eqNullSafe(F.col("__key")) & (cut[sequences.PART] == F.col("part"))).drop("__key", "part")
-    numbered = entered.groupBy(*keys).applyInPandas(assign, "session_id string, batch long, tokens double")
-    totals = numbered.groupBy("session_id", "batch").agg(F.sum("tokens").cast("long").alias("batch_tokens"), F.count("*").alias("turns"))
-    return totals.withColumn("truncated", F.col("batch_tokens") >= F.lit(threshold * factor))
+    return entered.groupBy(*keys).applyInPandas(assign, f"session_id string, turn_id {dict(turns.dtypes)['turn_id']}, batch long, tokens double")
 
 
 def turns_text(turns: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -212,13 +212,13 @@ def aggregate_rollup(spark, folder):
     )
 
 
-@query(
-    f"""WITH RECURSIVE {_LATEST_TURNS}, o AS (SELECT session_id, {q.turn_tokens()} AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn_id) AS i FROM t),
+_BATCHES = f"""o AS (SELECT session_id, user_message.text AS user_text, llm_message.text AS llm_text, {q.turn_tokens()} AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn_id) AS i FROM t),
 f AS (SELECT session_id, i, 0::BIGINT AS batch, tokens, tokens AS total FROM o WHERE i = 1
  UNION ALL SELECT o.session_id, o.i, f.batch + CASE WHEN f.total >= 2000 THEN 1 ELSE 0 END, o.tokens, CASE WHEN f.total >= 2000 THEN 0 ELSE f.total END + o.tokens
- FROM f JOIN o ON o.session_id IS NOT DISTINCT FROM f.session_id AND o.i = f.i + 1)
-SELECT session_id, batch, sum(tokens)::BIGINT AS batch_tokens, count(*) AS turns, sum(tokens) >= 3000 AS truncated FROM f GROUP BY session_id, batch"""
-)
+ FROM f JOIN o ON o.session_id IS NOT DISTINCT FROM f.session_id AND o.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LATEST_TURNS}, {_BATCHES} SELECT session_id, batch, sum(tokens)::BIGINT AS batch_tokens, count(*) AS turns, sum(tokens) >= 3000 AS truncated FROM f GROUP BY session_id, batch")
 def aggregate_batches(spark, folder):
     return turns.batch_turns(_turns(spark, folder), 2000)
 
@@ -615,12 +615,14 @@ def join_hooks_memories(spark, folder):
 
 
 @query(
-    f"""WITH {_LATEST_TURNS}, said AS (SELECT session_id, string_agg(x, ' ' ORDER BY turn_id, side) AS text FROM (SELECT session_id, turn_id, 1 AS side, user_message.text AS x FROM t UNION ALL SELECT session_id, turn_id, 2, llm_message.text FROM t) WHERE trim(x, ' ') <> '' AND session_id IS NOT NULL GROUP BY session_id)
-SELECT session_id, md5(text) AS digest FROM said"""
+    f"""WITH RECURSIVE {_LATEST_TURNS}, {_BATCHES}, said AS (SELECT session_id, i, 1 AS side, user_text AS x FROM o UNION ALL SELECT session_id, i, 2, llm_text FROM o)
+SELECT f.session_id, f.batch, md5(string_agg(x, ' ' ORDER BY f.i, side)) AS digest FROM f JOIN said s ON f.session_id IS NOT DISTINCT FROM s.session_id AND f.i = s.i WHERE trim(x, ' ') <> '' GROUP BY f.session_id, f.batch"""
 )
 def aggregate_turns_text(spark, folder):
-    rows = _turns(spark, folder).filter("session_id is not null")
-    return turns.turns_text(rows, ["session_id"], ["turn_id"]).select("session_id", F.md5("text").alias("digest"))
+    """What is said in each batch of turns."""
+    rows = _turns(spark, folder)
+    batched = rows.join(turns.number_batches(rows, 2000).select("turn_id", "batch"), "turn_id")
+    return turns.turns_text(batched, ["session_id", "batch"], ["created_at", "turn_id"]).select("session_id", "batch", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, CASE k WHEN 'claude_approx' THEN floor(n * 1.2::DOUBLE + 0.5) WHEN 'deepseek_approx' THEN floor(n * 0.95::DOUBLE + 0.5) ELSE n END::BIGINT AS tokens, k AS tokenizer FROM (SELECT doc_id, " + q.char_tokens("text") + " AS n, unnest(['o200k_base', 'cl100k_base', 'claude_approx', 'deepseek_approx']) AS k FROM documents)")
