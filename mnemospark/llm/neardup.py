@@ -451,17 +451,18 @@ def similar_texts(
         key, name = key[once], name[once]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
-        pairs = []
+        pairs, waiting = [], 0
         for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
             if n > min(block, _AT_ONCE):
                 yield _pairs(name[at : at + n], np.full(n, int(key[at : at + 1].view(np.int64)[0])), True)
                 continue
             i, j = np.triu_indices(n, 1) if n > 2 else (np.array([0]), np.array([1]))
             pairs.append(np.stack([name[at + i], name[at + j]]))
-            if len(pairs) > 20_000:
+            waiting += len(i)
+            if waiting > 200_000:
                 both = np.unique(np.concatenate(pairs, axis=1), axis=1)
                 yield _pairs(both[0], both[1], False)
-                pairs = []
+                pairs, waiting = [], 0
         if pairs:
             both = np.unique(np.concatenate(pairs, axis=1), axis=1)
             yield _pairs(both[0], both[1], False)
