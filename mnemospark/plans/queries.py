@@ -443,10 +443,10 @@ def filter_prefix(spark, folder):
 
 @query(
     f"WITH a AS (SELECT DISTINCT hook_id FROM hooks WHERE (file_status IS NULL OR file_status <> 'deleted') AND scope IN ('session', 'project') AND starts_with(hook_id, {_PREFIX})) "
-    "SELECT CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(hook_id) END AS hook_id, CASE WHEN count(*) > 1 THEN (SELECT list(hook_id ORDER BY hook_id) FROM (SELECT h.hook_id FROM hooks h JOIN a USING (hook_id) GROUP BY h.hook_id ORDER BY min(h.archived_at), h.hook_id LIMIT 5)) END AS candidates FROM a"
+    "SELECT CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(hook_id) END AS hook_id, CASE WHEN count(*) > 1 THEN (SELECT string_agg(hook_id, ',' ORDER BY hook_id) FROM (SELECT h.hook_id FROM hooks h JOIN a USING (hook_id) GROUP BY h.hook_id ORDER BY min(h.archived_at), h.hook_id LIMIT 5)) END AS candidates FROM a"
 )
 def filter_resolve_prefix(spark, folder):
-    return storage.resolve_prefix(load(spark, folder, "hooks"), _prefix(spark, folder))
+    return storage.resolve_prefix(load(spark, folder, "hooks"), _prefix(spark, folder)).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query("SELECT memory_id, session_id, received_at, md5(content) AS digest FROM memories WHERE memory_id = (SELECT min(memory_id) FROM memories)")
@@ -530,12 +530,12 @@ def storage_access_counts(spark, folder):
 
 @query(
     "WITH r AS (SELECT DISTINCT memory_id FROM hooks WHERE file_status = 'deleted' OR period = 'monthly'), m AS (SELECT DISTINCT memory_id FROM memories) "
-    "SELECT 'rest' AS kind, memory_id, NULL::BOOLEAN AS success FROM m WHERE memory_id NOT IN (SELECT memory_id FROM r WHERE memory_id IS NOT NULL) UNION ALL SELECT 'result', r.memory_id, m.memory_id IS NOT NULL FROM r LEFT JOIN m USING (memory_id)"
+    "SELECT 'rest' AS kind, memory_id FROM m WHERE memory_id NOT IN (SELECT memory_id FROM r WHERE memory_id IS NOT NULL) UNION ALL SELECT CASE WHEN m.memory_id IS NOT NULL THEN 'deleted' ELSE 'failed' END, r.memory_id FROM r LEFT JOIN m USING (memory_id)"
 )
 def storage_batch_delete(spark, folder):
     requested = load(spark, folder, "hooks").filter("file_status = 'deleted' or period = 'monthly'").select("memory_id")
     rest, results = storage.batch_delete(requested, load(spark, folder, "memories"), "memory_id")
-    return rest.select(F.lit("rest").alias("kind"), "memory_id", F.lit(None).cast("boolean").alias("success")).distinct().unionByName(results.select(F.lit("result").alias("kind"), "memory_id", "success"))
+    return rest.select(F.lit("rest").alias("kind"), "memory_id").distinct().unionByName(results.select(F.when(F.col("success"), "deleted").otherwise("failed").alias("kind"), "memory_id"))
 
 
 @query("WITH c AS (SELECT memory_id, CASE WHEN max(token_count) IS NOT NULL THEN least(greatest(max(token_count - 500), 0), 100) END AS importance FROM hooks GROUP BY memory_id) SELECT m.memory_id, m.received_at, coalesce(c.importance, m.importance)::INTEGER AS importance FROM memories m LEFT JOIN c USING (memory_id)")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import exists, new_folder
+from ..session import exists, new_folder, remove_folder
 
 
 def _source(spark: SparkSession, path: str, schema, max_files: int) -> DataFrame:
@@ -101,6 +101,8 @@ def follow_thresholds(spark: SparkSession, path: str, schema, tokens: Column, li
         state.write.mode("overwrite").parquet(f"{pending}/number={number}")
         state = rows.sparkSession.read.schema(kept).parquet(f"{pending}/number={number}")
         _into(f"{out}/events")(state.filter("event").drop("event"), number)
+        if number > 1:  # no run again reaches further back than the batch before
+            remove_folder(rows.sparkSession, f"{pending}/number={number - 2}")
 
     _run(_source(spark, path, schema, max_files), checkpoint, "append", write)
     names = "session_id string, tokens long, last_seq long, batch long"
