@@ -36,6 +36,27 @@ def test_like_the_reference_encoder(reference, texts):
     assert bpe.load().encode(pa.array(texts)).to_pylist() == [reference.encode_ordinary(x) for x in texts]
 
 
+def test_the_other_rank_file():
+    import tiktoken
+
+    path = os.path.join(bpe.TOKENIZER_DIR, "byte_bpe_multi_50k.tiktoken")
+    if not os.path.exists(path):
+        pytest.skip("no second rank file")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = tiktoken.Encoding("multi", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [*HARD, "Der Nachtlauf prüft die alten Einträge.", "缓存层清理了空白回复，结果与基线一致。" * 40, "Le collecteur archive l'aperçu."]
+    assert bpe.load(path).encode(pa.array(texts)).to_pylist() == [other.encode_ordinary(x) for x in texts]
+
+
+def test_round_trip(spark):
+    texts = [*HARD, None, "缓存 mixed ünïcode \U0001f642"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    back = tokens.decode_corpus(tokens.encode_corpus(df, "doc_id", "text"), "doc_id", "ids")
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
+    assert [r["text"] for r in tokens.decode_corpus(odd, "doc_id", "ids").collect()] == ["", ""]
+
+
 def test_encode_corpus(spark, reference):
     rows = [(1, "it's new", "x"), (2, None, "x"), (3, "", None), (1, "it's new", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
