@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -56,6 +57,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """`df` written down, and marked for broadcast if it has no more than so many rows; beyond that joins with it are left to the planner."""
+    out = materialize(df, name)
+    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize that nothing reads any more."""
     for df in tables:
