@@ -288,7 +288,7 @@ def nearest_vectors(
                     cosine[now] = c
                 if high > place.max():
                     break
-                done = np.flatnonzero(cosine > -3)
+                done = np.flatnonzero(cosine >= (-1.5 if min_cosine is None else min_cosine))
                 best = done[np.lexsort((-cosine[done], i[done]))]
                 at = np.arange(len(best)) - np.searchsorted(i[best], i[best])
                 ends = best[at == k - 1]
