@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 
 _STAND_INS = {"nan", "none", "nil", "null", "nul", "undefined", "n/a", "na", "empty", "missing", "nothing", "no value", "not available"}
 
@@ -384,7 +384,8 @@ CUT_RATIO = 100
 
 def last_words(text) -> Column:
     """The last word of the last line, in lower case, of texts that end in a letter; else null."""
-    return F.lower(F.nullif(F.regexp_extract(text, rf"({_LINE_WORDS})\s*$", 1), F.lit("")))
+    token = F.element_at(F.split(F.substring_index(F.regexp_replace(text, r"\s+$", ""), "\n", -1), " "), -1)  # a word holds no blank
+    return F.lower(F.nullif(F.regexp_extract(token, rf"({_LINE_WORDS})$", 1), F.lit("")))
 
 
 def cut_words(texts: DataFrame) -> DataFrame:
@@ -435,7 +436,8 @@ def cut_words(texts: DataFrame) -> DataFrame:
 
 def limit_lengths(answers: DataFrame) -> DataFrame:
     """(size): lengths, of a column `text`, that far more answers without a final mark have than the lengths around."""
-    open_ = answers.filter(~F.col("text").rlike(r"[.!?。！？…`\"'”’)）」』]\s*$")).groupBy(F.length("text").alias("size")).count()
+    last = F.substring("text", -1, 1)  # of texts without blanks at the end
+    open_ = answers.filter(~last.isin(*".!?。！？…`\"'”’)）」』")).groupBy(F.length("text").alias("size")).count()
     w = Window.orderBy("size").rangeBetween(-10, 10)  # as many rows as there are lengths
     around = open_.withColumn("around", (F.sum("count").over(w) - F.col("count")) / 20)
     return around.filter("count >= 8 * (around + 1)").select("size")
@@ -463,16 +465,18 @@ def defective_pairs(turns: DataFrame) -> DataFrame:
     extra columns are ignored, an empty table gives no rows.
     """
     pairs = materialize(latest_turns(turns).filter(F.col("prompt").rlike(r"[\p{L}\p{N}]")), "turns")
-    texts = pairs.select(F.rtrim("answer").alias("text"))
-    shortened = shortened_texts(texts).withColumn("shortened", F.lit(True))
-    limits = limit_lengths(texts).withColumn("at_limit", F.lit(True))
-    cut = cut_words(texts.filter("text is not null")).select(F.col("word").alias("last_word"), F.lit(True).alias("cut_word"))
+    bare = F.regexp_replace("answer", r"\s+$", "")
+    texts = pairs.select(bare.alias("text"))
+    # few rows, but nothing bounds them; where they are few, the texts need not move
+    shortened = broadcast_if_small(shortened_texts(texts).withColumn("shortened", F.lit(True)), "shortened")
+    limits = broadcast_if_small(limit_lengths(texts).withColumn("at_limit", F.lit(True)), "limits")
+    cut = broadcast_if_small(cut_words(texts.filter("text is not null")).select(F.col("word").alias("last_word"), F.lit(True).alias("cut_word")), "cut_words")
     rows = (
-        pairs.withColumn("text_hash", F.xxhash64(F.rtrim("answer")))
-        .withColumn("size", F.length(F.rtrim("answer")))
+        pairs.withColumn("text_hash", F.xxhash64(bare))
+        .withColumn("size", F.length(bare))
         .join(shortened, ["text_hash", "size"], "left")
         .join(limits, "size", "left")
-        .withColumn("last_word", last_words(F.rtrim("answer")))
+        .withColumn("last_word", last_words(bare))
         .join(cut, "last_word", "left")
         .select(
             "turn_id", "prompt", "answer", "tool_calls", "stop_reason",
