@@ -67,6 +67,13 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize that nothing reads any more."""
     for df in tables:
         remove_folder(df.sparkSession, df._written_to)
+    for df in tables[:1]:
+        release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that have run: it waits for the driver's garbage collection, which may be long in coming."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _path(spark: SparkSession, path: str):
