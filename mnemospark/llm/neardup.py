@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import discard, materialize, release
 
 _GROUPS = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -423,7 +423,8 @@ def similar_texts(
         bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        keys, names = keys[order], names[order]
+        # within a bucket half of a key tells groups apart but for a few pairs in billions, which the filters remove
+        keys, names = keys[order].astype(np.uint32), names[order]
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
         return pa.RecordBatch.from_arrays(
             [
@@ -440,11 +441,12 @@ def similar_texts(
         """Pairs within the groups of equal prefixes; members of large groups are handed on."""
         keys, names = [], []
         for batch in batches:
-            keys += batch.column(1).to_pylist()
+            for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(np.frombuffer(part, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
             names += batch.column(2).to_pylist()
         if not keys:
             return
-        key, name = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(names), np.int64)
+        key, name = np.concatenate(keys), np.frombuffer(b"".join(names), np.int64)
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
@@ -474,6 +476,7 @@ def similar_texts(
         pairs, found = _exact_pairs(signed, buckets, threshold, block)
     else:
         found = materialize(dealt.repartition(buckets, "bucket").select("bucket", "keys", "names").mapInArrow(pair_up, "a long, b long, large boolean"), "pairs")
+        release(spark)
         pairs = found.filter("not large").select("a", "b")
         large = found.filter("large").select(F.col("a").alias("same"), F.col("b").alias("key"))
         if not large.isEmpty():
@@ -490,6 +493,7 @@ def similar_texts(
         .select("a", "b", "representative_a", "representative_b")
     )
     candidates = materialize(checked, "candidates")
+    release(spark)
     links, texts = _verify(candidates, source, run, least, threshold)
     links = materialize(links, "links")
     discard(found, candidates, texts)
