@@ -254,13 +254,21 @@ def _prose(text: str) -> str:
     return text
 
 
+_NOT_LATIN = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
+_word_votes: dict[str, tuple[tuple[str, float], ...]] = {}
+
+
 def _votes(words: list[str]) -> dict[str, float]:
+    """Votes of the words for the languages whose function words they, or their parts at an apostrophe, are."""
+    if len(_word_votes) > 200_000:
+        _word_votes.clear()
     votes: dict[str, float] = {}
     for w in words:
-        for part in {w, *w.split("'")}:
-            owners = _OWNERS.get(part, ())
-            for o in owners:
-                votes[o] = votes.get(o, 0) + 1 / len(owners)
+        own = _word_votes.get(w)
+        if own is None:
+            own = _word_votes[w] = tuple((o, 1 / len(owners)) for part in {w, *w.split("'")} if (owners := _OWNERS.get(part)) for o in owners)
+        for o, x in own:
+            votes[o] = votes.get(o, 0) + x
     return votes
 
 
@@ -303,7 +311,7 @@ def _main_language(text: str) -> str | None:
 
 def is_other_language(prompt: str, answer: str) -> bool:
     """Mostly in another language than the prompt, which did not ask for it."""
-    if answer.isascii() and prompt.isascii():
+    if not _NOT_LATIN.search(answer) and not _NOT_LATIN.search(prompt):
         # both wholly in one language by all their function words: nothing to weigh
         both = [_votes(_WORD.findall(_prose(x).lower())) for x in (prompt, answer)]
         tops = [max(v, key=lambda o: v[o]) if v else None for v in both]
