@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize, release
+from ..session import broadcast_if_small, discard, materialize, release
 
 _GROUPS = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -543,7 +543,8 @@ def _verify(candidates: DataFrame, source: DataFrame, run: int, least: int, thre
 
     A representative's id may have several texts; the pair counts by the most similar two.
     """
-    wanted = candidates.select(F.explode(F.array("representative_a", "representative_b")).alias("id")).distinct()
+    # where few texts are wanted, the others need not move
+    wanted = broadcast_if_small(candidates.select(F.explode(F.array("representative_a", "representative_b")).alias("id")).distinct(), "wanted")
     texts = materialize(source.join(wanted, "id").groupBy("id").agg(F.collect_set("text").alias("texts")), "texts")
     side = lambda x: texts.select(F.col("id").alias(f"representative_{x}"), F.col("texts").alias(f"texts_{x}"))
     paired = candidates.join(side("a"), "representative_a").join(side("b"), "representative_b")
