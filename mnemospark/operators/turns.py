@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -188,50 +190,78 @@ def number_batches(turns: DataFrame, threshold: int) -> DataFrame:
     rows = turns.select("session_id", "turn_id", F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens"), "created_at")
     cut = sequences.stretches(rows, "session_id", order)
 
-    def sum_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", na_position="first")
-        sums = np.concatenate([[0.0], np.cumsum(pdf["tokens"].to_numpy())])
-        n = len(sums) - 1
-        reach = _first_reach(sums, np.arange(n + 1), threshold)
-        closed, carried = np.zeros(n + 1, np.int64), np.zeros(n + 1)
-        for i in range(n, -1, -1):  # what follows from a batch that begins after row i
-            if reach[i] > n:
-                carried[i] = sums[n] - sums[i]
-            else:
-                closed[i], carried[i] = closed[reach[i]] + 1, carried[reach[i]]
-        # with c carried in, the first batch ends at the first row where sums >= threshold - c
-        ends = [k for k in range(1, n + 1) if sums[k - 1] < threshold or k == 1]
-        return pd.DataFrame({"session_id": [key[0]], "part": [key[1]], "places": [[float(sums[k]) for k in ends]], "cuts": [[int(closed[k]) + 1 for k in ends]], "carries": [[float(carried[k]) for k in ends]], "total": [float(sums[n])]})
-
-    def pass_on(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, number, out = 0.0, 0, []
-        for r in pdf.sort_values("part").itertuples():
-            out.append((key[0], r.part, carry, number))
-            at = int(np.searchsorted(np.asarray(r.places), threshold - carry, "left"))
-            if at < len(r.places):
-                number, carry = number + int(r.cuts[at]), float(r.carries[at])
-            else:
-                carry += r.total
-        return pd.DataFrame(out, columns=["session_id", "part", "carry", "number"])
-
-    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", na_position="first")
-        tokens, carry, number = pdf["tokens"].to_numpy(), float(pdf["carry"].iloc[0]), int(pdf["number"].iloc[0])
-        sums = np.concatenate([[0.0], np.cumsum(tokens)])
-        n, at, batch = len(tokens), 0, np.zeros(len(tokens), np.int64)
-        to = max(int(np.searchsorted(sums, threshold - carry, "left")), 1)
-        while at < n:
-            batch[at:to] = number
-            number, at = number + 1, to
-            if at < n:
-                to = int(_first_reach(sums, np.array([at]), threshold)[0])
-        return pd.DataFrame({"session_id": [key[0]] * n, "turn_id": pdf["turn_id"], "batch": batch, "tokens": tokens})
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, out = pdf["tokens"].to_numpy(), []
+        for a, b in _edges(pdf, "session_id", sequences.PART):
+            sums = np.concatenate([[0.0], np.cumsum(tokens[a:b])])
+            n = b - a
+            reach = _first_reach(sums, np.arange(n + 1), threshold).tolist()
+            closed, carried = [0] * (n + 1), [0.0] * (n + 1)
+            for i in range(n, -1, -1):  # what follows from a batch that begins after row i
+                if reach[i] > n:
+                    carried[i] = float(sums[n] - sums[i])
+                else:
+                    closed[i], carried[i] = closed[reach[i]] + 1, carried[reach[i]]
+            # with c carried in, the first batch ends at the first row where sums >= threshold - c
+            last = min(int(np.searchsorted(sums[1:], threshold, "left")) + 1, n)
+            out.append((pdf["session_id"].iat[a], pdf[sequences.PART].iat[a], sums[1 : last + 1].tolist(), [c + 1 for c in closed[1 : last + 1]], carried[1 : last + 1], float(sums[n])))
+        return pd.DataFrame(out, columns=["session_id", "part", "places", "cuts", "carries", "total"])
+
+    def pass_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        carries, numbers = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+        for a, b in _edges(pdf, "session_id"):
+            carry, number = 0.0, 0
+            for k in range(a, b):
+                carries[k], numbers[k] = carry, number
+                places = pdf["places"].iat[k]
+                at = int(np.searchsorted(places, threshold - carry, "left"))
+                if at < len(places):
+                    number, carry = number + int(pdf["cuts"].iat[k][at]), float(pdf["carries"].iat[k][at])
+                else:
+                    carry += pdf["total"].iat[k]
+        return pdf[["session_id", "part"]].assign(carry=carries, number=numbers)
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, batch = pdf["tokens"].to_numpy(), np.zeros(len(pdf), np.int64)
+        carries, numbers = pdf["carry"].to_numpy(), pdf["number"].to_numpy()
+        for a, b in _edges(pdf, "session_id", sequences.PART):
+            sums = np.concatenate([[0.0], np.cumsum(tokens[a:b])])
+            at, number, to = 0, int(numbers[a]), max(int(np.searchsorted(sums, threshold - carries[a], "left")), 1)
+            while at < b - a:
+                batch[a + at : a + to] = number
+                number, at = number + 1, to
+                if at < b - a:
+                    to = int(_first_reach(sums, np.array([at]), threshold)[0])
+            # a batch that goes on beyond the stretch ends with it
+        return pdf[["session_id", "turn_id"]].assign(batch=batch, tokens=tokens)
 
     keys = ["session_id", sequences.PART]
-    summaries = cut.groupBy(*keys).applyInPandas(sum_up, _SUMMARY)
-    carried = summaries.groupBy("session_id").applyInPandas(pass_on, "session_id string, part long, carry double, number long")
+    summaries = _in_partitions(cut, keys, [*keys, *order], sum_up, _SUMMARY)
+    carried = _in_partitions(summaries, ["session_id"], ["session_id", "part"], pass_on, "session_id string, part long, carry double, number long")
     entered = cut.join(carried.withColumnRenamed("session_id", "__key"), cut["session_id"].eqNullSafe(F.col("__key")) & (cut[sequences.PART] == F.col("part"))).drop("__key", "part")
-    return entered.groupBy(*keys).applyInPandas(assign, f"session_id string, turn_id {dict(turns.dtypes)['turn_id']}, batch long, tokens double")
+    return _in_partitions(entered, keys, [*keys, *order], assign, f"session_id string, turn_id {dict(turns.dtypes)['turn_id']}, batch long, tokens double")
+
+
+def _in_partitions(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`f` over partitions that hold whole keys, sorted; Spark fits their size to its advisory one, and a key is a stretch or a row a stretch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield f(pd.concat(parts, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, schema)
+
+
+def _edges(pdf: pd.DataFrame, *keys: str) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys; nulls are equal."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        codes = pd.factorize(pdf[k])[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    begin = np.flatnonzero(new)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(pdf)]))
 
 
 def turns_text(turns: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
