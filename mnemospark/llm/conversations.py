@@ -299,5 +299,5 @@ def rebuild_conversations(messages: DataFrame) -> DataFrame:
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.when(~is_user, F.struct("seq", "text")))), lambda x: x["text"]), "\n"
         ).alias("llm_message"),
-        F.coalesce(F.min_by(F.when(~is_user, F.col("root")), "seq"), F.max(F.when(is_user, F.col("root")))).alias("root_id"),
+        F.coalesce(F.min_by("root", F.when(~is_user, F.col("seq"))), F.max(F.when(is_user, F.col("root")))).alias("root_id"),
     )

@@ -226,7 +226,7 @@ texts AS (
   FROM speakers s JOIN judged g ON s.session_id = g.session_id AND g.sound LEFT JOIN roots r ON s.session_id = r.session_id AND s.id = r.id WHERE words
 ), numbered AS (SELECT *, sum((role = 'user')::INTEGER) OVER (PARTITION BY session_id ORDER BY seq)::BIGINT AS turn FROM texts)
 SELECT session_id, turn, max(seq) FILTER (role = 'user') AS user_seq, max(text) FILTER (role = 'user') AS user_message, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (role <> 'user'), '') AS llm_message,
-  coalesce(arg_min(root, seq) FILTER (role <> 'user'), max(root) FILTER (role = 'user')) AS root_id
+  coalesce(arg_min_null(root, seq) FILTER (role <> 'user'), max(root) FILTER (role = 'user')) AS root_id
 FROM numbered GROUP BY session_id, turn
 """
 

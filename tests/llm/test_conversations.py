@@ -107,3 +107,10 @@ def test_cycles_make_no_conversation(spark):
     items = [("u1", "s", "user", 1, user("q", parent="u2")), ("u2", "s", "user", 2, user("..", parent="u1")), ("a", "s", "assistant", 3, answer("a", parent="u1"))]
     df = spark.createDataFrame(rows(*items), SCHEMA)
     assert C.defective_sessions(df).count() == 0 and C.rebuild_conversations(df).count() == 0
+
+
+def test_the_first_answer_names_the_root(spark):
+    items = [("u1", "s", "user", 1, user("one")), ("a1", "s", "assistant", 2, answer("a", parent="u1")), ("u2", "s", "user", 3, user("two")), ("a2", "s", "assistant", 4, answer("late", parent="u1")), ("a3", "s", "assistant", 5, answer("b", parent="u2")),
+             ("u3", "s", "user", 6, user("three")), ("a4", "s", "assistant", 7, answer("c")), ("a5", "s", "assistant", 8, answer("d", parent="u1"))]
+    got = {r["turn"]: r["root_id"] for r in C.rebuild_conversations(spark.createDataFrame(rows(*items), SCHEMA)).collect()}
+    assert got == {1: "u1", 2: "u1", 3: "u3"}
